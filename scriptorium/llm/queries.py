@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, packing, simhash, tokens, toxicity
+from . import chat, decontam, exact, packing, quality, simhash, substring, tokens, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +32,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def queries() -> dict:
     """Query names and functions."""
     return {n: f for n, f in globals().items() if n.startswith("op")}
@@ -87,4 +101,19 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS k
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM g""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest FROM p),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM k""",
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, k, md5(array_to_string(w[k:k + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM w)),
+rep AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+gone AS (SELECT r, list_sort(list(DISTINCT k + o)) AS g FROM rep, range(0, 35) t(o) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(g, [])) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(g, []), i)), lambda i: w[i]), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (r)""",
 }

@@ -4,8 +4,8 @@ Texts become lower-case words ``[\p{L}\p{N}]+`` and shingles of five. An item is
 least 0.8 of its distinct shingles stand there. Items are partitioned by size: the signature of an item of n
 shingles is its floor(0.2 n) + 1 least shingle hashes (a bottom-k MinHash). A document that holds 0.8 of the item
 lacks at most floor(0.2 n) shingles, so it holds one of the signature: no containment is missed. Documents are not
-sketched, since a short item would be lost; each of their shingles whose hash lies under the largest signature
-hash is looked up. The pairs found are verified by exact containment of shingle texts.
+sketched, since a short item would be lost; each of their shingles is looked up among the signatures. The pairs
+found are verified by exact containment of shingle texts.
 
 Item signatures are broadcast in blocks of at most ITEM_ROWS shingles, each a pass over the documents.
 
@@ -30,13 +30,14 @@ ITEM_ROWS, PAIRS = 1_000_000, 2_000_000
 
 def words(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep, words and each place where a shingle starts."""
-    df = df.select(*keep, words(text_of()).alias("_w")).filter(F.size("_w") >= WIDTH)
-    return df.select(*keep, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - WIDTH)).alias("_at"))
+    df = df.select(*keep, words(text_of()).alias("_w"))
+    places = F.when(F.size("_w") >= WIDTH, F.sequence(F.lit(0), F.size("_w") - WIDTH))  # not a filter, which would split texts twice
+    return df.select(*keep, "_w", F.explode(places).alias("_at"))
 
 
 def _at(i: int) -> Column:
@@ -64,11 +65,8 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     """doc_id, key, item_id: pairs that share a signature shingle."""
-    top = signatures.agg(F.max("h")).first()[0]
-    if top is None:
-        return docs.select("doc_id", row_key().alias("key"), F.lit(None).cast("long").alias("item_id")).limit(0)
     places = exploded(docs.select("doc_id", "text", row_key().alias("key")), "doc_id", "key")
-    found = places.withColumn("_h", shingle_hash()).filter(F.col("_h") <= top).join(F.broadcast(signatures.select(F.col("h").alias("_h"), "item_id")), "_h")
+    found = places.select("doc_id", "key", shingle_hash().alias("_h")).join(F.broadcast(signatures.select(F.col("h").alias("_h"), "item_id")), "_h")
     return found.select("doc_id", "key", "item_id").distinct()
 
 

@@ -13,15 +13,18 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNK, OVERLAP, HUGE = 16_384, 512, 32_768
-MEMO = 400_000
+CHUNK, OVERLAP, HUGE = 32_768, 512, 65_536
+#: Pieces remembered by a worker, and encoded in a call; the length of pieces that are kept when room is made.
+MEMO, CALL, SHORT = 700_000, 20_000, 8
 #: A run of blanks and what follows it up to the next blank.
 PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 BLANKS = " \n\r\t"
@@ -32,9 +35,18 @@ def tokenizer(path: str):
     """The worker's tokenizer, loaded once."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
+def forget(memo: dict) -> None:
+    """Makes room: long words, which are rare, go first; all go if that is not enough."""
+    kept = {w: x for w, x in memo.items() if len(w) <= SHORT}
+    memo.clear()
+    if len(kept) <= MEMO // 2:
+        memo.update(kept)
+
+
 class Counter(dict):
     """Token counts of pieces, bounded in entries."""
 
@@ -42,14 +54,15 @@ class Counter(dict):
         super().__init__()
         self.tokenizer = tokenizer(path)
 
-    def of(self, pieces: list[str]) -> int:
-        """Tokens of all pieces; unknown ones are encoded in one batch."""
-        if new := [p for p in set(pieces) if p not in self]:
-            if len(self) > MEMO:
-                self.clear()
-                new = list(set(pieces))
-            self.update(zip(new, (len(x) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return sum(map(self.__getitem__, pieces))
+    def of(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of texts given as pieces; unknown pieces of all texts are encoded together."""
+        if len(self) > MEMO:
+            forget(self)
+        new = [p for p in set().union(*texts) if p not in self]
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            self.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [sum(map(self.__getitem__, t)) for t in texts]
 
 
 @cache
@@ -101,11 +114,11 @@ def huge(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple
     return total + len(now), widened
 
 
-def count(text: str, path: str) -> int:
-    """Tokens of one text."""
-    if len(text) <= HUGE:
-        return counter(path).of(pieces(text))
-    return huge(text, lambda part: tokenizer(path).encode(part, add_special_tokens=False).offsets)[0]
+def count(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text."""
+    found = iter(counter(path).of([pieces(t) for t in texts if len(t) <= HUGE]))
+    encode = lambda part: tokenizer(path).encode(part, add_special_tokens=False).offsets
+    return [next(found) if len(t) <= HUGE else huge(t, encode)[0] for t in texts]
 
 
 def counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -113,10 +126,10 @@ def counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [count(t, path) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                n = count([t or "" for t in part.column(1).to_pylist()], path)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return docs.select("doc_id", "text", size).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

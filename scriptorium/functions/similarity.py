@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import normal_place, tokens
 
@@ -37,7 +38,7 @@ def sequence_bound(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio; not symmetric, so the order of the names matters. No native function gives it."""
     for left, right in pairs:

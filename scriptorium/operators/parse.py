@@ -50,23 +50,26 @@ def _native(json_text: Column) -> tuple[Column, Column, Column]:
     return parsed.isNotNull(), F.coalesce(good.cast(ENTITIES), F.expr(f"CAST(array() AS {ENTITIES})")), F.coalesce(F.size(items) - F.size(good), F.lit(0))
 
 
-_RESULT = f"ok boolean, entities {ENTITIES}, n_malformed int"
-
-
-@F.pandas_udf(f"struct<ok:boolean,entities:{ENTITIES},n_malformed:int>")
-def _loads(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    def one(text: str | None) -> tuple:
-        try:
-            value = json.loads((text or "").strip())
-        except ValueError:
-            return False, [], 0
-        items = value.get("entities") if isinstance(value, dict) else None
-        items = items if isinstance(items, list) else []
-        good = [{"entity_idx": i, "text": e["text"], "label": e["label"]} for i, e in enumerate(items) if isinstance(e, dict) and isinstance(e.get("text"), str) and isinstance(e.get("label"), str)]
-        return True, good, len(items) - len(good)
-
-    for part in texts:
-        yield pd.DataFrame([one(t) for t in part], columns=["ok", "entities", "n_malformed"])
+def _one(text: str | None) -> tuple:
+    try:
+        value = json.loads((text or "").strip())
+    except ValueError:
+        return False, [], 0
+    items = value.get("entities") if isinstance(value, dict) else None
+    items = items if isinstance(items, list) else []
+    good = [{"entity_idx": i, "text": e["text"], "label": e["label"]} for i, e in enumerate(items) if isinstance(e, dict) and isinstance(e.get("text"), str) and isinstance(e.get("label"), str)]
+    return True, good, len(items) - len(good)
+
+
+def _loads(column: str) -> Column:
+    """ok, entities, n_malformed as Python's json module sees them."""
+
+    @F.pandas_udf(f"struct<ok:boolean,entities:{ENTITIES},n_malformed:int>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            yield pd.DataFrame([_one(t) for t in part], columns=["ok", "entities", "n_malformed"])
+
+    return run(column)
 
 
 def parse(responses: DataFrame, exact: bool = False, strict: bool = False) -> DataFrame:

@@ -9,18 +9,23 @@ from ..functions.text import newlines, stem
 
 
 def file_name(path: Column) -> Column:
-    """The last part of a path, percent escapes decoded."""
-    return F.url_decode(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\+", "%2B"))
+    """The last part of a path."""
+    return F.element_at(F.split(path, "/"), -1)
 
 
-def _binary(spark: SparkSession, path: str, pattern: str, schema_only: bool = False) -> DataFrame:
+def decoded(uri: Column) -> Column:
+    """A URI without percent escapes; the file metadata column has them, the path column of binary files does not."""
+    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
+
+
+def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", keep_bad: bool = False) -> DataFrame:
     """file_name, stem, text of UTF-8 files. Line ends become line feeds.
 
-    Files that are not UTF-8 or empty go; with keep_bad they have an empty text, as reports want them.
+    Files that are not UTF-8 go; with keep_bad they have an empty text, as reports want them. Spark skips empty files.
     """
     df = _binary(spark, path, pattern).select(file_name(F.col("path")).alias("file_name"), newlines(F.try_validate_utf8(F.decode("content", "UTF-8"))).alias("text"), F.try_validate_utf8(F.col("content").cast("string")).isNotNull().alias("_ok"))
     df = df.withColumn("text", F.when(F.col("_ok"), F.col("text")))
@@ -32,7 +37,7 @@ def entity_files(spark: SparkSession, path: str, pattern: str = "*_entities.json
     """model (the folder), doc_name, raw_response of entity JSON files, one folder for each model."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = file_name(F.col("path"))
-    return df.select(F.url_decode(F.element_at(F.split("path", "/"), -2)).alias("model"), F.replace(name, F.lit("_entities.json"), F.lit("")).alias("doc_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw_response"))
+    return df.select(F.element_at(F.split("path", "/"), -2).alias("model"), F.replace(name, F.lit("_entities.json"), F.lit("")).alias("doc_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw_response"))
 
 
 def report_files(spark: SparkSession, path: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import newlines, stem
 from ..operators import chunk, parse
-from ..sources.files import file_name
+from ..sources.files import decoded, file_name
 
 
 def text_stream(spark: SparkSession, path: str, pattern: str = "*.txt", per_trigger: int = 1000) -> DataFrame:
     """file_name, stem, text of files as they arrive."""
     raw = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(path)
-    named = raw.select(file_name(F.col("_metadata.file_path")).alias("file_name"), newlines(F.try_validate_utf8("value")).alias("text")).filter(F.length("text") > 0)
+    named = raw.select(file_name(decoded(F.col("_metadata.file_path"))).alias("file_name"), newlines(F.try_validate_utf8("value")).alias("text")).filter(F.length("text") > 0)
     return named.select("file_name", stem(F.col("file_name")).alias("stem"), "text")
 
 

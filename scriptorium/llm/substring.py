@@ -30,8 +30,6 @@ from .common import materialise, row_key, text_of
 WINDOW, GRAM = 35, 8
 #: Words of a shard, beyond which (one anchor has more) a hash table serves; places of one anchor beyond which windows are filed singly.
 DENSE, CROWD = 20_000, 200_000
-#: Bytes of ranges up to which they are broadcast to the documents.
-RANGES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15
 _KEY = "doc_id long, key long"
 
@@ -210,11 +208,8 @@ def _filed(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, key, text, ranges: joined by row content; ranges are broadcast only if measured small."""
-    size = ranges.agg(F.count("*"), F.sum(F.size("ranges"))).first()
-    side = ranges.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    if (size[0] or 0) * 64 + (size[1] or 0) * 40 <= RANGES:
-        side = F.broadcast(side)
+    """doc_id, key, text, ranges: joined by row content. Ranges grow with the corpus, so this is a shuffled join at any size."""
+    side = ranges.withColumnsRenamed({"doc_id": "_d", "key": "_k"}).hint("merge")
     d = docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text"))
     return d.join(side, d.doc_id.eqNullSafe(side._d) & (d.key == side._k), "left").select("doc_id", "key", "text", "ranges")
 

@@ -104,8 +104,16 @@ def voted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, pattern string")
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """Posterior of good by pattern, the share of good, and P(vote | class) as [labeller, class, vote + 1]."""
+#: Most that a labeller is taken to vote junk on good documents; their thresholds are set to be that precise.
+MISTAKEN = 0.003
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, mistaken: float = MISTAKEN) -> tuple[np.ndarray, float, np.ndarray]:
+    """Posterior of good by pattern, the share of good, and P(vote | class) as [labeller, class, vote + 1].
+
+    Junk is of several kinds, each seen by a few labellers only, so plain likelihood may settle on one kind and
+    explain the others as mistakes on good documents. The bound on such mistakes keeps all kinds.
+    """
     ones, zeros = (patterns == 1).sum(axis=1), (patterns == 0).sum(axis=1)
     good = np.where(zeros > 0, 0.1, np.where(ones > 0, 0.95, 0.5)).astype(float)
     prior, table = 0.5, np.zeros((patterns.shape[1], 2, 3))
@@ -113,9 +121,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         prior = (np.dot(counts, good) + 1) / (counts.sum() + 2)
         for v in range(3):
             on = patterns == v - 1
-            table[:, 1, v] = (counts * good) @ on + 0.5
-            table[:, 0, v] = (counts * (1 - good)) @ on + 0.5
+            for k, share in ((1, good), (0, 1 - good)):
+                table[:, k, v] = (counts * share) @ on + 0.5
         table /= table.sum(axis=2, keepdims=True)
+        more = np.maximum(table[:, 1, 1] - mistaken, 0)
+        table[:, 1, 1] -= more
+        table[:, 1, 2] += more
         picked = np.log(table)[np.arange(patterns.shape[1])[None, :, None], np.arange(2)[None, None, :], patterns[:, :, None] + 1].sum(axis=1)
         odds = np.log(prior) + picked[:, 1] - np.log(1 - prior) - picked[:, 0]
         now = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))

@@ -22,8 +22,8 @@ def run(args: argparse.Namespace) -> None:
     spark = session(f"scriptorium {args.command}")
     if args.command == "extract":
         docs = files.text_files(spark, args.input).withColumns({"doc_id": F.xxhash64("file_name"), "doc_name": F.col("stem")})
-        model = annotate.RuleAnnotator(args.model.removeprefix("rules:")) if args.model.startswith("rules:") else annotate.HttpAnnotator(args.model, args.url)
-        found = extract(docs.repartition(args.parallel), model, bronze=f"{args.output}/_bronze")
+        models = [annotate.RuleAnnotator(m.removeprefix("rules:")) if m.startswith("rules:") else annotate.HttpAnnotator(m, args.url) for m in args.model.split(",")]
+        found = extract(docs.repartition(args.parallel), models, bronze=f"{args.output}/_bronze", whole_document=args.whole_document)
         sinks.write_entities(found, f"{args.output}/entities")
         print(sinks.export_entity_files(sinks.entity_documents(found), f"{args.output}/json"), "files with entities")
     elif args.command == "tabulate":
@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> None:
     for a in ("model", "input", "output"):
         c.add_argument(a)
     c.add_argument("--url", default="http://127.0.0.1:1234/v1/chat/completions")
+    c.add_argument("--whole-document", action="store_true", help="no chunks; texts are trimmed to 100,000 characters")
     c.add_argument("--parallel", type=int, default=1, help="requests at a time")
     sub.add_parser("tabulate").add_argument("folder")
     c = sub.add_parser("evaluate")

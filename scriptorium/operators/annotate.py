@@ -11,6 +11,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,3 +110,13 @@ class HttpAnnotator:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "model", "raw_response", "status", "attempts"])
 
         return chunks.mapInArrow(run, schema)
+
+
+def fan_out(chunks: DataFrame, annotators: list) -> DataFrame:
+    """The same prompts to several models. Each reads the chunks anew, so that a slow server holds up its own branch only."""
+    return reduce(DataFrame.unionByName, [a.annotate(chunks) for a in annotators])
+
+
+def flag_labels(entities: DataFrame, known: tuple[str, ...] = LABELS) -> DataFrame:
+    """Adds label_known; labels are open, as models return what they like."""
+    return entities.withColumn("label_known", F.col("label").isin(*known))

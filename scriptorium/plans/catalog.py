@@ -144,6 +144,12 @@ def prompt_header(spark, sf_dir):
     return prompts(documents(spark, sf_dir), SMALL, OVERLAP).select("doc_id", "chunk_idx", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
+@query("""SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(substr(text, 1, 100000)) AS prompt_md5 FROM documents WHERE length(text) > 0""".replace("length(text) AS", "least(length(text), 100000) AS"))
+def whole_document_prompt(spark, sf_dir):
+    asked = prompts(documents(spark, sf_dir), whole_document=True)
+    return asked.select("doc_id", F.col("end").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
 # Parsing.
 
 
@@ -194,8 +200,7 @@ _ALL = f"WITH {_long('alpha', 'a')}, {_long('beta', 'b')}, {_long('gold', 'g')},
 
 
 def _models(spark, sf_dir) -> DataFrame:
-    a, b, g = (entities(spark, sf_dir, m) for m in ("alpha", "beta", "gold"))
-    return a.unionByName(b).unionByName(g)
+    return extract(documents(spark, sf_dir), [annotate.RuleAnnotator(m) for m in ("alpha", "beta", "gold")], max_tokens=10**8)
 
 
 @query(f"{_ALL} SELECT model, label, count(*) AS n FROM t GROUP BY model, label")
@@ -203,6 +208,11 @@ def label_counts(spark, sf_dir):
     return _models(spark, sf_dir).groupBy("model", "label").agg(F.count("*").alias("n"))
 
 
+@query(f"{_ALL} SELECT model, label IN ({', '.join(repr(x) for x in annotate.LABELS[:3])}) AS label_known, count(*) AS n FROM t GROUP BY ALL")
+def label_flags(spark, sf_dir):
+    return annotate.flag_labels(_models(spark, sf_dir), annotate.LABELS[:3]).groupBy("model", "label_known").agg(F.count("*").alias("n"))
+
+
 @query(f"{_ALL} SELECT DISTINCT model, label FROM t")
 def label_set(spark, sf_dir):
     return tabulate.labels(_models(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prompt, trim_long
 from ..operators import chunk, dedup, parse
+from ..operators.annotate import fan_out
 
 
 def prompts(docs: DataFrame, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens: int = chunk.OVERLAP_TOKENS, whole_document: bool = False) -> DataFrame:
@@ -21,9 +22,13 @@ def prompts(docs: DataFrame, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens:
     return cut.withColumn("prompt", F.when(F.col("n_chunks") == 1, F.col("chunk")).otherwise(header))
 
 
-def extract(docs: DataFrame, annotator, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens: int = chunk.OVERLAP_TOKENS, bronze: str | None = None, **parser: bool) -> DataFrame:
-    """Entities of documents (doc_id, doc_name, text). bronze: where raw responses are written first, as a model server's must be."""
-    raw = annotator.annotate(prompts(docs, max_tokens, overlap_tokens))
+def extract(docs: DataFrame, annotator, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens: int = chunk.OVERLAP_TOKENS, bronze: str | None = None, whole_document: bool = False, **parser: bool) -> DataFrame:
+    """Entities of documents (doc_id, doc_name, text). bronze: where raw responses are written first, as a model server's must be.
+
+    annotator: one, or a list of them for several models.
+    """
+    asked = prompts(docs, max_tokens, overlap_tokens, whole_document)
+    raw = fan_out(asked, annotator) if isinstance(annotator, list) else annotator.annotate(asked)
     if bronze:
         raw.write.mode("overwrite").parquet(bronze)
         raw = docs.sparkSession.read.parquet(bronze)

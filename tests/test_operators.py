@@ -44,8 +44,9 @@ def test_chunk_limits(spark):
     at = lambda n: chunk.cuts("x" * n, 48_000, 2_000)
     assert at(48_000) == [(0, 48_000)] and at(48_004) == [(0, 48_000), (46_000, 48_004)] and at(0) == []
     df = spark.createDataFrame([(0, "x" * 48_003), (1, "x" * 48_004), (2, "")], "doc_id long, text string")
-    got = chunk.chunks(df).groupBy("doc_id").count().collect()
-    assert {r[0]: r[1] for r in got} == {0: 1, 1: 2}
+    for native in (True, False):
+        got = chunk.chunks(df, native=native).groupBy("doc_id").count().collect()
+        assert {r[0]: r[1] for r in got} == {0: 1, 1: 2}
 
 
 def test_chunks_cover_and_native_agrees(spark):

@@ -19,19 +19,23 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import tokenizer
+from .tokens import forget, tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2
-MEMO = 400_000
+#: Words remembered by a worker, and encoded in a run.
+MEMO, RUN, MARK = 900_000, 200, "\x01"
 #: Tokens gathered before a task packs, and windows in a step group.
 BLOCK, STEP = 1 << 20, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
-_WORDS = re.compile(r"[^ \t\n\r]+")
+_WORDS, _ODD = re.compile(r"[^ \t\n\r]+"), re.compile("[\x1c-\x1f]")
+#: Characters beyond those of which lower case and composition are one to one and free of context.
+_FAR = re.compile("[^\x00-\u024f]")
 
 
 class Words(dict):
@@ -41,16 +45,35 @@ class Words(dict):
         super().__init__()
         self.tokenizer = tokenizer(path)
 
+    def learn(self, new: list[str]) -> None:
+        """Encodes words many at a time, with a control character between them, which is a token of its own."""
+        odd = [w for w in new if MARK in w]
+        new = [w for w in new if MARK not in w] if odd else new
+        runs = [new[at : at + RUN] for at in range(0, len(new), RUN)] + [[w] for w in odd]
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        for run, x in zip(runs, self.tokenizer.encode_batch_fast([f" {MARK} ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)) if len(mark) == 1 and len(run) > 1 else np.array([len(ids)])
+            if len(ends) == len(run):
+                data, ends = ids.tobytes(), ends.tolist()
+                self.update(zip(run, (data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)), strict=True))
+            else:
+                self.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in run)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts. The pattern never spans white space, so words can be encoded one by one."""
-        split = [t.split() if not re.search("[\x1c-\x1f]", t) else _WORDS.findall(t) for t in texts]
+        texts = [t if _FAR.search(t) else t.lower() for t in texts]  # as the tokenizer does; fewer words to remember
+        split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
         if len(self) > MEMO:
-            self.clear()
-        new = [w for w in set().union(*split) if w not in self]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = b"".join(i.to_bytes(4, "little") for i in x.ids)
+            forget(self)
+        new = {w for w in set().union(*split) if w not in self}
+        if stopped := [w for w in new if w[-1] in ".," and len(w) > 1 and "a" <= w[-2] <= "z"]:
+            # A letter and a stop are never of one token, so the word before the stop is enough.
+            new.difference_update(stopped)
+            new.update(b for w in stopped if (b := w[:-1]) not in self)
+            new.update(c for c in ".," if c not in self)
+        self.learn(list(new))
+        self.update((w, self[w[:-1]] + self[w[-1]]) for w in stopped)
         return [b"".join(map(self.__getitem__, ws)) for ws in split]
 
 

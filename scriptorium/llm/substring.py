@@ -188,21 +188,26 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: Python objects of whole texts and ranges take many times their Arrow size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _filed(docs: DataFrame, window: int) -> DataFrame:
     """anchor, region, doc_id, key, at, many: the regions of every document."""
     schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("many", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                found = [regions(word_hashes((t or b"").split()), window) for t in part.column(2).to_pylist()]
-                n = [len(x[0]) for x in found]
-                anchor, region, at, many = (np.concatenate(x) for x in zip(*found, strict=True))
-                who = pa.array(np.repeat(np.arange(part.num_rows), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64)), part.column(0).take(who), part.column(1).take(who), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))], schema=schema
-                )
+        for part in _slices(batches):
+            found = [regions(word_hashes((t or b"").split()), window) for t in part.column(2).to_pylist()]
+            n = [len(x[0]) for x in found]
+            anchor, region, at, many = (np.concatenate(x) for x in zip(*found, strict=True))
+            who = pa.array(np.repeat(np.arange(part.num_rows), n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64)), part.column(0).take(who), part.column(1).take(who), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))], schema=schema
+            )
 
     return docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text")).mapInArrow(run, f"anchor long, region long, {_KEY}, at int, many int")
 
@@ -220,7 +225,7 @@ def _contents(docs: DataFrame, mixed: DataFrame, window: int, crowd: int) -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("anchor", pa.int64()), ("region", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows: list[tuple] = []
             for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = word_hashes((text or b"").split())
@@ -273,6 +278,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFr
     """doc_id, key, ranges (array of first and last repeated window) of documents that have any."""
     filed = materialise(_filed(docs, window), "substring-regions")
     anchors = filed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n >= 2")
+    anchors = materialise(anchors, "substring-anchors")  # so that the join's hot partitions can be split
     met = materialise(filed.join(anchors, "anchor").withColumn("same", F.col("low") == F.col("high")).drop("low", "high"), "substring-met")
     contents = materialise(_contents(docs, met.filter("NOT same"), window, crowd), "substring-contents")
     judged = materialise(_judged(contents, window), "substring-judged")
@@ -286,7 +292,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text, found in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 words, spans, n = (text or b"").split(), [], 0

@@ -104,6 +104,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     pages = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
     known = materialise(pages.select("page_id", "digest", F.length("payload").alias("n")), "warc-digests").filter(F.col("n") >= least)
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL").drop("n")
+    first = materialise(first, "warc-first")  # so that the join's hot partitions can be split
     again = known.drop("n").join(first, "digest").filter("page_id IS DISTINCT FROM refers_to").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to").distinct()
     again = materialise(again, "warc-revisits")
     again = broadcast_if(again, again.count() <= REVISITS)

@@ -52,6 +52,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    _remove(spark, path)
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like materialise(), and the path, for discard()."""
+    found = materialise(df, name)
+    return found, _written[-1][1]
+
+
 def broadcast_if(df: DataFrame, fits: bool) -> DataFrame:
     """Broadcast a side whose size has been measured; past the bound, leave it to a shuffled join."""
     return F.broadcast(df) if fits else df

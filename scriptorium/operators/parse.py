@@ -61,7 +61,7 @@ def _one(text: str | None) -> tuple:
     return True, good, len(items) - len(good)
 
 
-def _loads(column: str) -> Column:
+def _loads(column: Column) -> Column:
     """ok, entities, n_malformed as Python's json module sees them."""
 
     @F.pandas_udf(f"struct<ok:boolean,entities:{ENTITIES},n_malformed:int>")
@@ -77,15 +77,20 @@ def parse(responses: DataFrame, exact: bool = False, strict: bool = False) -> Da
 
     Malformed items go and are counted; with strict, one of them empties the row's entities.
     """
-    df = responses.withColumn("_c", F.coalesce("raw_response", F.lit(""))).withColumn("_r", repaired(F.col("_c")))
-    if exact:
-        df = df.withColumn("_first", _loads("_c")).withColumn("_second", _loads("_r"))
-        one, two = ([F.col(f"{c}.{f}") for f in ("ok", "entities", "n_malformed")] for c in ("_first", "_second"))
-    else:
-        one, two = _native(F.col("_c")), _native(F.col("_r"))
-        named = {f"_{k}{i}": c for i, cols in ((1, one), (2, two)) for k, c in zip("oem", cols, strict=True)}
-        df = df.withColumns(named)
-        one, two = ([F.col(f"_{k}{i}") for k in "oem"] for i in (1, 2))
+    df = responses.withColumn("_c", F.coalesce("raw_response", F.lit("")))
+    tried = {}
+    for i, content in (("1", F.col("_c")), ("2", F.when(~F.col("_o1"), repaired(F.col("_c"))))):  # repaired only where strict parsing fails
+        if i == "2":
+            df = df.withColumn("_r", content)
+            content = F.col("_r")
+        if exact:
+            df = df.withColumn("_x" + i, _loads(content))
+            cols = [F.col(f"_x{i}.{f}") for f in ("ok", "entities", "n_malformed")]
+        else:
+            cols = _native(content)
+        df = df.withColumns({f"_{k}{i}": c for k, c in zip("oem", cols, strict=True)})
+        tried[i] = [F.col(f"_{k}{i}") for k in "oem"]
+    one, two = tried["1"], tried["2"]
     status = F.when(one[0], "strict").when(two[0], "repaired").when((F.col("_r") != "") & (F.size(salvaged(F.col("_c"))) > 0), "salvaged").otherwise("failed")
     df = df.withColumn("parse_status", status)
     pick = lambda i, other: F.when(F.col("parse_status") == "strict", one[i]).when(F.col("parse_status") == "repaired", two[i]).otherwise(other)
@@ -103,4 +108,5 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 def long(parsed: DataFrame) -> DataFrame:
     """One row for each entity: the columns but raw_response and the parser's, and entity_idx, text, label."""
     rest = [c for c in parsed.columns if c not in ("raw_response", "parse_status", "entities", "n_malformed")]
-    return parsed.select(*rest, F.inline("entities"))
+    # Outer, as Spark adds a filter on the array's size below a plain one, which would parse twice.
+    return parsed.select(*rest, F.inline_outer("entities")).filter("entity_idx IS NOT NULL")

@@ -38,7 +38,7 @@ def wide(entities: DataFrame, names: list[str], documents: DataFrame | None = No
     Rows follow document names, which stand for the order of files.
     """
     ranked = entities.filter(F.col("label").isin(names)).withColumn("i", F.row_number().over(Window.partitionBy("model", "doc_name", "label").orderBy("chunk_idx", "entity_idx")) - 1)
-    body = ranked.groupBy("model", "doc_name", "i").pivot("label", names).agg(F.first("text"))
+    body = cut(ranked.groupBy("model", "doc_name", "i").pivot("label", names).agg(F.first("text")))  # read twice; what made the entities may be dear
     known = (documents if documents is not None else entities).select("model", "doc_name").distinct()
     ends = known.select("model", "doc_name", F.lit(SEPARATOR).alias("i"), *[F.lit("").alias(n) for n in names])
     sizes = known.join(body.groupBy("model", "doc_name").agg(F.count("*").alias("n")), ["model", "doc_name"], "left").select("model", "doc_name", (F.coalesce("n", F.lit(0)) + 1).alias("n"))

@@ -123,13 +123,13 @@ def path_stem(spark, sf_dir):
 
 @query(f"WITH {_CUTS} SELECT doc_id, CAST(idx AS INTEGER) AS chunk_idx, CAST(pos AS INTEGER) AS chunk_start, CAST(e AS INTEGER) AS chunk_end FROM cuts")
 def chunk_bounds(spark, sf_dir):
-    cut = documents(spark, sf_dir).select("doc_id", F.inline(chunk.bounds(F.col("text"), SMALL, OVERLAP)))
+    cut = documents(spark, sf_dir).select("doc_id", F.inline_outer(chunk.bounds(F.col("text"), SMALL, OVERLAP))).filter("chunk_idx IS NOT NULL")
     return cut.select("doc_id", "chunk_idx", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
 
 
 @query(f"WITH {_CUTS} SELECT doc_id, CAST(idx AS INTEGER) AS chunk_idx, CAST(pos AS INTEGER) AS chunk_start, CAST(e AS INTEGER) AS chunk_end FROM cuts")
 def chunk_bounds_native(spark, sf_dir):
-    cut = documents(spark, sf_dir).select("doc_id", F.inline(chunk.bounds_native(F.col("text"), SMALL, OVERLAP)))
+    cut = documents(spark, sf_dir).select("doc_id", F.inline_outer(chunk.bounds_native(F.col("text"), SMALL, OVERLAP))).filter("chunk_idx IS NOT NULL")
     return cut.select("doc_id", "chunk_idx", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
 
 

@@ -14,6 +14,8 @@ from .text import normal_place, tokens
 
 # Weights of the factors of a match.
 WEIGHTS = {"name_exact": 1.0, "name_partial": 0.7, "name_edit": 0.5, "date_overlap": 0.8, "date_near": 0.6, "place": 0.9, "context": 0.4}
+#: Pairs of names that a task remembers.
+MEMO = 100_000
 YEAR = r"(?U)\b(1[5-9]\d{2}|20\d{2})\b"
 
 
@@ -40,12 +42,21 @@ def sequence_bound(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio; not symmetric, so the order of the names matters. No native function gives it."""
+    """Ratcliff-Obershelp ratio; not symmetric, so the order of the names matters. No native function gives it.
+
+    Names recur, so each task remembers a bounded number of pairs.
+    """
+    memo: dict[tuple[str, str], float] = {}
     for left, right in pairs:
-        matcher, out = SequenceMatcher(None), []
+        out = []
         for a, b in zip(left, right, strict=True):
-            matcher.set_seqs(a or "", b or "")
-            out.append(matcher.ratio())
+            pair = (a or "", b or "")
+            ratio = memo.get(pair)
+            if ratio is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                ratio = memo[pair] = SequenceMatcher(None, *pair).ratio()
+            out.append(ratio)
         yield pd.Series(out, dtype="float64")
 
 

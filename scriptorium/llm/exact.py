@@ -49,7 +49,7 @@ def with_probe(df: DataFrame, sha: str, blocks: int) -> DataFrame:
 
 def repeated_bits(probed: DataFrame) -> DataFrame:
     """Pass one: the bits that two or more rows set, by block. Hot texts collapse in the partial count."""
-    per_bit = probed.select("_block", F.explode("_bits").alias("_bit")).groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter("n >= 2")
+    per_bit = probed.select("_block", F.explode_outer("_bits").alias("_bit")).groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter("n >= 2")
     return per_bit.groupBy("_block").agg(F.bit_or(_bit(F.col("_bit"))).alias("_seen"))
 
 
@@ -67,6 +67,7 @@ def groups(docs: DataFrame) -> DataFrame:
     probed = with_probe(small, "text_sha256", n_blocks(small.count()))
     maybe, unique = split(probed, materialise(repeated_bits(probed), "exact-bloom"))
     best = maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("_n")).alias("n"), "doc_id", "_row")).alias("best"))
+    best = materialise(best, "exact-groups")  # a join of two plain exchanges, whose hot partitions adaptive execution splits
     met = maybe.join(best, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best._row") == F.col("_row")).alias("kept"), "text_sha256")
     return met.unionByName(unique.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"))
 

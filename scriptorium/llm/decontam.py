@@ -36,8 +36,8 @@ def words(text: Column) -> Column:
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep, words and each place where a shingle starts."""
     df = df.select(*keep, words(text_of()).alias("_w"))
-    places = F.when(F.size("_w") >= WIDTH, F.sequence(F.lit(0), F.size("_w") - WIDTH))  # not a filter, which would split texts twice
-    return df.select(*keep, "_w", F.explode(places).alias("_at"))
+    places = F.when(F.size("_w") >= WIDTH, F.sequence(F.lit(0), F.size("_w") - WIDTH))  # no filter and no plain explode, which would split texts twice
+    return df.select(*keep, "_w", F.explode_outer(places).alias("_at")).filter("_at IS NOT NULL")
 
 
 def _at(i: int) -> Column:

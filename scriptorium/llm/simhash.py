@@ -28,6 +28,8 @@ SEED, RADIUS, SHINGLE = 42, 2, 3
 PIVOTS = 24
 #: Members under one key from which links go through neighbours one bit away, and rows of drops that are broadcast.
 CROWD, DROPS = 1_500, 2_000_000
+#: Neighbours of a crowd's members that are held at once.
+AT_ONCE = 4_000_000
 #: Blocks as (lowest bit, bits).
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -101,13 +103,21 @@ class Forest:
 
 
 def crowd(fp: np.ndarray, forest: Forest, at: np.ndarray) -> None:
-    """Links members that share a fingerprint one bit away or less, one neighbour bit against all at a time."""
-    near = np.concatenate([fp, *(fp ^ np.uint64(1 << b) for b in range(64))])
-    who = np.tile(at, 65)
-    order = np.argsort(near, kind="stable")
-    near, who = near[order], who[order]
-    for i, j in zip(who[:-1][near[1:] == near[:-1]].tolist(), who[1:][near[1:] == near[:-1]].tolist(), strict=True):
-        forest.join(i, j)
+    """Links members that share a fingerprint one bit away or less. Neighbours are taken in passes of bounded size."""
+    passes = np.uint64(1 + 65 * len(fp) // AT_ONCE)
+    for r in range(int(passes)):
+        near, who = [], []
+        for flip in (0, *(1 << b for b in range(64))):
+            z = fp ^ np.uint64(flip)
+            mine = (z * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % passes == r
+            near.append(z[mine])
+            who.append(at[mine])
+        near, who = np.concatenate(near), np.concatenate(who)
+        order = np.argsort(near, kind="stable")
+        near, who = near[order], who[order]
+        same = near[1:] == near[:-1]
+        for i, j in zip(who[:-1][same].tolist(), who[1:][same].tolist(), strict=True):
+            forest.join(i, j)
 
 
 def links(key: np.ndarray, fp: np.ndarray, reference: np.ndarray, crowded: int = CROWD) -> tuple[np.ndarray, np.ndarray]:

@@ -92,13 +92,13 @@ def stable(text: str, at: int) -> bool:
 
 def huge(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
     """Token count of a huge text, and how often something was widened. encode: a string to its tokens' (start, end)."""
-    total, widened, done, end = 0, 0, 0, chunk
+    total, widened, done, end, step = 0, 0, 0, chunk, chunk
     now = [a for a, _ in encode(text[:end])]  # token starts from the stable place `done` on
     while end < len(text):
         wide, at = overlap, 0
         while True:
             begin = max(done, end - wide)
-            far = end + chunk
+            far = end + step
             after = [begin + a for a, _ in encode(text[begin:far])]
             both = set(after)
             at = max((a for a in now if a > done and a in both and stable(text, a)), default=0)
@@ -107,9 +107,9 @@ def huge(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple
             wide, widened = wide * 2, widened + 1
         if at:
             total += sum(a < at for a in now)
-            done, now = at, [a for a in after if a >= at]
-        else:  # no stable place since the last one: `after` began there, so it is the longer chunk
-            now, widened = after, widened + 1
+            done, now, step = at, [a for a in after if a >= at], chunk
+        else:  # no stable place since the last one: `after` began there, so it is the longer chunk; the next is twice that
+            now, widened, step = after, widened + 1, far - done
         end = far
     return total + len(now), widened
 

@@ -233,6 +233,7 @@ def test_simhash_brute_force(spark, documents):
 def test_links_reach_what_near_pairs_reach(spark, crowded, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", crowded)
     monkeypatch.setattr(simhash.links, "__defaults__", (crowded,))
+    monkeypatch.setattr(simhash, "AT_ONCE", 5000)
     rng = random.Random(7)
     prints = [rng.getrandbits(64) for _ in range(300)]
     for _ in range(900):

@@ -69,10 +69,10 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, use_s
     # The score grows with the name's while there is one, and without a name it is the mean of the rest.
     most = F.when(settled, score(known)).otherwise(F.greatest(score(bound), score(F.lit(0.0))))
     close = blocks(a, b, lambda x: computed(native_features(x), _most=most).filter(F.col("_most") >= threshold - 1e-12))
-    sure = close.filter(settled).withColumn("_seq", F.lit(0.0))
-    asked = close.filter(~settled).withColumn("_seq", sim.sequence(F.col("a_low"), F.col("b_low")))
-    scored = sure.unionByName(asked).withColumn("match_probability", score(F.greatest(known, F.col("_seq"))))
-    return scored.filter(F.col("match_probability") >= threshold).drop("_most", "_seq")
+    # One pass over the pairs; for settled ones the function gets nulls, which cost nothing.
+    ratio = sim.sequence(F.when(~settled, F.col("a_low")), F.when(~settled, F.col("b_low")))
+    scored = close.withColumn("_ratio", ratio).withColumn("_seq", F.when(settled, 0.0).otherwise(F.col("_ratio"))).withColumn("match_probability", score(F.greatest(known, F.col("_seq"))))
+    return scored.filter(F.col("match_probability") >= threshold).drop("_most", "_seq", "_ratio")
 
 
 def blocks(a: DataFrame, b: DataFrame, then) -> DataFrame:

@@ -40,14 +40,16 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
-def _native(json_text: Column) -> tuple[Column, Column, Column]:
-    """Whether it parses, its entities, and how many items are malformed."""
-    s = strip(json_text)
-    parsed = F.try_parse_json(F.when(s.rlike(r'^[\{\["0-9tfn-][\s\S]*[\}\]"0-9el]$'), s))
-    items = F.try_variant_get(parsed, "$.entities", "array<variant>")
-    ok = lambda v: (_kind(v, "$.text") == "STRING") & (_kind(v, "$.label") == "STRING")
-    good = F.filter(F.transform(items, lambda v, i: F.struct(i.cast("int").alias("entity_idx"), F.when(ok(v), F.try_variant_get(v, "$.text", "string")).alias("text"), F.when(ok(v), F.try_variant_get(v, "$.label", "string")).alias("label"))), lambda e: e["text"].isNotNull())
-    return parsed.isNotNull(), F.coalesce(good.cast(ENTITIES), F.expr(f"CAST(array() AS {ENTITIES})")), F.coalesce(F.size(items) - F.size(good), F.lit(0))
+def _native(df: DataFrame, content: Column, i: str) -> DataFrame:
+    """Adds whether it parses, its entities, and how many items are malformed. In steps, so that each is evaluated once."""
+    s = strip(content)
+    v, items, good = f"_v{i}", f"_i{i}", f"_g{i}"
+    ok = lambda x: (_kind(x, "$.text") == "STRING") & (_kind(x, "$.label") == "STRING")
+    df = df.withColumn(v, F.try_parse_json(F.when(s.rlike(r'^[\{\["0-9tfn-][\s\S]*[\}\]"0-9el]$'), s)))
+    df = df.withColumn(items, F.try_variant_get(v, "$.entities", "array<variant>"))
+    made = F.transform(items, lambda x, k: F.when(ok(x), F.struct(k.cast("int").alias("entity_idx"), F.try_variant_get(x, "$.text", "string").alias("text"), F.try_variant_get(x, "$.label", "string").alias("label"))))
+    df = df.withColumn(good, F.array_compact(made).cast(ENTITIES))
+    return df.withColumns({f"_o{i}": F.col(v).isNotNull(), f"_e{i}": F.coalesce(good, F.expr(f"CAST(array() AS {ENTITIES})")), f"_m{i}": F.coalesce(F.size(items) - F.size(good), F.lit(0))})
 
 
 def _one(text: str | None) -> tuple:
@@ -85,10 +87,9 @@ def parse(responses: DataFrame, exact: bool = False, strict: bool = False) -> Da
             content = F.col("_r")
         if exact:
             df = df.withColumn("_x" + i, _loads(content))
-            cols = [F.col(f"_x{i}.{f}") for f in ("ok", "entities", "n_malformed")]
+            df = df.withColumns({f"_{k}{i}": F.col(f"_x{i}.{f}") for k, f in zip("oem", ("ok", "entities", "n_malformed"), strict=True)})
         else:
-            cols = _native(content)
-        df = df.withColumns({f"_{k}{i}": c for k, c in zip("oem", cols, strict=True)})
+            df = _native(df, content, i)
         tried[i] = [F.col(f"_{k}{i}") for k in "oem"]
     one, two = tried["1"], tried["2"]
     status = F.when(one[0], "strict").when(two[0], "repaired").when((F.col("_r") != "") & (F.size(salvaged(F.col("_c"))) > 0), "salvaged").otherwise("failed")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, tabulate
+from ..session import spread
 from ..sources import sinks
 from .extract import extract, prompts
 
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, doc_name, text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.format_string("doc%010d", "doc_id").alias("doc_name"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.format_string("doc%010d", "doc_id").alias("doc_name"), "text")
 
 
 def entities(spark: SparkSession, sf_dir: str, model: str = "alpha") -> DataFrame:
@@ -410,7 +411,7 @@ _LEFT_NAME = "CASE p_partkey % 3 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN p_name
 
 
 def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    part, none = table(spark, sf_dir, "part"), F.array().cast("array<string>")
+    part, none = spread(table(spark, sf_dir, "part")), F.array().cast("array<string>")
     left = part.select(
         F.col("p_partkey").alias("person_idx"), F.expr(_LEFT_NAME).alias("name"), F.col("p_type").alias("document"), F.concat(F.lit("Found in document: "), "p_type").alias("description"),
         F.array(F.concat(F.lit("c. "), (F.col("p_size") + 1780).cast("string"))).alias("dates"), F.array("p_brand").alias("locations"), none.alias("occupations"),
@@ -501,7 +502,7 @@ def claim_classify(spark, sf_dir):
 SELECT db_idx, id, name, description, alias AS aliases, d1 || '|' || d2 AS dates, place || '|' || q AS locations, job AS occupations FROM p WHERE {_IS_PERSON("name")}""")
 def authority_persons(spark, sf_dir):
     text = lambda c, **more: F.struct(F.struct(F.struct(F.lit("string").alias("type"), c.alias("value")).alias("datavalue")).alias("mainsnak"), *[v.alias(k) for k, v in more.items()])
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     time = F.struct(F.struct(F.struct(F.lit("time").alias("type"), F.struct(F.concat(F.lit("+"), (1800 + F.col("p_size")).cast("string"), F.lit("-00-00T00:00:00Z")).alias("time")).alias("value")).alias("datavalue")).alias("mainsnak"))
     qualifier = F.struct(F.array(F.struct(F.struct(F.lit("string").alias("type"), F.concat(F.lower("p_name"), F.lit(" river")).alias("value")).alias("datavalue"))).alias("Q1"))
     value = lambda c: F.struct(F.struct(c.alias("value")).alias("en"))

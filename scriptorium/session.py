@@ -15,6 +15,15 @@ def session(name: str = "scriptorium", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer partitions than there are cores out to all of them, as work on rows is dear here.
+
+    Large inputs have more partitions than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir, which all executors share; one is set only where none is."""
     context = df.sparkSession.sparkContext

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force."""
 
 import hashlib
+import random
 import re
 
 from llm.conftest import CHECK
@@ -35,3 +36,52 @@ def test_stages_judge_their_own_input(spark, tmp_path):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, CHECK).columns[:3] == ["doc_id", "start", "length"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "simhash near-dedup", "benchmark decontamination", "packing"]
+
+
+def _alike(docs):
+    """Ids of texts that stay, by all pairs."""
+    shingles = {}
+    for d, t in docs.items():
+        w = t.lower().split()
+        shingles[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    ids, up = sorted(docs), {d: d for d in docs}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = shingles[a], shingles[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                lo, hi = sorted((root(a), root(b)))
+                up[hi] = lo
+    return {d for d in ids if root(d) == d}
+
+
+def test_near_copies_go(spark, documents, monkeypatch):
+    from scriptorium.llm import near
+
+    rng = random.Random(3)
+    docs = {}
+    for g in range(40):
+        w = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(3, 300))]
+        for k in range(rng.randint(1, 6)):
+            docs[10 * g + k] = " ".join(w)
+            w = list(w)
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = f"v{rng.randint(0, 900)}"
+    base = [f"x{i}" for i in range(200)]
+    for k in range(90):  # a crowd
+        docs[1000 + k] = " ".join([*base[:k], f"y{k}", *base[k + 1 :]])
+    df = documents(list(docs.items()))
+    want = _alike(docs)
+    assert len(want) < 100
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, CHECK).collect()} == want
+    monkeypatch.setattr(near, "CROWD", 20)
+    left = near.drop_near_copies(df)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == want
+    odd = documents([(1, None), (2, " "), (3, "a"), (None, docs[0]), (4, docs[0]), (5, "b c")])
+    assert {r.doc_id for r in near.drop_near_copies(odd).collect()} == {1, 3, None, 5}
+    assert near.drop_near_copies(df.limit(0)).count() == 0

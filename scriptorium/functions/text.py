@@ -61,8 +61,8 @@ def stem(name: Column) -> Column:
 
 
 def eval_key(c: Column) -> Column:
-    """Lower case, stripped; null is empty. Inner white space stays."""
-    return F.coalesce(strip(F.lower(c.cast("string"))), F.lit(""))
+    """Lower case, stripped of what Python takes for white space; null is empty. Inner white space stays."""
+    return F.coalesce(F.regexp_replace(F.lower(c.cast("string")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
 
 
 def clean_name(c: Column) -> Column:

@@ -108,10 +108,9 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_escape(F.col("html")).cast("binary")).alias("escaped_md5"))
 
 
-@query(r"""SELECT conv_id, turn, md5(regexp_replace(lower(text), '^\s+|\s+$', '', 'g')) AS key_md5 FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+@query()
 def eval_normalise(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return turns.select("conv_id", "turn", F.md5(tx.eval_key(F.col("text")).cast("binary")).alias("key_md5"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.eval_key(F.col("text")).cast("binary")).alias("key_md5"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '(.)\.[^.]*$', '\1') AS stem FROM pages""")

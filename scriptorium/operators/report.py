@@ -14,6 +14,11 @@ COLOURS = {
 OTHER = "#CCCCCC"
 
 
+def no_entities() -> Column:
+    """What a text without entities is highlighted with."""
+    return F.expr("CAST(array() AS array<struct<entity_idx:int,text:string,label:string>>)")
+
+
 def colour(label: Column) -> Column:
     """A label's colour."""
     known = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
@@ -66,10 +71,9 @@ def sections(docs: DataFrame, entities: DataFrame) -> DataFrame:
     items = F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("<li>"), html_escape(x), F.lit("</li>"))), ""), F.lit("</ul>"))
     one = F.concat(F.lit("<h4>"), html_escape(F.col("label")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h4>"), items)
     sums = summary(entities).withColumn("one", one).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("rank", "one"))).alias("sums"))
-    none = F.expr("CAST(array() AS array<struct<entity_idx:int,text:string,label:string>>)")
     df = docs.join(listed, "base", "left").join(sums, "base", "left")
     body = F.concat(
-        F.lit('<section id="'), html_escape(F.col("base")), F.lit('"><h2>'), html_escape(F.col("base")), F.lit("</h2><pre>"), highlight(F.col("text"), F.coalesce("entities", none)), F.lit("</pre>"),
+        F.lit('<section id="'), html_escape(F.col("base")), F.lit('"><h2>'), html_escape(F.col("base")), F.lit("</h2><pre>"), highlight(F.col("text"), F.coalesce("entities", no_entities())), F.lit("</pre>"),
         F.coalesce(F.array_join(F.transform("sums", lambda s: s["one"]), ""), F.lit("")), F.lit("</section>"),
     )
     return df.select("base", body.alias("html"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import newlines, stem
-from ..operators import chunk, parse
+from ..operators import chunk, dedup, parse
+from ..plans.extract import prompts
 from ..sources.files import decoded, file_name
 
 
@@ -26,8 +27,8 @@ def extract_stream(docs: DataFrame, annotator, out: str, checkpoint: str, max_to
 
     def batch(df: DataFrame, n: int) -> None:
         keyed = df.withColumns({"doc_id": F.xxhash64("file_name"), "doc_name": F.col("stem")})
-        annotator.annotate(chunk.chunks(keyed, max_tokens, overlap_tokens)).write.mode("overwrite").parquet(f"{out}/bronze/batch={n}")
+        annotator.annotate(prompts(keyed, max_tokens, overlap_tokens)).write.mode("overwrite").parquet(f"{out}/bronze/batch={n}")
         bronze = df.sparkSession.read.parquet(f"{out}/bronze/batch={n}")
-        parse.long(parse.parse(bronze)).drop("chunk").write.mode("overwrite").parquet(f"{out}/entities/batch={n}")
+        dedup.dedup(parse.long(parse.parse(bronze))).drop("chunk", "prompt").write.mode("overwrite").parquet(f"{out}/entities/batch={n}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -73,3 +73,13 @@ def test_authority_lines_and_sinks(spark, tmp_path):
     sinks.write_entities(df, str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).count() == 1
     assert parse.dead_letters(parse.parse(spark.createDataFrame([("no",)], "raw_response string"))).count() == 1
+
+
+def test_stream_prompts_and_dedups_chunks(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "long.txt").write_text("Ann Lee met Bob Roe in 1799. " * 60)
+    ingest.extract_stream(ingest.text_stream(spark, str(tmp_path / "t")), annotate.RuleAnnotator("alpha"), str(tmp_path / "o"), str(tmp_path / "c"), 100, 20).awaitTermination(120)
+    bronze = spark.read.parquet(str(tmp_path / "o" / "bronze")).collect()
+    assert len(bronze) > 1 and all(r.prompt.startswith(f"[Processing chunk {r.chunk_idx + 1} of {len(bronze)} from long.txt]") for r in bronze)
+    found = [(r.text.lower(), r.label) for r in spark.read.parquet(str(tmp_path / "o" / "entities")).collect()]
+    assert len(found) == len(set(found)) > 0

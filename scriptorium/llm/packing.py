@@ -44,6 +44,15 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = tokenizer(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def lower(self, text: str) -> str:
+        """The text in lower case, as the tokenizer does; fewer words to remember. Special tokens are found before
+        that, so a text where lower case makes one up or breaks one stays as it is."""
+        if _FAR.search(text):
+            return text
+        low = text.lower()
+        return low if all(low.count(x) == text.count(x) for x in self.special) else text
 
     def learn(self, new: list[str]) -> None:
         """Encodes words many at a time, with a control character between them, which is a token of its own."""
@@ -62,7 +71,7 @@ class Words(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts. The pattern never spans white space, so words can be encoded one by one."""
-        texts = [t if _FAR.search(t) else t.lower() for t in texts]  # as the tokenizer does; fewer words to remember
+        texts = list(map(self.lower, texts))
         split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
         if len(self) > MEMO:
             forget(self)

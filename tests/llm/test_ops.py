@@ -293,6 +293,15 @@ def test_packing_holds_every_id_once(spark, documents):
     assert packing.pack(documents(docs).limit(0), WORD).count() == 0
 
 
+def test_special_tokens_in_other_case():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    texts = ["a <|ENDOFTEXT|> B", "x<|StartOfText|>Y.", "<|endoftext|> Both <|EndOfText|>", "<|endoftext|>", "Plain Words."]
+    for text, ids in zip(texts, packing.Words(WORD).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_words_with_the_mark_and_forgetting(monkeypatch):
     from tokenizers import Tokenizer
 

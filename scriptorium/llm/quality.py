@@ -35,7 +35,7 @@ def shape(word: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not (out and out[-1] == k and (k == "a" or len(out) > 1 and out[-2] == k)):
             out.append(k)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class Shapes(dict):

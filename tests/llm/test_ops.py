@@ -122,6 +122,11 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([not got[d].keep for d, q in labels if q == 0]) > 0.8
 
 
+def test_quality_sees_the_tail_of_long_words():
+    assert quality.shape("248.167.124.71***").endswith("0**")
+    assert quality.profile("248.167.124.71*** " * 30, quality.Shapes())[0][quality.LABELLERS.index("tails")] == 0
+
+
 def test_quality_odd_rows(spark, documents):
     df = documents(odd_texts())
     got = quality.classify(df).collect()

@@ -38,7 +38,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     convs = convs.withColumn("heads", heads)
     stop = lambda k: F.when(k + 1 < F.size("heads"), F.get("heads", k + 1)).otherwise(F.size("turns") + 1)
     runs = F.transform("heads", lambda h, k: F.slice("turns", h, stop(k) - h))
-    texts = lambda run: F.aggregate(run, F.array().cast("array<string>"), lambda acc, t: F.array_append(acc, escape(t["text"])), lambda acc: F.array_join(acc, NEXT))
+    texts = lambda run: F.array_join(F.transform(run, lambda t: escape(t["text"])), NEXT)
     blocks = F.transform(runs, lambda run: F.concat(F.lit(START), escape(run[0]["role"]), F.lit(BODY), texts(run), F.lit(END)))
     return convs.select("conv_id", F.concat(F.lit(BEGIN), F.array_join(blocks, ""), F.lit(FINISH)).alias("formatted"))
 

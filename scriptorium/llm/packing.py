@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import forget, tokenizer
+from .tokens import tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
 END = 2
 #: Words remembered by a worker, and encoded in a run.
 MEMO, RUN, MARK = 900_000, 200, "\x01"
+#: Length of words that are kept when room is made.
+SHORT = 8
 #: Tokens gathered before a task packs, and windows in a step group.
 BLOCK, STEP = 1 << 20, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
@@ -38,6 +40,14 @@ _WORDS, _ODD = re.compile(r"[^ \t\n\r]+"), re.compile("[\x1c-\x1f]")
 _FAR = re.compile("[^\x00-\u024f]")
 
 
+def forget(memo: dict) -> None:
+    """Makes room: long words, which are rare, go first; all go if that is not enough."""
+    kept = {w: x for w, x in memo.items() if len(w) <= SHORT}
+    memo.clear()
+    if len(kept) <= MEMO // 2:
+        memo.update(kept)
+
+
 class Words(dict):
     """Ids of white-space separated words as little-endian bytes, bounded in entries."""
 

@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,3 +78,21 @@ def text_of(column: str = "text"):
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """A key of a row by content; rows that repeat id and text share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, most: int) -> DataFrame:
+    """Whole rows but those in `gone` (doc_id, key of row_key()), and but repeats of id and text, of which one stays.
+
+    gone: broadcast up to `most` rows, else joined by shuffle.
+    """
+    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "rows-gone")
+    gone = broadcast_if(gone, gone.count() <= most)
+    left = docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (row_key() == gone._key), "left_anti")
+    again = docs.groupBy(F.col("doc_id").alias("_id"), row_key().alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_key")
+    again = materialise(again, "rows-again")
+    many = again.count()
+    if not many:
+        return left
+    again = broadcast_if(again, many <= most)
+    same = docs.doc_id.eqNullSafe(again._id) & (row_key() == again._key)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -1,20 +1,25 @@
 """SimHash near-dedup with pivot distance tables.
 
-Distinct fingerprints are filed under nine keys: one of three blocks of bits, and one of three parts of the other
-bits. Two fingerprints that differ in at most two bits agree on a block, and on a part of the rest, so they meet
-under some key. Under a key, a table of Hamming distances to fixed pivot fingerprints discards the pairs of which
-any coordinate differs by more than two (the triangle inequality), and the survivors are verified. A key with very
-many members is linked through the fingerprints one bit away instead, which is exact too and linear. Only a
-spanning forest of links leaves a key, never all pairs. Components come from large-star and small-star rounds.
-
-Cases: texts without words, null ones too, have fingerprint zero; repeated rows share it; null ids are least, so
-such a row can only give a null component id if all its group's ids are null; an empty table gives no rows;
-further columns are ignored.
+Pivots are reference fingerprints; a fingerprint's coordinates are its Hamming distances to them. By the triangle
+inequality, the coordinates of two fingerprints within two bits differ by at most two each. That is used three times:
+to route (each of the first few coordinates is cut into cells, and a fingerprint within two of the next cell is filed
+there too, so close fingerprints share all cells of a key), to scan (members of a key are sorted by the next
+coordinate, and each meets those within two of it only), and to discard (pairs of which any coordinate differs by
+more than two). Survivors are verified by the Hamming distance itself. Cells alone would be too coarse for billions of
+fingerprints, so a key also holds one of three blocks of bits: two differing bits leave one block as it is. A key
+with more than CROWD members is filed again by cells of further pivots; what is still crowded when all pivots are
+used up is linked through the fingerprints one bit away, by a join, which is exact too and linear. Only a spanning
+forest of links leaves a key, never all pairs. Components come from large-star and small-star rounds.
+
+Cases: texts without words, null ones too, have fingerprint zero; repeated rows share it; the component id is the
+least id that is not null, null if a group has none; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -22,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialise, materialise_at, row_key, text_of
+from .common import broadcast_if, discard, materialise, materialise_at, row_key, text_of, without_rows
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
-PIVOTS = 24
-#: Members under one key from which links go through neighbours one bit away, and rows of drops that are broadcast.
-CROWD, DROPS = 1_500, 2_000_000
-#: Neighbours of a crowd's members that are held at once.
-AT_ONCE = 4_000_000
+#: Pivots, pivots whose cells route at a time, and the width of a cell; coordinates cluster around 32, a border.
+PIVOTS, ROUTE, CELL = 24, 6, 16
+#: Members of a key from which it is filed again, and rows of drops that are broadcast.
+CROWD, DROPS = 4_000, 2_000_000
 #: Blocks as (lowest bit, bits).
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -61,23 +65,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
-def keys(fps: DataFrame) -> DataFrame:
-    """key, fp: each fingerprint under its nine keys."""
-
-    def bits(low: int, n: int):
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))
-
-    made = []
-    for b, (low, n) in enumerate(BLOCKS):
-        rest = [(lo, k) for lo, k in BLOCKS if lo != low]
-        # The other two blocks as three parts: of the first, the second, and the ends of both.
-        (l1, n1), (l2, n2) = rest
-        parts = (bits(l1, 14), bits(l2, 14), F.shiftleft(bits(l1 + 14, n1 - 14), n2 - 14).bitwiseOR(bits(l2 + 14, n2 - 14)))
-        for p, part in enumerate(parts):
-            made.append(F.lit((b * 3 + p) << 40).bitwiseOR(F.shiftleft(bits(low, n), 16)).bitwiseOR(part))
-    return fps.select(F.explode(F.array(*made)).alias("key"), "fp")
-
-
 def pivots(n: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints, from a rule."""
     import xxhash
@@ -102,54 +89,89 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def crowd(fp: np.ndarray, forest: Forest, at: np.ndarray) -> None:
-    """Links members that share a fingerprint one bit away or less. Neighbours are taken in passes of bounded size."""
-    passes = np.uint64(1 + 65 * len(fp) // AT_ONCE)
-    for r in range(int(passes)):
-        near, who = [], []
-        for flip in (0, *(1 << b for b in range(64))):
-            z = fp ^ np.uint64(flip)
-            mine = (z * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % passes == r
-            near.append(z[mine])
-            who.append(at[mine])
-        near, who = np.concatenate(near), np.concatenate(who)
-        order = np.argsort(near, kind="stable")
-        near, who = near[order], who[order]
-        same = near[1:] == near[:-1]
-        for i, j in zip(who[:-1][same].tolist(), who[1:][same].tolist(), strict=True):
-            forest.join(i, j)
-
-
-def links(key: np.ndarray, fp: np.ndarray, reference: np.ndarray, crowded: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among members of each key; rows come sorted by key, whole keys only."""
+def coordinates(fp: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """The pivot distance table: a row for each fingerprint, a column for each pivot."""
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ reference[None, :]).view(np.int8)
+
+
+def cells(fp: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Member number and cell code of each fingerprint, once for each combination of cells within RADIUS above its coordinates.
+
+    Of two coordinates that differ by at most RADIUS, the upper one's cell is the lower one's or the cell RADIUS above it.
+    """
+    table = coordinates(fp, reference)
+    who, code = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+    for p in range(len(reference)):
+        here, next_ = table[who, p] // CELL, (table[who, p] + RADIUS) // CELL
+        both = here != next_
+        who, code = np.r_[who, who[both]], np.r_[code * 8 + here, code[both] * 8 + next_[both]]
+    return who, code
+
+
+def routed(filed: DataFrame, level: int) -> DataFrame:
+    """key, fp: members under the cells of this level's pivots. Level 0 takes fp and adds the blocks of bits; others take key, fp and refine keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference = pivots()[level * ROUTE : (level + 1) * ROUTE]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                fp = part.column(part.num_columns - 1).to_numpy()
+                who, code = cells(fp, reference)
+                if level:
+                    made = [mixed(part.column(0).to_numpy()[who].view(np.uint64) ^ mixed(code.view(np.uint64) + np.uint64(level)))]
+                else:
+                    bits = [(fp.view(np.uint64) >> np.uint64(low) & np.uint64((1 << n) - 1))[who] for low, n in BLOCKS]
+                    made = [np.uint64(b << 60) | x << np.uint64(3 * ROUTE) | code.view(np.uint64) for b, x in enumerate(bits)]
+                for key in made:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[who])], ["key", "fp"])
+
+    return filed.mapInArrow(run, "key long, fp long")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def links(key: np.ndarray, fp: np.ndarray, reference: np.ndarray, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among members of each key; rows come sorted by key and the first pivot's coordinate, whole keys only.
+
+    tally: counts pairs under a key, in a scan, left by the pivots, and linked.
+    """
     n = len(key)
+    table = coordinates(fp, reference)
     fp = fp.view(np.uint64)
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, int)
-    size = np.diff(np.r_[starts, n])
-    left = np.repeat(starts + size, size) - np.arange(n)  # members from this one on
-    forest = Forest(n)
-    some = np.repeat(size, size)
-    for s, k in zip(starts[size > crowded], size[size > crowded], strict=True):
-        crowd(fp[s : s + k], forest, np.arange(s, s + k))
-    at = np.flatnonzero((some > 1) & (some <= crowded))
-    table = np.zeros((n, len(reference)), np.int8)
-    table[at] = np.bitwise_count(fp[at][:, None] ^ reference[None, :])
-    step = 1
+    group = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if n else np.zeros(0, int)
+    order = group * 256 + table[:, 0]
+    left = np.searchsorted(order, order + RADIUS, "right") - np.arange(n)  # members from this one to the last within RADIUS
+    if tally is not None:
+        size = np.bincount(group)
+        tally["met"] += int((size * (size - 1) // 2).sum())
+        tally["scanned"] += int((left - 1).sum())
+    forest, at, step = Forest(n), np.arange(n), 1
     while len(at := at[left[at] > step]):
         close = at[np.abs(table[at] - table[at + step]).max(axis=1) <= RADIUS]
-        for i in close[np.bitwise_count(fp[close] ^ fp[close + step]) <= RADIUS].tolist():
+        linked = close[np.bitwise_count(fp[close] ^ fp[close + step]) <= RADIUS]
+        for i in linked.tolist():
             forest.join(i, i + step)
+        if tally is not None:
+            tally["left"] += len(close)
+            tally["linked"] += len(linked)
         step += 1
     root = np.fromiter(map(forest.root, range(n)), np.int64, n)
     moved = np.flatnonzero(root != np.arange(n))
     return fp[moved].view(np.int64), fp[root[moved]].view(np.int64)
 
 
-def edges(fps: DataFrame) -> DataFrame:
-    """a, b: links that join all fingerprints that reach each other."""
+def linked(filed: DataFrame, level: int) -> DataFrame:
+    """a, b: links within each key. Members are scanned by the first coordinate that did not route."""
+    first = min((level + 1) * ROUTE, PIVOTS - 1)
+    reference = np.r_[pivots()[first:], pivots()[:first]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference = pivots()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -167,8 +189,35 @@ def edges(fps: DataFrame) -> DataFrame:
         if count:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    spread = keys(fps).repartition("key").sortWithinPartitions("key", "fp")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    coordinate = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(reference[:1].view(np.int64)[0]))))
+    return filed.repartition("key").sortWithinPartitions("key", coordinate, "fp").mapInArrow(run, "a long, b long")
+
+
+def neighbours(fps: DataFrame) -> DataFrame:
+    """a, b: links between fingerprints that share one of their 65 neighbours within one bit, by a join on these."""
+    near = F.array("fp", *[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)])
+    met = fps.select(F.explode(near).alias("near"), "fp").groupBy("near").agg(F.collect_set("fp").alias("fps"))  # 65 at most
+    return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a != b")
+
+
+def edges(fps: DataFrame) -> DataFrame:
+    """a, b: links that join all fingerprints that reach each other."""
+    filed, found = routed(fps, 0), []
+    for level in range(PIVOTS // ROUTE):
+        filed = materialise(filed, "simhash-keys")
+        crowded = materialise(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "simhash-crowded")
+        many = crowded.count()
+        if not many:
+            found.append(linked(filed, level))
+            break
+        crowded = broadcast_if(crowded, many <= DROPS)
+        found.append(linked(filed.join(crowded, "key", "left_anti"), level))
+        filed = filed.join(crowded, "key", "left_semi")
+        if level + 1 < PIVOTS // ROUTE:
+            filed = routed(filed, level + 1)
+        else:
+            found.append(neighbours(filed.select("fp").distinct()))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,14 +242,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp, component_id of every document."""
+    """doc_id, key, fp, root (a fingerprint), component_id of every document."""
     prints = materialise(fingerprints(docs), "simhash-fps")
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(edges(fps.select("fp")))
     known = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = materialise(known, "simhash-known")
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(known.select("fp", "root").join(ids, "root").drop("root"), "fp")
+    return prints.join(known.select("fp", "root").join(ids, "root"), "fp")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -209,7 +258,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, whole rows."""
-    gone = materialise(classes(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "simhash-gone")
-    gone = broadcast_if(gone, gone.count() <= DROPS)
-    return docs.join(gone, (docs.doc_id == gone._id) & (row_key() == gone._key), "left_anti")
+    """The documents that stay, one of each component, whole rows: the least id (null last), then the least key.
+
+    Of rows that repeat id and text one stays.
+    """
+    known = materialise(classes(docs).select("doc_id", "key", "root"), "simhash-classes")
+    stay = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    stay = materialise(stay, "simhash-stay")  # a join of two plain exchanges, whose hot partitions adaptive execution splits
+    gone = known.join(stay, "root").filter("NOT (doc_id <=> first.doc_id AND key = first.key)").select("doc_id", "key").distinct()
+    return without_rows(docs, gone, DROPS)

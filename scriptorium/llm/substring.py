@@ -2,14 +2,16 @@
 
 Every window of 35 words is filed under its anchor, the least hash among its word 8-grams, so equal windows share
 an anchor wherever they stand. Neighbouring windows with one anchor form a region. Anchors that stand once cannot
-repeat and are gone after one count. Where all regions of an anchor are the same, all their windows repeat. The
-other regions, each distinct one once with its number of copies, are the reference: they are dealt by anchor into
-bounded shards, a suffix automaton with occurrence counts is built of each shard, and the shard's regions stream
-through it. The matching statistics, capped at 35 words, give the state of each window and so its count.
+repeat and are gone after one count. The regions of the others, each kind once with its number of places, are the
+reference: every repeated window is settled by a suffix automaton of a shard of it, through which regions stream; a
+window repeats if its matching statistics say that 35 words match and stand at two places or more.
 
-A shard is handed to the task that needs it by its anchor rather than broadcast to all: automata of a whole corpus
-have no size bound, and every document would meet every shard. An anchor with very many regions is counted by
-window hashes in its task, and beyond CROWD places its windows are filed under their own hashes, over all tasks.
+An anchor with at most SHARD words of regions belongs to one shard with others: the shard's automaton counts places,
+and its own regions stream through it. It is handed to a task by its anchors, as automata of a whole corpus have no
+size bound and not every document can meet every shard. An anchor with more is hot: its most frequent region is its
+reference, broadcast (REFERENCE rows at most, else joined), and all its regions stream past that wherever they are,
+so no task gathers a hot anchor. Windows that match it repeat; the few that do not are counted under their own hashes,
+over all tasks, as is the reference itself.
 
 Cases: null and short texts lose nothing; windows may overlap themselves; repeated rows are two places, so all
 their windows repeat; a null doc_id is an id; an empty table gives no rows; further columns are ignored.
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, text_of
+from .common import broadcast_if, materialise, row_key, text_of
 
 WINDOW, GRAM = 35, 8
-#: Words of a shard, beyond which (one anchor has more) a hash table serves; places of one anchor beyond which windows are filed singly.
-DENSE, CROWD = 20_000, 200_000
+#: Words of a shard, and of an anchor's regions that are no more one shard's; references that are broadcast (some 25 MB); automata and entries that a task remembers.
+SHARD, REFERENCE, AUTOMATA, MEMO = 8_000, 50_000, 500, 500_000
 _BASE = 0x9E3779B97F4A7C15
 _KEY = "doc_id long, key long"
 
@@ -160,17 +162,8 @@ class Automaton:
             yield n, count[s]
 
 
-def repeated(seqs: list[np.ndarray], weights: list[int], window: int = WINDOW, dense: int = DENSE) -> list[np.ndarray]:
+def repeated(seqs: list[np.ndarray], weights: list[int], window: int = WINDOW) -> list[np.ndarray]:
     """For each region of one shard, whether each of its windows stands at two places or more."""
-    if sum(map(len, seqs)) > dense:
-        hashes = []
-        for s in seqs:
-            at = np.arange(len(s) - window + 1)
-            hashes.append(Hashes(s).spans(at, at + window))
-        sizes = [len(x) for x in hashes]
-        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(place, np.repeat(weights, sizes))
-        return np.split(total[place] >= 2, np.cumsum(sizes)[:-1])
     auto, lists = Automaton(), [s.tolist() for s in seqs]
     for s, w in zip(lists, weights, strict=True):
         auto.add(s, w)
@@ -219,31 +212,37 @@ def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return d.join(side, d.doc_id.eqNullSafe(side._d) & (d.key == side._k), "left").select("doc_id", "key", "text", "ranges")
 
 
-def _contents(docs: DataFrame, mixed: DataFrame, window: int, crowd: int) -> DataFrame:
-    """doc_id, key, at, anchor, region, words (as bytes): the regions whose anchor has several kinds."""
-    ranges = mixed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "many", "anchor", "region", (F.col("n") > crowd).alias("crowded"))).alias("ranges"))
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("anchor", pa.int64()), ("region", pa.int64()), ("words", pa.binary())])
+def _contents(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """anchor, region, n, lead, hot, words (as bytes) of each kind of region, read where it first stands. A kind can come more than once where rows repeat."""
+    one = F.struct("anchor", "region", "n", "lead", "hot", "first.at", "first.many")
+    ranges = kinds.groupBy("first.doc_id", "first.key").agg(F.collect_list(one).alias("ranges"))
+    schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("hot", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            rows: list[tuple] = []
-            for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = word_hashes((text or b"").split())
-                for r in found:
-                    at, many = r["at"], r["many"]
-                    if r["crowded"]:
-                        one = np.arange(at, at + many)
-                        rows += [(doc_id, key, i, h, h, None) for i, h in zip(one.tolist(), Hashes(words).spans(one, one + window).view(np.int64).tolist(), strict=True)]
-                    else:
-                        rows.append((doc_id, key, at, r["anchor"], r["region"], words[at : at + many + window - 1].tobytes()))
-            if rows:
-                yield _batch(list(zip(*rows, strict=True)), schema)
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in _slices([batch]):
+                rows: list[tuple] = []
+                for text, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    words = None
+                    for r in found:
+                        if (r["anchor"], r["region"]) not in seen:
+                            seen.add((r["anchor"], r["region"]))
+                            words = word_hashes((text or b"").split()) if words is None else words
+                            rows.append((r["anchor"], r["region"], r["n"], r["lead"], r["hot"], words[r["at"] : r["at"] + r["many"] + window - 1].tobytes()))
+                if len(seen) > MEMO:
+                    seen.clear()
+                if rows:
+                    yield _batch(list(zip(*rows, strict=True)), schema)
+
+    return _with_ranges(docs, ranges).filter("ranges IS NOT NULL").mapInArrow(run, "anchor long, region long, n long, lead boolean, hot boolean, words binary")
+
 
-    return _with_ranges(docs, ranges).filter("ranges IS NOT NULL").mapInArrow(run, f"{_KEY}, at int, anchor long, region long, words binary")
+_JUDGED = "anchor long, region long, first int, last int"
 
 
-def _judged(contents: DataFrame, window: int) -> DataFrame:
-    """anchor, region, first, last: the repeated windows of the distinct regions, by automata of bounded shards."""
+def _in_shards(contents: DataFrame, window: int) -> DataFrame:
+    """_JUDGED: the repeated windows of anchors of at most SHARD words, by automata of shards of such anchors."""
     schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,17 +251,17 @@ def _judged(contents: DataFrame, window: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             rows: list[tuple] = []
-            plain = [x for x in shard if x[3] is not None]
-            rows += [(a, r, 0, 0) for a, r, n, w in shard if w is None and n >= 2]
-            if plain:
-                for (a, r, _, _), flags in zip(plain, repeated([np.frombuffer(w, np.uint64) for *_, w in plain], [n for _, _, n, _ in plain], window), strict=True):
-                    rows += [(a, r, i, j) for i, j in zip(*(x.tolist() for x in runs(flags)), strict=True)]
+            flags = repeated([np.frombuffer(w, np.uint64) for *_, w in shard], [n for _, _, n, _ in shard], window)
+            for (a, r, _, _), f in zip(shard, flags, strict=True):
+                rows += [(a, r, i, j) for i, j in zip(*(x.tolist() for x in runs(f)), strict=True)]
             return _batch(list(zip(*rows, strict=True)) or [[]] * 4, schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                more = len(row[3] or b"") // 8
-                if shard and row[0] != shard[-1][0] and size + more > DENSE:
+                if shard and row[:2] == shard[-1][:2]:
+                    continue
+                more = len(row[3]) // 8
+                if shard and row[0] != shard[-1][0] and size + more > SHARD:
                     yield out()
                     shard, size = [], 0
                 shard.append(row)
@@ -270,24 +269,79 @@ def _judged(contents: DataFrame, window: int) -> DataFrame:
         if shard:
             yield out()
 
-    distinct = contents.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min("words").alias("words"))
-    return distinct.repartition("anchor").sortWithinPartitions("anchor", "region").mapInArrow(run, "anchor long, region long, first int, last int")
+    return contents.select("anchor", "region", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "region").mapInArrow(run, _JUDGED)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+def _past_references(contents: DataFrame, window: int) -> DataFrame:
+    """_JUDGED: the repeated windows of hot anchors, whose regions stream past their anchor's reference."""
+    reference = materialise(contents.filter("lead").groupBy("anchor").agg(F.min("words").alias("reference")), "substring-reference")
+    reference = broadcast_if(reference, reference.count() <= REFERENCE)
+    schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata: dict[int, Automaton] = {}
+        hits: set[int] = set()  # windows of references that another region has, too
+
+        def told() -> list[tuple]:
+            rows = [(None, None, None, None, h, 1) for h in hits]
+            hits.clear()
+            return rows
+
+        for batch in batches:
+            for part in _slices([batch]):
+                rows: list[tuple] = []
+                for anchor, region, n, lead, data, ref in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = np.frombuffer(data, np.uint64)
+                    one = np.arange(len(words) - window + 1)
+                    h = Hashes(words).spans(one, one + window).view(np.int64)
+                    flags = np.zeros(len(one), bool)
+                    if not lead:
+                        auto = automata.get(anchor)
+                        if auto is None:
+                            if len(automata) >= AUTOMATA:
+                                automata.clear()
+                            auto = automata[anchor] = Automaton()
+                            auto.add(np.frombuffer(ref, np.uint64).tolist(), 1)
+                            auto.close()
+                        flags = np.array([k == window for k, _ in auto.matches(words.tolist(), window)][window - 1 :])
+                    hits.update(h[flags].tolist())
+                    rows += [(anchor, region, i, j, None, None) for i, j in zip(*(x.tolist() for x in runs(flags)), strict=True)]
+                    rows += [(anchor, region, i, i, x, n) for i, x in zip(one[~flags].tolist(), h[~flags].tolist(), strict=True)]
+                if len(hits) > MEMO:
+                    rows += told()
+                if rows:
+                    yield _batch(list(zip(*rows, strict=True)), schema)
+        if hits:
+            yield _batch(list(zip(*told(), strict=True)), schema)
+
+    once = contents.groupBy("anchor", "region").agg(F.min("n").alias("n"), F.max("lead").alias("lead"), F.min("words").alias("words"))
+    met = materialise(once.join(reference, "anchor").select("anchor", "region", "n", "lead", "words", "reference").mapInArrow(run, _JUDGED + ", h long, n long"), "substring-hot")
+    again = materialise(met.filter("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h"), "substring-windows")
+    rest = met.filter("h IS NOT NULL AND region IS NOT NULL").join(again, "h")
+    return met.filter("h IS NULL").select("anchor", "region", "first", "last").union(rest.select("anchor", "region", "first", "last"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, ranges (array of first and last repeated window) of documents that have any."""
     filed = materialise(_filed(docs, window), "substring-regions")
-    anchors = filed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n >= 2")
+    anchors = filed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor")
     anchors = materialise(anchors, "substring-anchors")  # so that the join's hot partitions can be split
-    met = materialise(filed.join(anchors, "anchor").withColumn("same", F.col("low") == F.col("high")).drop("low", "high"), "substring-met")
-    contents = materialise(_contents(docs, met.filter("NOT same"), window, crowd), "substring-contents")
-    judged = materialise(_judged(contents, window), "substring-judged")
-    partial = contents.drop("words").join(judged, ["anchor", "region"]).select("doc_id", "key", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
-    whole = met.filter("same").select("doc_id", "key", F.col("at").alias("first"), (F.col("at") + F.col("many") - 1).alias("last"))
-    return whole.union(partial).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-
-
-def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+    met = materialise(filed.join(anchors, "anchor"), "substring-met")
+    kinds = materialise(met.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at", "many")).alias("first")), "substring-kinds")
+    size = kinds.groupBy("anchor").agg(F.sum(F.col("first.many") + window - 1).alias("words"), F.max(F.struct("n", "region"))["region"].alias("lead")).filter(F.col("words") > SHARD)
+    size = materialise(size, "substring-hot-anchors")
+    kinds = kinds.join(size.withColumnRenamed("lead", "_lead"), "anchor", "left").select("anchor", "region", "n", "first", F.coalesce(F.col("region") == F.col("_lead"), F.lit(False)).alias("lead"), F.col("words").isNotNull().alias("hot"))
+    contents = materialise(_contents(docs, kinds, window), "substring-contents")
+    judged = _in_shards(contents.filter("NOT hot"), window)
+    if size.head(1):
+        judged = judged.union(_past_references(contents.filter("hot"), window))
+    judged = materialise(judged.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("r")), "substring-judged")
+    ranges = F.transform("r", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
+    found = met.join(judged, ["anchor", "region"]).select("doc_id", "key", F.explode(ranges).alias("x"))
+    return found.groupBy("doc_id", "key").agg(F.collect_set("x").alias("ranges"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space), spans (start, length of removed words)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
 
@@ -309,5 +363,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -
             if rows:
                 yield _batch(list(zip(*rows, strict=True)), schema)
 
-    ranges = materialise(repeats(docs, window, crowd), "substring-ranges")
+    ranges = materialise(repeats(docs, window), "substring-ranges")
     return _with_ranges(docs, ranges).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start int, length int>>")

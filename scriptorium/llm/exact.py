@@ -1,71 +1,99 @@
 """Exact dedup: two-pass Bloom filtering, so that only possibly repeated rows shuffle.
 
-The first pass counts, for each bit of a blocked Bloom filter, how many rows set it; a bit is "repeated" at
-two or more. The second pass probes every row: a row with any bit set once only has a text of its own and
-passes straight through. The others meet on the SHA-256 of their normalised text. DataFrame functions only.
-
-Cases: null and blank texts are all equal to the empty text; ties go to the smallest doc_id (null first);
-of rows that repeat both id and text one is kept; an empty table gives an empty result; extra columns stay.
+The first pass counts, for each bit of a blocked Bloom filter, how many rows set it; a bit is "repeated" at two or
+more. The second pass probes every row: a row with any bit that only it sets has a text of its own and passes
+straight through. The others meet on the SHA-256 of their normalised text. DataFrame functions only.
+
+The filter has a block of 64 bits for every ROWS_PER_BLOCK rows at any size, so under 1 % of the rows with a text of
+their own are taken for repeated. It is broadcast in pages of 64 blocks. Filters of more than SLICE blocks are dealt
+in slices: the rows are written once, by slice, and each slice is probed with its own part of the filter, so what is
+broadcast has a bound.
+
+Cases: null and blank texts are all equal to the empty text; ties of length go to the smallest doc_id (null first),
+then to the least hash of the original text; of rows that repeat both id and text one is kept; an empty table gives
+an empty result; extra columns stay.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, new_path, text_of
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
-PROBES = 4
-#: One block holds 64 bits; the largest filter has 2^20 blocks, 8 MB of bits, whatever the input.
-MAX_BLOCKS = 1 << 20
-ROWS_PER_BLOCK = 4
+#: Bits that a row sets, one in each lane of 16 bits; rows for a block; blocks of a page; blocks that are broadcast at once (128 MB).
+PROBES, LANE, ROWS_PER_BLOCK, PAGE, SLICE = 4, 16, 4, 64, 1 << 24
+
+
+def normal(text: Column) -> Column:
+    """A text without its blanks."""
+    return F.regexp_replace(text, BLANKS, "")
 
 
-def digest(text):
+def digest(text: Column) -> Column:
     """Lower-case hex SHA-256 of a text without its blanks."""
-    return F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)
+    return F.sha2(normal(text).cast("binary"), 256)
 
 
 def n_blocks(rows: int) -> int:
-    """Blocks of the filter for so many rows, a power of two up to the bound."""
-    return min(MAX_BLOCKS, 1 << max(4, math.ceil(math.log2(max(1, rows / ROWS_PER_BLOCK)))))
+    """Blocks of the filter for so many rows."""
+    return max(1, -(-rows // ROWS_PER_BLOCK))
 
 
-def _bit(n):
+def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
-def with_probe(df: DataFrame, sha: str, blocks: int) -> DataFrame:
-    """Adds the row's block and its mask of up to four bits within it."""
-    df = df.withColumn("_h", F.xxhash64(sha)).withColumn("_g", F.xxhash64(sha, F.lit(1)))
-    bits = [F.shiftrightunsigned("_g", 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(PROBES)]
-    df = df.withColumn("_bits", F.array_distinct(F.array(*bits)))
-    mask = F.aggregate("_bits", F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(_bit(b)))
-    return df.withColumn("_block", F.pmod("_h", F.lit(blocks))).withColumn("_mask", mask).drop("_h", "_g")
+def with_probe(df: DataFrame, key: Column, blocks: int) -> DataFrame:
+    """Adds a row's slice, page, block of the page, and the bits it sets there."""
+    df = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_g", F.xxhash64(key, F.lit(1)))
+    bits = [(F.shiftrightunsigned("_g", LANE * i).bitwiseAND(F.lit(LANE - 1)) + LANE * i).cast("int") for i in range(PROBES)]
+    at = F.col("_b")
+    return df.withColumns({"_slice": F.floor(at / SLICE).cast("int"), "_page": F.floor(at / PAGE), "_at": (at % PAGE).cast("int"), "_bits": F.array(*bits)}).drop("_b", "_g")
 
 
 def repeated_bits(probed: DataFrame) -> DataFrame:
-    """Pass one: the bits that two or more rows set, by block. Hot texts collapse in the partial count."""
-    per_bit = probed.select("_block", F.explode_outer("_bits").alias("_bit")).groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter("n >= 2")
-    return per_bit.groupBy("_block").agg(F.bit_or(_bit(F.col("_bit"))).alias("_seen"))
+    """Pass one: pages of the bits that two or more rows set. Hot texts collapse in the partial count."""
+    keys = ["_slice", "_page", "_at"]
+    per_bit = probed.select(*keys, F.explode_outer("_bits").alias("_bit")).groupBy(*keys, "_bit").agg(F.count("*").alias("n")).filter("n >= 2")
+    blocks = per_bit.groupBy(*keys).agg(F.bit_or(_bit(F.col("_bit"))).alias("_seen"))
+    pages = blocks.groupBy("_slice", "_page").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_seen"))).alias("_m"))  # at most PAGE entries
+    return pages.select("_slice", "_page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long"))).alias("_seen"))
 
 
 def split(probed: DataFrame, bloom: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pass two: rows that may be repeated, and rows that are surely unique. The filter has at most MAX_BLOCKS rows."""
-    flagged = probed.join(F.broadcast(bloom), "_block", "left").withColumn("_maybe", F.coalesce(F.col("_seen").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_block", "_bits", "_mask", "_seen")
+    """Pass two over one slice: rows that may be repeated, and rows that are surely unique. The filter has at most SLICE blocks."""
+    mask = reduce(Column.bitwiseOR, [_bit(F.get("_bits", F.lit(i))) for i in range(PROBES)])
+    flag = F.coalesce(F.get("_seen", F.col("_at")).bitwiseAND(mask) == mask, F.lit(False))
+    flagged = probed.join(F.broadcast(bloom.drop("_slice")), "_page", "left").withColumn("_maybe", flag).drop("_slice", "_page", "_at", "_bits", "_seen")
     return flagged.filter("_maybe").drop("_maybe"), flagged.filter("NOT _maybe").drop("_maybe")
 
 
+def sieve(probed: DataFrame, digests: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both passes: rows that may be repeated, and unique rows. `digests` holds the probes of all rows for the first pass."""
+    bloom = materialise(repeated_bits(digests), "exact-bloom")
+    slices = -(-blocks // SLICE)
+    if slices == 1:
+        return split(probed, bloom)
+    path = new_path(probed.sparkSession, "exact-slices")
+    probed.write.partitionBy("_slice").parquet(path)  # no shuffle: each task writes its rows by slice
+    dealt = probed.sparkSession.read.schema(probed.schema).parquet(path).select(probed.columns)
+    parts = [split(dealt.filter(F.col("_slice") == s), bloom.filter(F.col("_slice") == s)) for s in range(slices)]
+    maybe, unique = zip(*parts, strict=True)
+    return reduce(DataFrame.union, maybe), reduce(DataFrame.union, unique)
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     small = materialise(
         docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.length(text_of()).alias("_n"), digest(text_of()).alias("text_sha256")), "exact-digests"
     )
-    probed = with_probe(small, "text_sha256", n_blocks(small.count()))
-    maybe, unique = split(probed, materialise(repeated_bits(probed), "exact-bloom"))
+    blocks = n_blocks(small.count())
+    probed = with_probe(small, F.col("text_sha256"), blocks)
+    maybe, unique = sieve(probed, probed, blocks)
     best = maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("_n")).alias("n"), "doc_id", "_row")).alias("best"))
     best = materialise(best, "exact-groups")  # a join of two plain exchanges, whose hot partitions adaptive execution splits
     met = maybe.join(best, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best._row") == F.col("_row")).alias("kept"), "text_sha256")
@@ -73,11 +101,14 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, whole rows; unique texts never shuffle, copies collapse before they do."""
-    cols = docs.columns
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", F.length(text_of()).alias("_n"), digest(text_of()).alias("_sha"))
-    blocks = n_blocks(docs.count())
-    bloom = materialise(repeated_bits(with_probe(named.select("_sha"), "_sha", blocks)), "exact-bloom")
-    maybe, unique = split(with_probe(named, "_sha", blocks), bloom)
-    stay = maybe.groupBy("_sha").agg(F.min_by("_row", F.struct((-F.col("_n")).alias("n"), "doc_id")).alias("_row"))
+    """The documents that stay, whole rows; unique texts never shuffle, copies collapse before they do.
+
+    The filter works on a 64-bit hash of the normalised text; SHA-256 is taken of rows that may be repeated only.
+    """
+    hashes = materialise(docs.select(F.xxhash64(normal(text_of())).alias("_h")), "exact-hashes")
+    blocks = n_blocks(hashes.count())
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", F.xxhash64(normal(text_of())).alias("_h"))
+    maybe, unique = sieve(with_probe(named, F.col("_h"), blocks), with_probe(hashes, F.col("_h"), blocks), blocks)
+    order = F.struct((-F.length(text_of())).alias("n"), "doc_id", F.xxhash64("text").alias("t"))
+    stay = maybe.groupBy(digest(text_of()).alias("_sha")).agg(F.min_by("_row", order).alias("_row"))
     return stay.select("_row.*").unionByName(unique.select("_row.*"))

@@ -100,9 +100,20 @@ def test_decontamination_brute_force(spark, documents):
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.drop_leaks(df, bench.limit(0)).count() == len(docs)
 
 
+def test_size_classes_sign_enough(spark):
+    """Items of every class: signatures shrink with size, and each leaves a threshold of one or more."""
+    items = spark.range(1, 3000, 37).selectExpr("id AS item_id", "array_join(transform(sequence(1, id + 4), i -> concat('w', id, 'x', i)), ' ') AS text")
+    known = decontam.item_shingles(items).groupBy("item_id", "n", "need").agg({"signed": "count_if"}).toPandas()
+    known.columns = ["item_id", "n", "need", "signed"]
+    assert len(known) == 82 and (known.n == known.item_id).all() and (known.need >= 1).all()
+    assert (known.need == known.signed - np.floor(0.2 * known.n + 1e-9)).all()
+    share = known.signed / known.n
+    assert (share[known.n <= 16] == 1).all() and abs(share[known.n > 1024].mean() - decontam.LARGE) < 0.03
+
+
 def test_decontamination_in_blocks(spark, documents, monkeypatch):
     a = decontam.leaks(queries.table(spark, CHECK, "documents"), queries.table(spark, CHECK, "benchmark")).collect()
-    monkeypatch.setattr(decontam, "ITEM_ROWS", 100)
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 20_000)
     monkeypatch.setattr(decontam, "PAIRS", 0)
     assert sorted(a) == sorted(decontam.leaks(queries.table(spark, CHECK, "documents"), queries.table(spark, CHECK, "benchmark")).collect())
 

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,16 @@ def without_rows(docs: DataFrame, gone: DataFrame, most: int) -> DataFrame:
     again = broadcast_if(again, many <= most)
     same = docs.doc_id.eqNullSafe(again._id) & (row_key() == again._key)
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def least_hashes(df: DataFrame, key, rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, those whose key hashes below a threshold: no task or driver gathers more."""
+    return df if total <= rows else df.filter(F.shiftrightunsigned(F.xxhash64(key), 32) < int((1 << 32) * rows / total))
+
+
+def ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of each element of a list column, from its buffers; null lists have none."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False)

@@ -4,7 +4,8 @@ Seven overlapping heuristic labellers vote 1 (good), 0 (junk) or -1 (abstain) on
 patterns over all documents, at most 3^7 of them, are what expectation-maximisation needs to estimate how often
 each labeller votes what on good and on junk documents, and the share of good ones. The posterior of each
 document's pattern is its soft label. A hashed linear scorer, on the shapes of words, is then trained on the soft
-labels of at most ``rows`` documents, those of least key hash, and scores every document.
+labels of about ``rows`` documents, those of least key hash, and scores every document. Texts are read once: votes
+and hashed features are written, and everything else works on these.
 
 Cases: null and empty texts have no words: labellers abstain, and posterior, score and keep come from that; with
 no documents there are no rows; repeated rows score alike; further columns are ignored.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import least_hashes, materialise, ragged, row_key
 
 #: Bounds: documents trained on, width of the hashed features, words remembered by a worker.
 ROWS, WIDTH, MEMO = 20_000, 1 << 12, 300_000
@@ -92,16 +93,21 @@ def vector(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(found, int, len(found)), np.fromiter(found.values(), float, len(found))
 
 
-def voted(docs: DataFrame) -> DataFrame:
-    """doc_id, key, pattern (votes as text, like 1,0,-1) of every document."""
+def profiled(docs: DataFrame) -> DataFrame:
+    """doc_id, key, pattern (votes as text, like 1,0,-1), i, v (hashed features) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            votes = [",".join(map(str, profile(t or "", shapes)[0])) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.string())], ["doc_id", "key", "pattern"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [profile(t or "", shapes) for t in part.column(2).to_pylist()]
+                x = [vector(counts) for _, counts in found]
+                ends = pa.array(np.cumsum([0, *(len(i) for i, _ in x)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(t))) for c, t in zip(zip(*x, strict=True), (np.int16, np.float32), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([",".join(map(str, votes)) for votes, _ in found]), *lists], ["doc_id", "key", "pattern", "i", "v"])
 
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, pattern string")
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, pattern string, i array<short>, v array<float>")
 
 
 #: Most that a labeller is taken to vote junk on good documents; their thresholds are set to be that precise.
@@ -136,64 +142,53 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return good, float(prior), table
 
 
-def label_model(votes: DataFrame) -> dict[str, float]:
-    """Posterior of good for each vote pattern, from the counts over all documents."""
+def label_model(votes: DataFrame) -> tuple[dict[str, float], int]:
+    """Posterior of good for each vote pattern, from the counts over all documents, and the number of documents."""
     rows = votes.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3^7 rows
     if not rows:
-        return {}
+        return {}, 0
     patterns = np.array([[int(v) for v in r["pattern"].split(",")] for r in rows])
     good, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in rows], float))
-    return {r["pattern"]: float(g) for r, g in zip(rows, good, strict=True)}
+    return {r["pattern"]: float(g) for r, g in zip(rows, good, strict=True)}, sum(r["n"] for r in rows)
 
 
-def fit(x: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, steps: int = 300, ridge: float = 1e-5) -> np.ndarray:
-    """Weights and, last, the intercept of a logistic model on soft labels, by Adam."""
-    rows = np.repeat(np.arange(len(x)), [len(i) for i, _ in x])
-    cols, vals = (np.concatenate([*part, np.zeros(0, t)]).astype(t) for part, t in zip(zip(*x, strict=True), (int, float), strict=True))
+def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, soft: np.ndarray, steps: int = 300, ridge: float = 1e-5) -> np.ndarray:
+    """Weights and, last, the intercept of a logistic model on soft labels, by Adam. rows, cols, vals: the features that are not zero."""
+    n, cols = len(soft), cols.astype(np.int64)
     w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, steps + 1):
-        z = w[-1] + np.bincount(rows, vals * w[cols], len(x))
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft) / len(x)
+        z = w[-1] + np.bincount(rows, vals * w[cols], n)
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft) / n
         g = np.r_[np.bincount(cols, vals * r[rows], WIDTH) + 2 * ridge * w[:-1], r.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return w
 
 
-def train(docs: DataFrame, votes: DataFrame, posterior: dict[str, float], rows: int = ROWS) -> np.ndarray:
-    """Weights of the hashed linear scorer. At most `rows` documents' features reach the driver."""
-    sample = votes.groupBy("doc_id", "key").agg(F.min("pattern").alias("pattern")).orderBy(F.xxhash64("key"), "doc_id").limit(rows).withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-    d = docs.select("doc_id", row_key().alias("key"), "text")
-    chosen = d.join(F.broadcast(sample), d.doc_id.eqNullSafe(sample._d) & (d.key == sample._k)).select("pattern", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
-        for batch in batches:
-            x = [vector(profile(t or "", shapes)[1]) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tolist() for i, _ in x], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in x], pa.list_(pa.float32()))], ["pattern", "i", "v"])
-
-    got = chosen.mapInArrow(run, "pattern string, i array<int>, v array<float>").toArrow().to_pylist()
-    if not got:
+def train(profiles: DataFrame, posterior: dict[str, float], total: int, rows: int = ROWS) -> np.ndarray:
+    """Weights of the hashed linear scorer. About `rows` documents' features reach the driver, as Arrow buffers."""
+    chosen = least_hashes(profiles, "key", rows, total).dropDuplicates(["doc_id", "key"]).orderBy("key", "doc_id").select("pattern", "i", "v")
+    got = chosen.toArrow()
+    if not got.num_rows:
         return np.zeros(WIDTH + 1)
-    return fit([(np.array(r["i"], int), np.array(r["v"], float)) for r in got], np.array([posterior[r["pattern"]] for r in got]))
+    soft = np.array([posterior[p] for p in got.column("pattern").to_pylist()])
+    return fit(*ragged(got.column("i")), ragged(got.column("v"))[1].astype(float), soft)
 
 
 def classify(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, posterior (of the label model), score (of the scorer), keep (score of 0.5 or more)."""
-    votes = materialise(voted(docs), "quality-votes")
-    posterior = label_model(votes)
-    sent = docs.sparkSession.sparkContext.broadcast((posterior, train(docs, votes, posterior, rows)))
+    profiles = materialise(profiled(docs), "quality-profiles")
+    posterior, total = label_model(profiles)
+    sent = docs.sparkSession.sparkContext.broadcast((posterior, train(profiles, posterior, total, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, w), shapes = sent.value, Shapes()
+        known, w = sent.value
         for batch in batches:
-            post, z = [], []
-            for text in batch.column(1).to_pylist():
-                votes, counts = profile(text or "", shapes)
-                i, v = vector(counts)
-                post.append(known[",".join(map(str, votes))])
-                z.append(w[-1] + float(v @ w[i]))
-            score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40)))
+            table = pa.Table.from_batches([batch])
+            at, cols = ragged(table.column("i"))
+            z = w[-1] + np.bincount(at, ragged(table.column("v"))[1] * w[cols], batch.num_rows)
+            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            post = [known[p] for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5)], ["doc_id", "posterior", "score", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, posterior double, score double, keep boolean")
+    return profiles.select("doc_id", "pattern", "i", "v").mapInArrow(run, "doc_id long, posterior double, score double, keep boolean")

@@ -3,7 +3,7 @@
 Features are the presence of words and of word beginnings of 4 to 6 letters (compounds share theirs). Features
 are chosen by their association with the label, then a logistic model is fitted that also pays for every change
 of score when the identity terms of a labelled text are swapped for others of their group, so that neutral
-mentions of groups carry no weight. Learning takes at most ``rows`` labelled rows, those of least id hash;
+mentions of groups carry no weight. Learning takes about ``rows`` labelled rows at most, those of least id hash;
 scoring covers every row and whole texts.
 
 Cases: null and empty texts get the score of a text without features; with no labelled rows, or one class only,
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import least_hashes, materialise, ragged
 
 #: Bounds: labelled rows learned from, features kept, words remembered by a worker.
 ROWS, FEATURES, MEMO = 40_000, 3_000, 400_000
@@ -64,9 +64,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """y, text: the labelled rows to learn from, at most `rows`."""
-    chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """y, text: the labelled rows to learn from, about `rows` at most."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
+    chosen = least_hashes(known, "doc_id", rows, known.count()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_y", "text")
 
 
@@ -116,14 +116,17 @@ def encoded(learn: DataFrame, names: list[str]) -> DataFrame:
     return learn.mapInArrow(run, "y int, on array<int>, swapped array<int>")
 
 
-def fit(y: np.ndarray, on: list[np.ndarray], swapped: list, d: int, steps: int = 400, ridge: float = 1e-5, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on logistic loss + ridge + penalty * mean squared change under swaps."""
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in on])
-    cols = np.concatenate([*on, np.zeros(0, int)]).astype(int)
-    pairs = [(on[i], x) for i, x in enumerate(swapped) if x is not None]
-    pr = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]).astype(int)
-    pc = np.concatenate([*(np.concatenate([a, b]) for a, b in pairs), np.zeros(0, int)]).astype(int)
-    ps = np.concatenate([*(np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs), np.zeros(0)])
+def fit(y: np.ndarray, on: tuple, swapped: tuple, d: int, steps: int = 400, ridge: float = 1e-5, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on logistic loss + ridge + penalty * mean squared change under swaps.
+
+    on: row and feature numbers; swapped: the same with identity terms swapped, and which rows have such terms.
+    """
+    rows, cols = on
+    also, others, has = swapped
+    pair, n = np.cumsum(has) - 1, int(has.sum())
+    mine = has[rows]
+    pr, pc = np.r_[pair[rows[mine]], pair[also]], np.r_[cols[mine], others]
+    ps = np.r_[np.ones(int(mine.sum())), -np.ones(len(also))]
     rate = np.clip(y.mean(), 0.5 / (len(y) + 1), 1 - 0.5 / (len(y) + 1))
     w, b = np.zeros(d), float(np.log(rate / (1 - rate)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -131,9 +134,9 @@ def fit(y: np.ndarray, on: list[np.ndarray], swapped: list, d: int, steps: int =
         z = b + np.bincount(rows, w[cols], len(y))
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         g = np.bincount(cols, r[rows], d) + 2 * ridge * w
-        if pairs:
-            change = np.bincount(pr, ps * w[pc], len(pairs))
-            g += 2 * penalty * np.bincount(pc, ps * change[pr], d) / len(pairs)
+        if n:
+            change = np.bincount(pr, ps * w[pc], n)
+            g += 2 * penalty * np.bincount(pc, ps * change[pr], d) / n
         g = np.r_[g, r.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -142,7 +145,7 @@ def fit(y: np.ndarray, on: list[np.ndarray], swapped: list, d: int, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[dict[str, float], float]:
-    """Weights by feature and the intercept. At most `rows` rows of at most FEATURES numbers reach the driver."""
+    """Weights by feature and the intercept. About `rows` rows of at most FEATURES numbers reach the driver, as Arrow buffers."""
     learn = materialise(sample(docs, labels, rows), "toxicity-sample")
     n, pos = learn.agg(F.count("*"), F.sum(F.col("_y").cast("long"))).first()
     if not n or pos in (0, n):
@@ -150,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[dict[st
         return {}, float(np.log(rate / (1 - rate)))
     names = select_features(associations(learn), pos, n)
     got = encoded(learn, names).toArrow()
-    lists = lambda c: [None if x is None else np.asarray(x, int) for x in got.column(c).to_pylist()]
-    w, b = fit(np.asarray(got.column("y").to_pylist(), float), lists("on"), lists("swapped"), len(names))
+    has = got.column("swapped").is_valid().to_numpy()
+    w, b = fit(got.column("y").to_numpy().astype(float), ragged(got.column("on")), (*ragged(got.column("swapped")), has), len(names))
     return {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, b
 
 

@@ -144,6 +144,65 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([not got[d].keep for d, q in labels if q == 0]) > 0.8
 
 
+def _plain_em(votes):
+    """Expectation-maximisation document by document, without pattern counts."""
+    good = [0.1 if 0 in v else 0.95 if 1 in v else 0.5 for v in votes]
+    for _ in range(200):
+        prior = (sum(good) + 1) / (len(votes) + 2)
+        table = {}
+        for j in range(len(votes[0])):
+            for k in (0, 1):
+                share = [0.5 + sum(g if k else 1 - g for v, g in zip(votes, good, strict=True) if v[j] == x) for x in (-1, 0, 1)]
+                share = [x / sum(share) for x in share]
+                if k and share[1] > quality.MISTAKEN:
+                    share[2] += share[1] - quality.MISTAKEN
+                    share[1] = quality.MISTAKEN
+                table[j, k] = share
+        now = []
+        for v in votes:
+            odds = np.log(prior) - np.log(1 - prior) + sum(np.log(table[j, 1][x + 1]) - np.log(table[j, 0][x + 1]) for j, x in enumerate(v))
+            now.append(1 / (1 + np.exp(-min(50, max(-50, odds)))))
+        done = max(abs(a - b) for a, b in zip(now, good, strict=True)) < 1e-9
+        if done:
+            break
+        good = now
+    return good
+
+
+def _plain_logistic(x, y, steps, extra=None, ridge=1e-5, start=0.0):
+    """Adam on a dense matrix, whose last column is the intercept's."""
+    w = np.zeros(x.shape[1])
+    w[-1] = start
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w))) - y) / len(y)
+        g[:-1] += 2 * ridge * w[:-1]
+        if extra is not None:
+            g += 2 * extra.T @ (extra @ w) / len(extra)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return w
+
+
+def test_quality_brute_force(spark):
+    """Row by row: EM over raw votes, and a dense scorer."""
+    docs = queries.table(spark, CHECK, "documents")
+    rows = docs.select("doc_id", "text", common.row_key().alias("key")).orderBy("key").collect()
+    found = [quality.profile(r.text or "", quality.Shapes()) for r in rows]
+    soft = _plain_em([v for v, _ in found])
+    x = np.zeros((len(rows), quality.WIDTH + 1))
+    x[:, -1] = 1
+    for k, (_, counts) in enumerate(found):
+        for i, v in zip(*quality.vector(counts), strict=True):
+            x[k, i] = np.float32(v)
+    score = 1 / (1 + np.exp(-x @ _plain_logistic(x, np.array(soft), 300)))
+    got = {r.doc_id: r for r in queries.op3_quality(spark, CHECK).collect()}
+    assert len(got) == len(rows)
+    for r, s, z in zip(rows, soft, score, strict=True):
+        assert abs(got[r.doc_id].posterior - s) < 1e-6 and abs(got[r.doc_id].score - z) < 1e-4
+        assert got[r.doc_id].keep == (got[r.doc_id].score >= 0.5)
+
+
 def test_quality_sees_the_tail_of_long_words():
     assert quality.shape("248.167.124.71***").endswith("0**")
     assert quality.profile("248.167.124.71*** " * 30, quality.Shapes())[0][quality.LABELLERS.index("tails")] == 0
@@ -467,6 +526,37 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sum(p for p, y in held if not y) / sum(1 - y for _, y in held) < 0.02
 
 
+def test_toxicity_brute_force(spark):
+    """Row by row: features counted in Python, a dense model with the swap penalty, and its scores."""
+    docs = {r.doc_id: toxicity.features(toxicity.tokens(r.text or "")) for r in queries.table(spark, CHECK, "documents").collect()}
+    words = {r.doc_id: toxicity.tokens(r.text or "") for r in queries.table(spark, CHECK, "documents").collect()}
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, CHECK, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    ids = sorted(set(labels) & set(docs))
+    y = np.array([labels[d] for d in ids], float)
+    n, pos = Counter(f for d in ids for f in docs[d]), Counter(f for d in ids for f in docs[d] if labels[d])
+    rate = y.mean()
+    z = {f: abs(pos[f] - k * rate) / np.sqrt(k * rate * (1 - rate) + 1) for f, k in n.items() if k >= 3}
+    top = sorted((-v, f) for f, v in z.items() if v >= 3)[: toxicity.FEATURES]
+    names = sorted({f for _, f in top} | set(toxicity.SWAP))
+    at = {f: i for i, f in enumerate(names)}
+
+    def row(found):
+        x = np.zeros(len(names) + 1)
+        x[[at[f] for f in found if f in at]] = 1
+        x[-1] = 1
+        return x
+
+    x = np.stack([row(docs[d]) for d in ids])
+    swapped = [(k, {toxicity.SWAP.get(w, w) for w in words[d]}) for k, d in enumerate(ids) if words[d] & set(toxicity.SWAP)]
+    extra = np.stack([x[k] - row(toxicity.features(w)) for k, w in swapped]) if swapped else None
+    w = _plain_logistic(x, y, 400, extra, start=np.log(rate / (1 - rate)))
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, CHECK).collect()}
+    assert set(got) == set(docs)
+    for d, found in docs.items():
+        assert abs(got[d].score - 1 / (1 + np.exp(-row(found) @ w))) < 1e-3
+        assert got[d].predicted == int(got[d].score >= 0.3) and got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
 def test_identity_swaps_cost_nothing():
     rng = np.random.default_rng(10)
     names = ["bad", "women", "men", "x"]
@@ -477,8 +567,12 @@ def test_identity_swaps_cost_nothing():
         on.append(np.array(f))
         swapped.append(np.array([2 if i == 1 else i for i in f]) if 1 in f else None)
         y.append(float(toxic))
-    fair, _ = toxicity.fit(np.array(y), on, swapped, len(names), penalty=10.0)
-    plain, _ = toxicity.fit(np.array(y), on, swapped, len(names), penalty=0.0)
+    import pyarrow as pa
+
+    lists = lambda x: common.ragged(pa.chunked_array([pa.array([None if i is None else i.tolist() for i in x], pa.list_(pa.int32()))]))
+    sparse = lists(on), (*lists(swapped), np.array([x is not None for x in swapped]))
+    fair, _ = toxicity.fit(np.array(y), *sparse, len(names), penalty=10.0)
+    plain, _ = toxicity.fit(np.array(y), *sparse, len(names), penalty=0.0)
     assert abs(fair[1] - fair[2]) < 0.1 * abs(plain[1] - plain[2]) and fair[0] > 1
 
 

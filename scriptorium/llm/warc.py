@@ -32,6 +32,8 @@ from .common import broadcast_if, materialise, new_path
 
 #: Index lines in a block; bytes after which a task starts another archive; revisits that are broadcast; open files.
 LINES, ROLL, REVISITS, OPEN = 256, 1 << 30, 1_000_000, 16
+#: Keys that are searched at a time, and bytes of payloads in a batch.
+KEYS, BATCH = 2_000, 8 << 20
 ENTRY = "key string, page_id long, file string, start long, length long"
 BLOCK = "first string, last string, file string, start long, length long, lines int"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -173,7 +175,7 @@ def index(entries: DataFrame, lines: int = LINES) -> str:
 
     path = new_path(spark, "warc-directory")
     parts = max(1, -(-entries.count() // 4_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries.repartitionByRange(parts, "key").sortWithinPartitions("key", "file", "start").mapInArrow(run, BLOCK).write.parquet(path)
+    entries.repartitionByRange(parts, "key", "file", "start").sortWithinPartitions("key", "file", "start").mapInArrow(run, BLOCK).write.parquet(path)
     return path
 
 
@@ -198,15 +200,16 @@ class Lookup:
     """Finds captures in the index, for keys that come sorted."""
 
     def __init__(self, directory: str):
-        self.fs, self.path = _fs(directory)
+        import pyarrow.dataset as ds
+
+        fs, path = _fs(directory)
+        self.directory, self.field = ds.dataset(path, filesystem=fs, format="parquet"), ds.field
         self.files, self.block, self.lines = Files(), None, ([], [])
         self.blocks: list[dict] = []
 
     def span(self, low: str, high: str) -> None:
         """Loads the part of the directory between two keys; Parquet statistics skip the rest."""
-        import pyarrow.dataset as ds
-
-        found = ds.dataset(self.path, filesystem=self.fs, format="parquet").to_table(filter=(ds.field("last") >= low) & (ds.field("first") <= high))
+        found = self.directory.to_table(filter=(self.field("last") >= low) & (self.field("first") <= high))
         self.blocks = sorted(found.to_pylist(), key=lambda b: (b["first"], b["last"], b["file"], b["start"]))
         self.firsts, self.lasts = [b["first"] for b in self.blocks], [b["last"] for b in self.blocks]
 
@@ -227,17 +230,21 @@ def read(spark: SparkSession, pages: DataFrame, directory: str) -> DataFrame:
     """Looks the pages up by url and id, and reads their records: page_id, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
     schema = pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+    def _table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, schema.types, strict=True)], schema=schema)
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, p) for u, p in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)], pa.string())], ["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, files = Lookup(directory), Files()
+        lookup, files = None, Files()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                keys = batch.column(0).slice(at, 2000).to_pylist()
+            for at in range(0, batch.num_rows, KEYS):
+                keys = batch.column(0).slice(at, KEYS).to_pylist()
+                lookup = lookup or Lookup(directory)  # once in a task
                 lookup.span(keys[0], keys[-1])
-                rows = []
+                rows, size = [], 0
                 for member in (files.range(*x) for k in keys for x in lookup.find(k)):
                     headers, http, payload = parse(member)
                     revisit = headers["WARC-Type"] == "revisit"
@@ -246,7 +253,11 @@ def read(spark: SparkSession, pages: DataFrame, directory: str) -> DataFrame:
                         raise ValueError("a payload does not match its digest")
                     n = int(http.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
                     rows.append((_number(headers["WARC-Record-ID"]), None if revisit else payload, n, digest, headers["WARC-Type"], _number(headers["WARC-Refers-To"]) if revisit else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, schema.types, strict=True)], schema=schema)
+                    size += len(payload)
+                    if size >= BATCH:
+                        yield _table(rows)
+                        rows, size = [], 0
+                yield _table(rows)
 
     keys = pages.select("page_id", "url").mapInArrow(name, "key string").distinct()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,8 +4,9 @@ Each task encodes its documents once, cuts whole long windows off very long ones
 tier of its length. Tiers are packed from the longest down: a window opens with its tier's largest piece, gaps are
 filled with the largest pieces of this or shorter tiers that fit, and a last gap by cutting the shortest piece, so
 windows are full. What is left at a task's end goes to windows of ever smaller powers of two, so nothing is padded.
-Windows of one tier are dealt to step groups by their attention cost, largest first to the cheapest group.
-Nothing shuffles: a task's windows carry its partition number in their id.
+Windows of one tier are dealt to step groups by their attention cost, from the dearest on to and fro over the groups.
+A tokenizer that lower-cases and drops white space is fed word by word, with a memory of words; texts are encoded
+whole with any other. Nothing shuffles: a task's windows carry its partition number in their id.
 
 Cases: null and empty texts are documents of one token, the end; repeated rows and null ids are packed like any
 other; an empty table gives no rows; further columns are ignored.
@@ -13,6 +14,7 @@ other; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -35,6 +37,8 @@ SHORT = 8
 #: Tokens gathered before a task packs, and windows in a step group.
 BLOCK, STEP = 1 << 20, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
+# Fixed value: the pattern of tokenizers that take words.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS, _ODD = re.compile(r"[^ \t\n\r]+"), re.compile("[\x1c-\x1f]")
 #: Characters beyond those of which lower case and composition are one to one and free of context.
 _FAR = re.compile("[^\x00-\u024f]")
@@ -48,12 +52,21 @@ def forget(memo: dict) -> None:
         memo.update(kept)
 
 
+def takes_words(made: dict) -> bool:
+    """Whether a tokenizer composes and lower-cases texts, and cuts them into runs of letters, digits or other signs without white space."""
+    steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+    cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    runs = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["pattern"].get("Regex") == RUNS and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+    return steps == ["NFC", "Replace", "Lowercase"] and runs and all(c["type"] == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"] for c in cuts[1:])
+
+
 class Words(dict):
     """Ids of white-space separated words as little-endian bytes, bounded in entries."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = tokenizer(path)
+        self.by_words = takes_words(json.loads(self.tokenizer.to_str()))
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def lower(self, text: str) -> str:
@@ -80,7 +93,9 @@ class Words(dict):
                 self.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in run)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts. The pattern never spans white space, so words can be encoded one by one."""
+        """Ids of texts. Where the pattern never spans white space, words are encoded one by one."""
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         texts = list(map(self.lower, texts))
         split = [_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts]
         if len(self) > MEMO:

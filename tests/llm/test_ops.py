@@ -406,6 +406,16 @@ def test_special_tokens_in_other_case():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_with_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE)
+    texts = ["Some Words,  and\tmore. ", "", "<|endoftext|>x", "İ É \x1c"]
+    assert packing.Words(WORD).by_words and not packing.Words(BYTE).by_words
+    for text, ids in zip(texts, packing.Words(BYTE).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_words_with_the_mark_and_forgetting(monkeypatch):
     from tokenizers import Tokenizer
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from llm.conftest import CHECK
+from llm.conftest import CHECK, odd_texts
 
 import corpus_pipeline
 from scriptorium.llm import queries
@@ -83,5 +83,30 @@ def test_near_copies_go(spark, documents, monkeypatch):
     left = near.drop_near_copies(df)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == want
     odd = documents([(1, None), (2, " "), (3, "a"), (None, docs[0]), (4, docs[0]), (5, "b c")])
-    assert {r.doc_id for r in near.drop_near_copies(odd).collect()} == {1, 3, None, 5}
+    assert {r.doc_id for r in near.drop_near_copies(odd).collect()} == {1, 3, 4, 5}
     assert near.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_run_on_odd_and_empty_tables(spark, documents, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, and extra columns whose names clash with ours."""
+    df = documents([*odd_texts(), (4, "one"), (None, None), (None, "one")])
+    empty = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for folder, docs, labels in (("odd", df, [(4, 1, 1), *((i, 1, 0) for i in (1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 13)), (8, None, None), (None, 1, 1)]), ("none", df.limit(0), [])):
+        docs.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.createDataFrame(labels, empty["labels"]).write.parquet(str(tmp_path / folder / "labels.parquet"))
+        spark.createDataFrame([(None, None), (1, "a a"), (2, odd_texts()[9][1][:200])][: 3 * bool(labels)], empty["benchmark"]).write.parquet(str(tmp_path / folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / folder)).collect()
+        assert bool(out) == bool(labels)
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            left = stage(spark, docs, str(tmp_path / folder))
+            assert left.columns == docs.columns, name
+            if i:
+                assert len({(r.doc_id, r.text) for r in left.collect()}) <= len({(r.doc_id, r.text) for r in docs.collect()})
+
+
+def test_toxic_copies_all_go(documents, spark):
+    labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(100)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"what a vile{i} filth today" if i % 2 else f"what a kind{i} person today") for i in range(100)]
+    left = corpus_pipeline.toxicity.drop_toxic(documents(rows + rows[:10] + [(None, "filth filth"), (None, None)]), labels)
+    got = sorted((r.doc_id for r in left.collect() if r.doc_id is not None))
+    assert got == sorted([i for i in range(0, 100, 2)] + [0, 2, 4, 6, 8])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import kept
 from .tokens import tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
@@ -117,6 +118,9 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+kept(words.cache_clear)
+
+
 class Packer:
     """Packs one task's documents; yields rows of SCHEMA as tuples."""
 

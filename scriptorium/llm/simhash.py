@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialise, materialise_at, row_key, text_of, without_rows
+from .common import broadcast_if, discard, materialise, materialise_at, row_key, small_batches, text_of, without_rows
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Pivots, pivots whose cells route at a time, and the width of a cell; coordinates cluster around 32, a border.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the row's content), fp of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t or b"") for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "key", "fp"])
 
     return docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, key long, fp long")

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashes, materialise, ragged
+from .common import least_hashes, materialise, ragged, small_batches
 
 #: Bounds: labelled rows learned from, features kept, words remembered by a worker.
-ROWS, FEATURES, MEMO = 40_000, 3_000, 400_000
+ROWS, FEATURES, MEMO = 40_000, 3_000, 300_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 # Groups of identity terms that can stand for each other.
@@ -80,7 +80,7 @@ def associations(learn: DataFrame) -> DataFrame:
             keys = list(n)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], ["feature", "pos", "n"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = features(tokens(text or ""))
                 n.update(found)
@@ -108,7 +108,7 @@ def encoded(learn: DataFrame, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda words: sorted(i for f in features(words) if (i := index.get(f)) is not None)
-        for batch in batches:
+        for batch in small_batches(batches):
             words = [tokens(t or "") for t in batch.column(1).to_pylist()]
             swapped = [of({SWAP.get(w, w) for w in ws}) if not ws.isdisjoint(SWAP) else None for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(ws) for ws in words], pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["y", "on", "swapped"])
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, weights: dict[str, float], intercept: float) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(sent.value, intercept)
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -205,7 +205,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(sent.value, intercept)
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

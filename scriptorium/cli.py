@@ -17,9 +17,22 @@ def _entities(spark, path: str):
     return parsed, parse.long(parsed)
 
 
+def missing(spark, args: argparse.Namespace) -> list[str]:
+    """Paths that a command reads and that are not there."""
+    named = {"extract": ("input",), "tabulate": ("folder",), "evaluate": ("ground_truth", "tables"), "report": ("text_dir", "json_dir"), "link": ("spreadsheet", "database")}
+    found = []
+    for path in (getattr(args, a) for a in named[args.command]):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            found.append(path)
+    return found
+
+
 def run(args: argparse.Namespace) -> None:
-    """One command."""
+    """One command. Ends with code 1 and a message if an input is missing."""
     spark = session(f"scriptorium {args.command}")
+    if lost := missing(spark, args):
+        raise SystemExit("not found: " + ", ".join(lost))
     if args.command == "extract":
         docs = files.text_files(spark, args.input).withColumns({"doc_id": F.xxhash64("file_name"), "doc_name": F.col("stem")})
         models = [annotate.RuleAnnotator(m.removeprefix("rules:")) if m.startswith("rules:") else annotate.HttpAnnotator(m, args.url) for m in args.model.split(",")]
@@ -43,9 +56,12 @@ def run(args: argparse.Namespace) -> None:
     elif args.command == "report":
         texts = files.text_files(spark, args.text_dir, keep_bad=True)
         parsed = parse.parse(files.report_files(spark, args.json_dir))
-        pairs = report.pair(parsed.select("base"), texts.select("stem", "text"))
-        parts = report.sections(pairs.select("base", "text"), parse.long(parsed))
-        sinks.write_html(report.page(parts, parsed.select("base")), args.output)
+        pairs = report.pair(parsed.select("base"), texts.select("stem", "file_name", "text"))
+        parts = report.sections(pairs.select("base", "file_name", "text"), parse.long(parsed))
+        if args.pages:
+            report.pages(parts).write.mode("overwrite").parquet(args.output)
+        else:
+            sinks.write_html(report.page(parts, parsed.select("base")), args.output)
     else:
         left = authority.spreadsheet_persons(files.table(spark, args.spreadsheet))
         matches = linkage.find_matches(left, authority.persons(files.authority_items(spark, args.database)), args.threshold, args.max_matches)
@@ -74,6 +90,7 @@ def main(argv: list[str] | None = None) -> None:
     c = sub.add_parser("report")
     for a in ("text_dir", "json_dir", "output"):
         c.add_argument(a)
+    c.add_argument("--pages", action="store_true", help="a page for each document, as Parquet, instead of one HTML file")
     c = sub.add_parser("link")
     for a in ("spreadsheet", "database"):
         c.add_argument(a)

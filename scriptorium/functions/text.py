@@ -45,6 +45,11 @@ def flatten_special(c: Column, is_special: Column) -> Column:
     return F.when(is_special, flat).otherwise(c)
 
 
+def is_special(name: Column) -> Column:
+    """Whether a file's name marks it as one that models stumble over."""
+    return F.coalesce(F.contains(name, F.lit(SPECIAL_FILE)), F.lit(False))
+
+
 def trim_long(c: Column, most: int = TRIM_AT) -> Column:
     """At most so many characters."""
     return F.substring(c, 1, most)

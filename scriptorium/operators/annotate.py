@@ -33,7 +33,6 @@ class RuleAnnotator:
 
     model: str = "alpha"
     rules: dict = field(default_factory=lambda: RULES)
-    malformed: bool = False  # wrap the JSON in the ways that models do, by doc_id modulo 7
 
     def annotate(self, chunks: DataFrame) -> DataFrame:
         """Adds model, raw_response, status, attempts."""
@@ -44,18 +43,6 @@ class RuleAnnotator:
         found = F.concat(*[one(*rule) for rule in self.rules[self.model]])
         df = chunks.withColumn("_e", found)
         body = F.to_json(F.struct(F.col("_e").alias("entities")))
-        if self.malformed:
-            k, cut = F.pmod("doc_id", F.lit(7)), F.expr("substring({0}, 1, length({0}) - 2)".replace("{0}", "_j"))
-            df = df.withColumn("_j", body)
-            body = (
-                F.when(k == 1, F.concat(F.lit("```json\n"), F.col("_j"), F.lit("\n```")))
-                .when(k == 2, F.concat(cut, F.lit(",]}")))
-                .when(k == 3, F.concat(F.lit("Here: "), F.col("_j"), F.lit(" done")))
-                .when(k == 4, F.concat(cut, F.lit(',{"text":"Liv')))
-                .when(k == 5, F.replace(F.col("_j"), F.lit('"text":"'), F.lit('"text":"\n')))
-                .when(k == 6, F.lit("I found nothing."))
-                .otherwise(F.col("_j"))
-            )
         return df.select(*chunks.columns, F.lit(self.model).alias("model"), body.alias("raw_response"), F.lit("ok").alias("status"), F.lit(1).alias("attempts"))
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.text import clean_name
+from ..session import cut
 
 THRESHOLD, K = 0.3, 5
-#: Rows of the smaller side in a broadcast block.
-BLOCK = 200_000
+#: Bytes of names and descriptions of the smaller side in a broadcast block; their features take some times that.
+BLOCK = 32 << 20
 
 
 def features(persons: DataFrame) -> DataFrame:
@@ -75,11 +76,20 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, use_s
     return scored.filter(F.col("match_probability") >= threshold).drop("_most", "_seq", "_ratio")
 
 
+def _bytes(persons: DataFrame, tag: str) -> int:
+    size = F.coalesce(F.octet_length(f"{tag}_name"), F.lit(0)) + F.coalesce(F.octet_length(f"{tag}_description"), F.lit(0)) + 100
+    return persons.agg(F.sum(size)).first()[0] or 0
+
+
 def blocks(a: DataFrame, b: DataFrame, then) -> DataFrame:
-    """All pairs of a and b that `then` keeps, with b broadcast whole or, past BLOCK rows, in blocks."""
-    n = max(1, -(-b.count() // BLOCK))
-    parts = [b] if n == 1 else [b.filter(F.pmod(F.xxhash64("b_db_idx"), F.lit(n)) == i) for i in range(n)]
-    return reduce(DataFrame.unionByName, [then(a.join(F.broadcast(p), F.lit(True))) for p in parts])
+    """All pairs of a and b that `then` keeps; the smaller side is broadcast whole or, past BLOCK bytes, in blocks."""
+    size_a, size_b = _bytes(a, "a"), _bytes(b, "b")
+    few, many, key = (a, b, "a_person_idx") if size_a < size_b else (b, a, "b_db_idx")
+    n = max(1, -(-min(size_a, size_b) // BLOCK))
+    if n > 1:
+        few, many = cut(few), cut(many)  # features once, not for each block
+    parts = [few] if n == 1 else [few.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+    return reduce(DataFrame.unionByName, [then(many.join(F.broadcast(p), F.lit(True))) for p in parts])
 
 
 def top(scored: DataFrame, k: int = K) -> DataFrame:

@@ -9,8 +9,15 @@ from ..functions.text import html_escape
 
 # Colours of labels.
 COLOURS = {
-    "PERSON": "#FFD700", "PLACE": "#90EE90", "DATE": "#ADD8E6", "ORG": "#FFA07A", "SHIP": "#DDA0DD", "GROUP": "#F0E68C", "INDICATION_OF_SLAVERY": "#FF6B6B", "RELATIONSHIPS": "#D8BFD8",
-}
+    "DATE": "#FFD700",
+    "PERSON": "#FF6347",
+    "ORG": "#4682B4",
+    "PLACE": "#32CD32",
+    "SHIP": "#9370DB",
+    "GROUP": "#FF7F50",
+    "INDICATION_OF_SLAVERY": "#DC143C",
+    "RELATIONSHIPS": "#20B2AA",
+}
 OTHER = "#CCCCCC"
 
 
@@ -65,29 +72,44 @@ def summary(entities: DataFrame) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("base").orderBy("first")))
 
 
+STYLE = "nav{position:fixed;width:220px}nav a{display:block}main{margin-left:240px}pre{white-space:pre-wrap}.entity{padding:2px;border-radius:3px}"
+
+
 def sections(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """base, html: a section for each document with its highlighted text and summary."""
+    """base, html: a section for each document with its highlighted text and summary; the original file's name where docs has file_name."""
     listed = entities.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("entity_idx", "text", "label"))).alias("entities"))
-    items = F.concat(F.lit("<ul>"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("<li>"), html_escape(x), F.lit("</li>"))), ""), F.lit("</ul>"))
-    one = F.concat(F.lit("<h4>"), html_escape(F.col("label")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h4>"), items)
+    shade = F.concat(F.lit('<span class="entity" style="background-color: '), colour(F.col("label")), F.lit('">'))
+    items = F.array_join(F.transform("items", lambda x: F.concat(shade, html_escape(x), F.lit("</span>"))), "\n")
+    one = F.concat(F.lit("<h4>"), html_escape(F.col("label")), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h4><div>"), items, F.lit("</div>"))
     sums = summary(entities).withColumn("one", one).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("rank", "one"))).alias("sums"))
     df = docs.join(listed, "base", "left").join(sums, "base", "left")
+    name = F.concat(F.lit("<p><strong>Original file:</strong> "), html_escape(F.col("file_name")), F.lit("</p>")) if "file_name" in docs.columns else F.lit("")
+    count = F.concat(F.lit("<p><strong>Entities found:</strong> "), F.coalesce(F.size("entities"), F.lit(0)).cast("string"), F.lit("</p>"))
     body = F.concat(
-        F.lit('<section id="'), html_escape(F.col("base")), F.lit('"><h2>'), html_escape(F.col("base")), F.lit("</h2><pre>"), highlight(F.col("text"), F.coalesce("entities", no_entities())), F.lit("</pre>"),
+        F.lit('<section id="'), html_escape(F.col("base")), F.lit('"><h2>'), html_escape(F.col("base")), F.lit("</h2>"), name, count,
+        F.lit("<pre>"), highlight(F.col("text"), F.coalesce("entities", no_entities())), F.lit("</pre>"),
         F.coalesce(F.array_join(F.transform("sums", lambda s: s["one"]), ""), F.lit("")), F.lit("</section>"),
     )
     return df.select("base", body.alias("html"))
 
 
+def _head() -> str:
+    legend = "".join(f'<span style="background-color: {c}">{n}</span>' for n, c in COLOURS.items())
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Entities</title><style>{STYLE}</style></head><body><div>{legend}</div>"
+
+
+def pages(parts: DataFrame) -> DataFrame:
+    """base, html: each section as a page of its own; the form for many documents, which no task gathers."""
+    return parts.select("base", F.concat(F.lit(_head() + "<main>"), "html", F.lit("</main></body></html>")).alias("html"))
+
+
 def page(parts: DataFrame, bases: DataFrame) -> DataFrame:
     """html: the whole report as one row. The sidebar lists all bases, also those without a section.
 
-    A report is one document by nature; report on a bounded set, and keep sections() for more.
+    A report is one document by nature; report on a bounded set, and keep pages() for more.
     """
     ordered = lambda df, c: df.agg(F.array_sort(F.collect_list(F.struct("base", c.alias("x")))).alias("a")).select(F.array_join(F.transform("a", lambda e: e["x"]), "\n").alias("x"))
     base = html_escape(F.col("base"))
     side = ordered(bases.select("base").distinct(), F.concat(F.lit('<a href="#'), base, F.lit('">'), base, F.lit("</a>"))).withColumnRenamed("x", "side")
-    legend = "".join(f'<span style="background-color: {c}">{n}</span>' for n, c in COLOURS.items())
-    return ordered(parts, F.col("html")).join(side, F.lit(True)).select(
-        F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>Entities</title></head><body><nav>"), "side", F.lit("</nav><div>" + legend + "</div>"), "x", F.lit("</body></html>")).alias("html")
-    )
+    body = F.concat(F.lit(_head() + "<nav>"), "side", F.lit("</nav><main>"), "x", F.lit("</main></body></html>"))
+    return ordered(parts, F.col("html")).join(side, F.lit(True)).select(body.alias("html"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, tabulate
-from ..session import spread
-from ..sources import sinks
+from ..session import scratch, spread
+from ..sources import files, sinks
 from .extract import extract, prompts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,14 +153,21 @@ def whole_document_prompt(spark, sf_dir):
 # Parsing.
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, event_type AS text, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'strict' AS parse_status FROM events")
 def parse_strict(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    entity = F.struct(F.col("event_type").alias("text"), F.get_json_object("props", "$.k").alias("label"))
+    asked = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.array(entity).alias("entities"), F.col("props"))).alias("raw_response"))
+    return parse.long(parse.parse(asked).withColumn("status", F.col("parse_status"))).select("event_id", "text", F.col("label").cast("long").alias("k"), F.col("status").alias("parse_status"))
 
 
 def _malformed(spark, sf_dir, exact: bool = False) -> DataFrame:
-    raw = annotate.RuleAnnotator("alpha", malformed=True).annotate(prompts(documents(spark, sf_dir), 10**8))
-    return parse.parse(raw, exact=exact)
+    """Responses wrapped or broken in the ways of models, by doc_id modulo 7."""
+    raw = annotate.RuleAnnotator("alpha").annotate(prompts(documents(spark, sf_dir), 10**8))
+    k, j = F.pmod("doc_id", F.lit(7)), F.col("raw_response")
+    cut = F.expr("substring(raw_response, 1, length(raw_response) - 2)")
+    broken = F.when(k == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(k == 2, F.concat(cut, F.lit(",]}"))).when(k == 3, F.concat(F.lit("Here: "), j, F.lit(" done")))
+    broken = broken.when(k == 4, F.concat(cut, F.lit(',{"text":"Liv'))).when(k == 5, F.replace(j, F.lit('"text":"'), F.lit('"text":"\n'))).when(k == 6, F.lit("I found nothing.")).otherwise(j)
+    return parse.parse(raw.withColumn("raw_response", broken), exact=exact)
 
 
 _STATUS = f"""WITH f AS (SELECT doc_id, doc_id % 7 AS k, {_found("alpha")} AS e FROM documents),
@@ -274,10 +281,10 @@ _R = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("precision", "r
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
-    """Both models against the gold rules. Blank cells are nulls, as they are after a round through a spreadsheet."""
-    blank = lambda df: df.select("model", "row_idx", "Document", *[F.nullif(F.col(n), F.lit("")).alias(n) for n in NAMES])
-    models = blank(_wide(spark, sf_dir, "alpha")).unionByName(blank(_wide(spark, sf_dir, "beta")))
-    return evaluate.align(blank(_wide(spark, sf_dir, "gold")).drop("model"), models, NAMES)
+    """Both models against the gold rules, from one extraction. Blank cells are nulls, as they are after a round through a spreadsheet."""
+    docs = documents(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ("alpha", "beta", "gold")))).alias("model"), "doc_name")
+    table = tabulate.wide(_models(spark, sf_dir), NAMES, docs).select("model", "row_idx", "Document", *[F.nullif(F.col(n), F.lit("")).alias(n) for n in NAMES])
+    return evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -404,6 +411,35 @@ def context_jaccard(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r6(sim.context(none, none, x, y)).alias("context_score"))
 
 
+@query(r"""WITH o AS (SELECT p_partkey, list_distinct(string_split(lower(p_type), ' ')) AS a, list_distinct(list_append(string_split(lower(p_name), ' '), split_part(lower(p_type), ' ', 1))) AS b,
+  list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '\w+')) AS x, list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '\w+')) AS y FROM part)
+SELECT p_partkey, round(CAST((len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))) / 2 AS DOUBLE), 6) AS context_score FROM o""")
+def context_occupations(spark, sf_dir):
+    """With occupations on both sides, as well as descriptions."""
+    a, b = F.split(F.lower("p_type"), " "), F.array_append(F.split(F.lower("p_name"), " "), F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1)))
+    x, y = sim.word_set(F.concat_ws(" ", "p_name", "p_brand")), sim.word_set(F.concat_ws(" ", "p_type", "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", r6(sim.context(F.array_distinct(a), F.array_distinct(b), x, y)).alias("context_score"))
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b, list_distinct(regexp_split_to_array(lower(p_name), '\s+')) AS x, list_distinct(regexp_split_to_array(lower(p_type), '\s+')) AS y FROM part)
+SELECT p_partkey, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END AS name_exact, round(CAST(len(list_intersect(x, y)) / greatest(len(x), len(y)) AS DOUBLE), 6) AS name_partial,
+  round(CAST(1 - levenshtein(a, b) / greatest(length(a), length(b)) AS DOUBLE), 6) AS name_levenshtein FROM t""")
+def name_scores(spark, sf_dir):
+    """Row by row, so that the work grows with the table."""
+    a, b = tx.clean_name(F.col("p_name")), tx.clean_name(F.col("p_type"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", sim.exact(F.lower(a), F.lower(b)).alias("name_exact"), r6(sim.partial(sim.name_tokens(a), sim.name_tokens(b))).alias("name_partial"), r6(sim.edit(a, b)).alias("name_levenshtein")
+    )
+
+
+_SEAT = "CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' County' WHEN 1 THEN 'Town of ' || c_name ELSE c_mktsegment || '  ' || c_nationkey || ' parish' END"
+
+
+@query(rf"SELECT c_custkey, lower(trim(regexp_replace(regexp_replace({_SEAT}, '(?i)\b(County|Parish|Plantation|Estate|Town|City)\b', '', 'g'), '\s+', ' ', 'g'))) AS place FROM customer")
+def normalize_seat(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.normal_place(F.expr(_SEAT)).alias("place"))
+
+
 # Linkage: every part's "person" against one authority person for each distinct part name.
 
 _LEFT_NAME = "CASE p_partkey % 3 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN p_name ELSE split_part(p_name, ' ', 1) || ' ' || split_part(p_type, ' ', 2) END"
@@ -559,3 +595,83 @@ def highlight(spark, sf_dir):
 @query()
 def report_sections(spark, sf_dir):
     return report.sections(*_report(spark, sf_dir))
+
+
+@query()
+def report_pages(spark, sf_dir):
+    """A page for each document."""
+    return report.pages(report.sections(*_report(spark, sf_dir)))
+
+
+@query()
+def report_page(spark, sf_dir):
+    """One page on all benchmark items."""
+    items = _items(spark, sf_dir)
+    found = extract(items, annotate.RuleAnnotator("alpha"), max_tokens=10**8).select(F.col("doc_name").alias("base"), "entity_idx", "text", "label")
+    docs = items.select(F.col("doc_name").alias("base"), "file_name", "text")
+    return report.page(report.sections(docs, found), docs)
+
+
+# Files: the given rows are written into the shared folder and read back.
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    name = F.concat(F.lit("item"), F.col("item_id").cast("string"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), name.alias("doc_name"), F.concat(name, F.lit(".txt")).alias("file_name"), "text")
+
+
+@query("SELECT 'item' || item_id || '.txt' AS file_name, 'item' || item_id AS stem, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5 FROM benchmark WHERE length(text) > 0")
+def text_files(spark, sf_dir):
+    """Text files, one for each item."""
+    path = scratch(spark, "texts")
+    sinks.export_text_files(_items(spark, sf_dir), path)
+    return files.text_files(spark, path).select("file_name", "stem", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_ITEM_ENTITIES = f"""WITH a AS (SELECT item_id, i AS entity_idx, e[i + 1].text AS text, e[i + 1].label AS label FROM (SELECT item_id, e, unnest(range(len(e))) AS i FROM (SELECT item_id, {_found("alpha")} AS e FROM benchmark)))"""
+
+
+def _exported(spark, sf_dir) -> str:
+    path = scratch(spark, "entities")
+    sinks.export_entity_files(sinks.entity_documents(extract(_items(spark, sf_dir), annotate.RuleAnnotator("alpha"), max_tokens=10**8)), path)
+    return path
+
+
+@query(f"{_ITEM_ENTITIES} SELECT 'alpha' AS model, 'item' || item_id AS doc_name, CAST(entity_idx AS INTEGER) AS entity_idx, text, label FROM a")
+def entity_files(spark, sf_dir):
+    """Entity JSON, a file for each item in its model's folder, read and parsed again."""
+    read = files.entity_files(spark, _exported(spark, sf_dir)).withColumn("chunk_idx", F.lit(0))
+    return parse.long(parse.parse(read)).select("model", "doc_name", "entity_idx", "text", "label")
+
+
+@query(f"{_ITEM_ENTITIES} SELECT 'item' || item_id AS base, count(*) AS n_entities FROM a GROUP BY item_id")
+def report_files(spark, sf_dir):
+    """The same files as a report reads them."""
+    return parse.parse(files.report_files(spark, _exported(spark, sf_dir) + "/alpha")).select("base", F.size("entities").cast("long").alias("n_entities"))
+
+
+@query(f"WITH {_wide_sql('alpha', 'w')} SELECT model, row_idx, Document, {', '.join(NAMES)} FROM w")
+def wide_table_files(spark, sf_dir):
+    """A wide table written by model and read as a table of strings."""
+    path = scratch(spark, "wide")
+    sinks.write_table(_wide(spark, sf_dir, "alpha"), path)
+    return files.table(spark, path).select("model", "row_idx", "Document", *NAMES)
+
+
+@query(f"""{_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY person_idx ORDER BY match_probability DESC, db_idx) AS rank FROM s WHERE match_probability >= 0.3)
+SELECT CAST(person_idx AS VARCHAR) AS person_idx, CAST(db_idx AS VARCHAR) AS db_idx, match_probability, CAST(rank AS VARCHAR) AS rank FROM k WHERE rank <= 5""")
+def match_csv(spark, sf_dir):
+    """Matches written as CSV and read as strings."""
+    path = scratch(spark, "matches") + ".csv"
+    sinks.write_csv(match_topk_nosq(spark, sf_dir), path)
+    return files.table(spark, path).withColumn("match_probability", F.col("match_probability").cast("double"))
+
+
+@query("SELECT p_partkey - 1 AS db_idx, 'Q' || p_partkey AS id, p_name AS name FROM part")
+def authority_lines(spark, sf_dir):
+    """The authority database as JSON lines, in the order of the file."""
+    path = scratch(spark, "authority") + ".jsonl"
+    item = F.struct(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))
+    table(spark, sf_dir, "part").select("p_partkey", F.to_json(item).alias("value")).orderBy("p_partkey").select("value").write.text(path)
+    read = files.authority_items(spark, path).select(F.try_variant_get("item", "$.id", "string").alias("id"), F.try_variant_get("item", "$.name", "string").alias("name"))
+    return read.select((F.substring("id", 2, 20).cast("long") - 1).alias("db_idx"), "id", "name")

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import prompt, trim_long
+from ..functions.text import flatten_special, is_special, prompt, trim_long
 from ..operators import chunk, dedup, parse
 from ..operators.annotate import fan_out
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents, with the texts of special files (by file_name, else doc_name) flattened."""
+    name = F.col("file_name") if "file_name" in docs.columns else F.col("doc_name")
+    return docs.withColumn("text", flatten_special(F.col("text"), is_special(name)))
+
+
 def prompts(docs: DataFrame, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens: int = chunk.OVERLAP_TOKENS, whole_document: bool = False) -> DataFrame:
-    """Chunks with their prompts. Single chunks and whole documents go without a header; the latter are trimmed."""
+    """Chunks with their prompts. Single chunks and whole documents go without a header; the latter are trimmed.
+
+    Special files are flattened first.
+    """
     if whole_document:
         text = trim_long(F.col("text"))
         rest = [c for c in docs.columns if c != "text"]
-        return docs.filter(F.length("text") > 0).select(*rest, F.lit(0).alias("chunk_idx"), F.lit(1).alias("n_chunks"), F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("chunk"), text.alias("prompt"))
-    cut = chunk.chunks(docs, max_tokens, overlap_tokens)
+        return cleaned(docs).filter(F.length("text") > 0).select(*rest, F.lit(0).alias("chunk_idx"), F.lit(1).alias("n_chunks"), F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("chunk"), text.alias("prompt"))
+    cut = chunk.chunks(cleaned(docs), max_tokens, overlap_tokens)
     name = F.col("file_name") if "file_name" in docs.columns else F.col("doc_name")
     header = prompt(F.col("chunk"), F.col("chunk_idx") + 1, F.col("n_chunks"), name)
     return cut.withColumn("prompt", F.when(F.col("n_chunks") == 1, F.col("chunk")).otherwise(header))

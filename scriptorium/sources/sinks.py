@@ -21,25 +21,36 @@ def write_entities(entities: DataFrame, path: str) -> None:
     entities.write.mode("overwrite").partitionBy("model").parquet(path)
 
 
-def export_entity_files(documents: DataFrame, path: str) -> int:
-    """One <doc_name>_entities.json for each document of (model, doc_name, json), in a folder for each model, through any file system pyarrow knows. Returns the number of files."""
+def _export(files: DataFrame, path: str) -> int:
+    """Writes (name, data) rows as files below a path, through any file system that pyarrow knows. Returns their number."""
+    spark = files.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()  # without a scheme: the default file system
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-        import os
-
         import pyarrow.fs as pafs
 
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+        fs, root = pafs.FileSystem.from_uri(uri)
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                fs.create_dir(f"{root}/{r['model']}", recursive=True)
-                with fs.open_output_stream(f"{root}/{r['model']}/{r['doc_name']}_entities.json", compression=None) as out:
-                    out.write(json.dumps(json.loads(r["json"]), indent=2).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
-
-    return documents.select("model", "doc_name", "json").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def export_entity_files(documents: DataFrame, path: str) -> int:
+    """One <doc_name>_entities.json for each document of (model, doc_name, json), in a folder for each model. Returns the number of files."""
+    pretty = F.to_json(F.from_json("json", "entities array<struct<text:string,label:string>>"), {"pretty": "true", "ignoreNullFields": "false"})
+    return _export(documents.select(F.concat("model", F.lit("/"), "doc_name", F.lit("_entities.json")).alias("name"), pretty.cast("binary").alias("data")), path)
+
+
+def export_text_files(docs: DataFrame, path: str) -> int:
+    """One file for each row of (file_name, text). Returns the number of files."""
+    return _export(docs.select(F.col("file_name").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("data")), path)
 
 
 def write_table(wide: DataFrame, path: str) -> None:

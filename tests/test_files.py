@@ -83,3 +83,29 @@ def test_stream_prompts_and_dedups_chunks(spark, tmp_path):
     assert len(bronze) > 1 and all(r.prompt.startswith(f"[Processing chunk {r.chunk_idx + 1} of {len(bronze)} from long.txt]") for r in bronze)
     found = [(r.text.lower(), r.label) for r in spark.read.parquet(str(tmp_path / "o" / "entities")).collect()]
     assert len(found) == len(set(found)) > 0
+
+
+def test_special_files_are_flattened_in_extraction(spark):
+    from scriptorium.plans.extract import prompts
+
+    text = "Zoë\r\nLee\n\n saw  Dover"
+    docs = spark.createDataFrame([(1, "x920_ROS1_(unformatted)y", text), (2, "other", text)], "doc_id long, doc_name string, text string")
+    for whole in (False, True):
+        got = {r.doc_id: r.prompt for r in prompts(docs, whole_document=whole).collect()}
+        assert got == {1: "Zo Lee saw Dover", 2: text}
+
+
+def test_missing_inputs_end_with_a_message(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(SystemExit, match="not found: .*nothing"):
+        cli.main(["tabulate", str(tmp_path / "nothing")])
+
+
+def test_report_as_pages(spark, tmp_path):
+    _texts(tmp_path / "t")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "b_entities.json").write_text('{"entities": [{"text": "Ann Lee", "label": "PERSON"}]}')
+    cli.main(["report", str(tmp_path / "t"), str(tmp_path / "j"), str(tmp_path / "p"), "--pages"])
+    (row,) = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert row.base == "b" and "b.txt</p>" in row.html and "<strong>Entities found:</strong> 1</p>" in row.html

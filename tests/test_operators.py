@@ -149,7 +149,7 @@ def test_highlight(spark):
     e = [(0, "Lee", "PERSON"), (1, "Ann Lee", "PERSON"), (2, "Lee & Co", "ORG"), (3, "a\\E$1(", "X"), (4, "", "X")]
     df = spark.createDataFrame([(text, e)], "text string, e array<struct<entity_idx:int,text:string,label:string>>")
     got = df.select(report.highlight(F.col("text"), F.col("e"))).first()[0]
-    span = lambda x: f'<span class="entity" style="background-color: #FFD700" title="PERSON">{x}</span>'
+    span = lambda x: f'<span class="entity" style="background-color: #FF6347" title="PERSON">{x}</span>'
     assert got == f"{span('Ann ' + span('Lee'))} met {span('Lee')} &amp; Co of Leeds, &quot;{span('Lee')}&quot;"
 
 

@@ -55,18 +55,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a table that nothing reads any more."""
-    _remove(spark, path)
-
-
-def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Like materialise(), and the path, for discard()."""
-    found = materialise(df, name)
-    return found, _written[-1][1]
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialise() that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch)
 
 
 def broadcast_if(df: DataFrame, fits: bool) -> DataFrame:

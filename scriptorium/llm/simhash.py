@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialise, materialise_at, row_key, small_batches, text_of, without_rows
+from .common import broadcast_if, discard, materialise, row_key, small_batches, text_of, without_rows
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Pivots, pivots whose cells route at a time, and the width of a cell; coordinates cluster around 32, a border.
@@ -223,7 +223,7 @@ def edges(fps: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that each linked node reaches. Alternating stars, written after each round."""
     seen = None
-    now, path = materialise_at(links, "simhash-links")
+    now = materialise(links, "simhash-links")
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -232,9 +232,8 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
         stars = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a != b").distinct()
-        before = path
-        now, path = materialise_at(stars, "simhash-stars")
-        discard(links.sparkSession, before)
+        before, now = now, materialise(stars, "simhash-stars")
+        discard(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.toDF("node", "root")

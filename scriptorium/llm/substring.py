@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialise, row_key, text_of
+from .common import broadcast_if, discard, materialise, row_key, text_of
 
 WINDOW, GRAM = 35, 8
 #: Words of a shard, and of an anchor's regions that are no more one shard's; references that are broadcast (some 25 MB); automata and entries that a task remembers.
@@ -327,18 +327,23 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = filed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor")
     anchors = materialise(anchors, "substring-anchors")  # so that the join's hot partitions can be split
     met = materialise(filed.join(anchors, "anchor"), "substring-met")
-    kinds = materialise(met.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at", "many")).alias("first")), "substring-kinds")
-    size = kinds.groupBy("anchor").agg(F.sum(F.col("first.many") + window - 1).alias("words"), F.max(F.struct("n", "region"))["region"].alias("lead")).filter(F.col("words") > SHARD)
+    discard(filed, anchors)
+    known = materialise(met.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at", "many")).alias("first")), "substring-kinds")
+    size = known.groupBy("anchor").agg(F.sum(F.col("first.many") + window - 1).alias("words"), F.max(F.struct("n", "region"))["region"].alias("lead")).filter(F.col("words") > SHARD)
     size = materialise(size, "substring-hot-anchors")
-    kinds = kinds.join(size.withColumnRenamed("lead", "_lead"), "anchor", "left").select("anchor", "region", "n", "first", F.coalesce(F.col("region") == F.col("_lead"), F.lit(False)).alias("lead"), F.col("words").isNotNull().alias("hot"))
+    kinds = known.join(size.withColumnRenamed("lead", "_lead"), "anchor", "left").select("anchor", "region", "n", "first", F.coalesce(F.col("region") == F.col("_lead"), F.lit(False)).alias("lead"), F.col("words").isNotNull().alias("hot"))
     contents = materialise(_contents(docs, kinds, window), "substring-contents")
+    discard(known)
     judged = _in_shards(contents.filter("NOT hot"), window)
     if size.head(1):
         judged = judged.union(_past_references(contents.filter("hot"), window))
     judged = materialise(judged.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("r")), "substring-judged")
+    discard(contents)
     ranges = F.transform("r", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
     found = met.join(judged, ["anchor", "region"]).select("doc_id", "key", F.explode(ranges).alias("x"))
-    return found.groupBy("doc_id", "key").agg(F.collect_set("x").alias("ranges"))
+    ranges = materialise(found.groupBy("doc_id", "key").agg(F.collect_set("x").alias("ranges")), "substring-ranges")
+    discard(met, judged)
+    return ranges
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -363,5 +368,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield _batch(list(zip(*rows, strict=True)), schema)
 
-    ranges = materialise(repeats(docs, window), "substring-ranges")
-    return _with_ranges(docs, ranges).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start int, length int>>")
+    return _with_ranges(docs, repeats(docs, window)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start int, length int>>")

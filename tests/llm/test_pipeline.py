@@ -87,6 +87,34 @@ def test_near_copies_go(spark, documents, monkeypatch):
     assert near.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_in_a_crowded_bucket(spark, documents, monkeypatch):
+    """All rows in one bucket of many parts: chains whose ends are near one member of another part only."""
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm import near
+
+    rng = random.Random(5)
+    base, docs = [f"x{i}" for i in range(120)], {}
+    for k in range(150):
+        at, n = rng.randrange(100), rng.choice([1, 2, 15, 20, 30])
+        docs[k] = " ".join([*base[:at], *(f"y{k}.{i}" for i in range(n)), *base[at + n :]])
+    for chain in range(6):
+        w = list(base)
+        for k in range(12):
+            w[9 * k : 9 * k + 9] = [f"z{chain}.{i}" for i in range(9 * k, 9 * k + 9)]
+            docs[1000 + 12 * chain + k] = " ".join(w)
+    rows = list(docs.items())
+    rng.shuffle(rows)
+    df, want = documents(rows), _alike(docs)
+    assert len(want) > 20
+    monkeypatch.setattr(near, "CROWD", 20)
+    monkeypatch.setattr(near, "LEADERS", 2)
+    monkeypatch.setattr(near, "buckets", lambda d: d.select(F.lit(1).alias("bucket"), F.lit(len(rows)).alias("n"), near.row_key().alias("rid")))
+    assert {r.doc_id for r in near.drop_near_copies(df).collect()} == want
+    monkeypatch.setattr(near, "rest", lambda members, roots: near.dealt(members).limit(0))
+    assert {r.doc_id for r in near.drop_near_copies(df).collect()} > want  # parts and leaders alone lose links
+
+
 def test_run_on_odd_and_empty_tables(spark, documents, tmp_path):
     """Nulls, empty and very long texts, ties, repeated rows, and extra columns whose names clash with ours."""
     df = documents([*odd_texts(), (4, "one"), (None, None), (None, "one")])

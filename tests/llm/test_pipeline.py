@@ -109,7 +109,7 @@ def test_no_link_is_lost_in_a_crowded_bucket(spark, documents, monkeypatch):
     assert len(want) > 20
     monkeypatch.setattr(near, "CROWD", 20)
     monkeypatch.setattr(near, "LEADERS", 2)
-    monkeypatch.setattr(near, "buckets", lambda d: d.select(F.lit(1).alias("bucket"), F.lit(len(rows)).alias("n"), near.row_key().alias("rid")))
+    monkeypatch.setattr(near, "buckets", lambda d: near.materialise(d.select(F.lit(1).alias("bucket"), F.lit(len(rows)).alias("n"), near.row_key().alias("rid")), "one-bucket"))
     assert {r.doc_id for r in near.drop_near_copies(df).collect()} == want
     monkeypatch.setattr(near, "rest", lambda members, roots: near.dealt(members).limit(0))
     assert {r.doc_id for r in near.drop_near_copies(df).collect()} > want  # parts and leaders alone lose links

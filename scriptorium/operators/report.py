@@ -58,7 +58,9 @@ def highlight(text: Column, entities: Column) -> Column:
     """
 
     def mark(acc: Column, e: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(e["text"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
+        literal = F.concat(F.lit(r"\Q"), F.replace(e["text"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+        # The literal comes first, as patterns that begin with one skip ahead in the text; what stands before it is looked at after.
+        quoted = F.concat(F.lit("(?U)"), literal, F.lit(r"(?<!\w"), literal, F.lit(r")(?!\w)"))
         safe = F.replace(F.replace(e["label"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         span = F.concat(F.lit('<span class="entity" style="background-color: '), colour(e["label"]), F.lit('" title="'), safe, F.lit('">$0</span>'))
         return F.when(F.length(e["text"]) > 0, F.regexp_replace(acc, quoted, span)).otherwise(acc)

@@ -16,7 +16,7 @@ PERSON = "id string, name string, description string, aliases array<string>, dat
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return text.rlike("|".join(words))
 
 
 def is_person_name(name: Column) -> Column:
@@ -70,17 +70,21 @@ def persons(items: DataFrame, strict: bool = False) -> DataFrame:
     claims = F.map_entries(_get(F.col("item"), "$.claims", "map<string,variant>"))
     flat = F.flatten(F.transform(claims, lambda e: F.coalesce(_get(e["value"], "$", "array<variant>"), F.array().cast("array<variant>"))))
 
+    def fields(c: Column) -> Column:
+        """What a claim says, read out of the variant once: its type, text and time, and its qualifiers' texts."""
+        value = "$.mainsnak.datavalue.value"
+        said = F.flatten(F.transform(F.map_entries(_get(c, "$.qualifiers", "map<string,variant>")), lambda q: F.coalesce(_get(q["value"], "$", "array<variant>"), F.array().cast("array<variant>"))))
+        texts = F.transform(said, lambda q: F.when(_get(q, "$.datavalue.type") == "string", _text(q, "$.datavalue.value")))
+        return F.struct(_get(c, "$.mainsnak.datavalue.type").alias("type"), _text(c, value).alias("text"), _text(c, f"{value}.time").alias("time"), F.coalesce(texts, F.array().cast("array<string>")).alias("qualifiers"))
+
     def values(c: Column) -> Column:
-        """The claim's texts with their kinds, in order: its own, then its qualifiers' places."""
-        own_type = _get(c, "$.mainsnak.datavalue.type")
-        own = F.when(own_type == "string", _text(c, "$.mainsnak.datavalue.value"))
-        time = F.when(own_type == "time", _text(c, "$.mainsnak.datavalue.value.time"))
+        """The claim's texts with their kinds, in order: its own, then its qualifiers' places. An empty text drops the claim."""
+        own, time = F.when(c["type"] == "string", c["text"]), F.when(c["type"] == "time", c["time"])
         first = F.array(F.struct(F.when(time.isNotNull(), "date").otherwise(kind(own)).alias("kind"), F.coalesce(time, own).alias("value")))
-        qualifiers = F.flatten(F.transform(F.map_entries(_get(c, "$.qualifiers", "map<string,variant>")), lambda q: F.coalesce(_get(q["value"], "$", "array<variant>"), F.array().cast("array<variant>"))))
-        more = F.transform(qualifiers, lambda q: F.struct(F.when((_get(q, "$.datavalue.type") == "string") & looks_like_place(_text(q, "$.datavalue.value")), "place").alias("kind"), _text(q, "$.datavalue.value").alias("value")))
-        return F.when(own.isNotNull() & (F.length(own) == 0), F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.concat(first, F.coalesce(more, F.array().cast("array<struct<kind:string,value:string>>"))))
+        more = F.transform(c["qualifiers"], lambda q: F.struct(F.when(looks_like_place(q), "place").alias("kind"), q.alias("value")))
+        return F.when(F.length(own) == 0, F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.concat(first, more))
 
-    found = F.coalesce(F.flatten(F.transform(flat, values)), F.array().cast("array<struct<kind:string,value:string>>"))
+    found = F.coalesce(F.flatten(F.transform(F.transform(flat, fields), values)), F.array().cast("array<struct<kind:string,value:string>>"))
     base = base.withColumn("_found", found)
     of = lambda k: F.transform(F.filter("_found", lambda x: (x["kind"] == k) & x["value"].isNotNull()), lambda x: x["value"])
     empty = F.array().cast("array<string>")

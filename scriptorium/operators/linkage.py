@@ -1,15 +1,13 @@
 """Record linkage: persons against an authority database.
 
 Per-side features are computed once before the join. Every pair counts, as scores do not need a shared key, so the
-join is a theta join on a threshold; it streams the larger side past the broadcast smaller one, or past blocks of
-it beyond a bound. The costly sequence ratio runs in Python, after pairs have been pruned without loss: pairs whose
+join is a theta join on a threshold: the persons are queries against the whole database. It streams the larger side
+past the broadcast smaller one or, beyond a bound, joins blocks of both sides. The costly sequence ratio runs in Python, after pairs have been pruned without loss: pairs whose
 score does not depend on it skip it, and of the others those whose best possible score misses the threshold go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from ..functions.text import clean_name
 from ..session import cut
 
 THRESHOLD, K = 0.3, 5
-#: Bytes of names and descriptions of the smaller side in a broadcast block; their features take some times that.
+#: Bytes of names and descriptions of the smaller side in a block; their features take some times that.
 BLOCK = 32 << 20
 
 
@@ -82,14 +80,21 @@ def _bytes(persons: DataFrame, tag: str) -> int:
 
 
 def blocks(a: DataFrame, b: DataFrame, then) -> DataFrame:
-    """All pairs of a and b that `then` keeps; the smaller side is broadcast whole or, past BLOCK bytes, in blocks."""
+    """All pairs of a and b that `then` keeps, as every person of a is a query against all of b.
+
+    The smaller side is broadcast up to BLOCK bytes. Beyond that both sides are dealt into blocks of that size, and
+    each block meets each block of the other side in an equi-join on the two numbers; one plan, whatever their number.
+    """
     size_a, size_b = _bytes(a, "a"), _bytes(b, "b")
-    few, many, key = (a, b, "a_person_idx") if size_a < size_b else (b, a, "b_db_idx")
-    n = max(1, -(-min(size_a, size_b) // BLOCK))
-    if n > 1:
-        few, many = cut(few), cut(many)  # features once, not for each block
-    parts = [few] if n == 1 else [few.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
-    return reduce(DataFrame.unionByName, [then(many.join(F.broadcast(p), F.lit(True))) for p in parts])
+    n, m = (max(1, -(-size // BLOCK)) for size in (size_a, size_b))
+    if min(n, m) == 1:
+        return then(F.broadcast(a).join(b, F.lit(True)) if size_a < size_b else a.join(F.broadcast(b), F.lit(True)))
+    one = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # Cut first, so that features are computed once and not for each block.
+    left = cut(a).withColumn("_row", one("a_person_idx", n)).withColumn("_column", each(m))
+    right = cut(b).withColumn("_column", one("b_db_idx", m)).withColumn("_row", each(n))
+    return then(left.join(right, ["_row", "_column"])).drop("_row", "_column")
 
 
 def top(scored: DataFrame, k: int = K) -> DataFrame:

@@ -190,7 +190,7 @@ def test_linkage_end_to_end(spark):
     assert found.filter("match_probability < 0.3").count() == 0
     old = linkage.BLOCK
     try:
-        linkage.BLOCK = 2
+        linkage.BLOCK = 100  # several blocks of both sides
         assert sorted(map(str, linkage.find_matches(people, db).collect())) == sorted(map(str, found.collect()))
     finally:
         linkage.BLOCK = old

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, packing, quality, simhash, substring, tokens, toxicity, warc
+from . import align, chat, decontam, exact, packing, quality, simhash, substring, tokens, toxicity, warc, whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,6 +65,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     """Query names and functions."""
     return {n: f for n, f in globals().items() if n.startswith("op")}

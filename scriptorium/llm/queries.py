@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, exact, packing, quality, simhash, substring, tokens, toxicity, warc, whiten
+from . import align, chat, decontam, exact, packing, pii, quality, simhash, substring, tokens, toxicity, warc, whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +73,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Query names and functions."""
     return {n: f for n, f in globals().items() if n.startswith("op")}

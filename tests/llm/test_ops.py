@@ -11,8 +11,9 @@ import pytest
 from llm.conftest import CHECK, odd_texts
 from oracle import expected, rows
 
-from scriptorium.llm import chat, common, decontam, exact, packing, quality, queries, simhash, substring, tokens, toxicity, warc
+from scriptorium.llm import align, chat, common, decontam, exact, packing, pii, quality, queries, simhash, substring, tokens, toxicity, warc, whiten
 
+PIECE = queries.tokenizer_path("piece_bpe_32k.model")
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
 
 
@@ -21,8 +22,8 @@ def test_query_equals_sql(spark, name):
     assert rows(queries.queries()[name](spark, CHECK).toPandas()) == expected(queries.ORACLES[name])
 
 
-def test_ten_operators_are_registered():
-    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+def test_operators_are_registered():
+    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 # 1
@@ -629,3 +630,233 @@ def test_warc_round_trip(spark):
 def test_warc_keys():
     assert warc.surt("http://www.Example.org:80/a?b=c#d") == "org,example,www:80)/a?b=c"
     assert warc.capture_key("http://a.b/x y\n", 3) == "b,a)/x%20y 3"
+
+
+# 11
+
+
+def _plain_groups(text):
+    """Token ids of both sides and their groups, cut where tokens of both end, token by token."""
+    (ta, *_), (tb, *_) = align._tables(align.ByteLevel, BYTE), align._tables(align.Pieces, PIECE)
+    x, y = (ta.encode([text])[0], tb.encode([text])[0]) if text else ([], [])
+    raw = (" " + text).encode()
+    if b"".join(ta.bytes[i] for i in x) != raw or b"".join(tb.bytes[i] for i in y) != raw:
+        return []
+    out, ga, gb, ea, eb = [], [], [], 0, 0
+    x, y = list(x), list(y)
+    while x or y:
+        if ea <= eb:
+            ga.append(x.pop(0))
+            ea += len(ta.bytes[ga[-1]])
+        else:
+            gb.append(y.pop(0))
+            eb += len(tb.bytes[gb[-1]])
+        if ea == eb:
+            out.append((ga, gb))
+            ga, gb = [], []
+    return out
+
+
+def _plain_alignment(texts):
+    """All columns of each text but its id."""
+    groups = [_plain_groups(t or "") for t in texts]
+    linked = [Counter((a, b) for ga, gb in g for a in ga for b in gb) for g in groups]
+    count = Counter(p for c in linked for p in c)
+    best = defaultdict(int)
+    for (a, _), n in count.items():
+        best[a] = max(best[a], n)
+    for g, c in zip(groups, linked, strict=True):
+        said = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in g)
+        yield (
+            sum(len(ga) for ga, _ in g), sum(len(gb) for _, gb in g), len(g), sum(c.values()), sum(n for p, n in c.items() if count[p] == best[p[0]]),
+            sum(n * count[p] for p, n in c.items()), hashlib.sha256(said.encode()).hexdigest() if said else "",
+        )
+
+
+@pytest.mark.parametrize("head", [align.HEAD, 40, 0])
+def test_alignment_brute_force(spark, documents, head):
+    """Also with most pairs, and with all, counted past the broadcast."""
+    rng = random.Random(11)
+    made = ["".join(rng.choice(["the", "re", "<0x41>", "é", " ", "\n", "  ", "12", "Q", "語", ".", "<|endoftext|>", "</s>"]) for _ in range(40)) for _ in range(40)]
+    given = [(r.doc_id, r.text) for r in queries.table(spark, CHECK, "documents").limit(40).collect() if len(r.text) < 5000]
+    rows_ = odd_texts() + [(100 + i, t) for i, t in enumerate(made)] + [(200, "a\u2581b"), (201, "\x00z"), (202, " "), (203, "a" * 3000)] + [(i + 1000, t) for i, t in given]
+    want = [(i, *w) for (i, _), w in zip(rows_, _plain_alignment([t for _, t in rows_]), strict=True)]
+    df = documents(rows_)
+    got = [tuple(r) for r in align.align(df, BYTE, PIECE, head).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[3] for w in want) > 10_000
+    assert {w[0] for w in want if w[1] == 0} >= {1, 2, 200}
+    assert align.align(df.limit(0), BYTE, PIECE).count() == 0
+
+
+def test_alignment_of_wide_groups():
+    """Groups whose pairs pass a block, and whose tokens pass WIDE, against plain counting."""
+    rng = np.random.default_rng(5)
+    sizes = [(1, 1), (300, 200), (2, 500), (90, 80), (1, 3)] * 3
+    ga, gb = (np.repeat(np.arange(len(sizes)), [s[i] for s in sizes]) for i in (0, 1))
+    a, b = rng.integers(0, 20, len(ga)), rng.integers(0, 30, len(gb))
+    doc_of = np.arange(len(sizes)) // 5
+    want = Counter((int(doc_of[g]), (int(x) << align.BITS) + int(y)) for g in range(len(sizes)) for x in a[ga == g] for y in b[gb == g])
+    for block in (50, 1000, align.BLOCK):
+        d, p, n = align.links(doc_of, ga, a, gb, b, block)
+        assert dict(zip(zip(d.tolist(), p.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
+def test_counts_past_the_head_are_in_few_documents(spark):
+    pairs = spark.range(1000).selectExpr("id AS row", "explode(sequence(0, 9)) AS k").selectExpr("row", "if(k < 5, k, row * 10 + k) AS pair")
+    counts = align.pair_counts(pairs)
+    assert align.head_from(counts, 5) == 2 and align.head_from(counts, 4) == 1024 and align.head_from(counts, 10_000) == 1
+    assert align.head_from(counts.limit(0), 5) == 1
+
+
+# 12
+
+
+def _whitened(spark, rows_, k=whiten.K):
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows_], "vec_id long, embedding array<float>, label int, x int").repartition(3)
+    return whiten.whiten(df, k)
+
+
+def test_whitening_brute_force(spark):
+    """Against numpy's eigensolver on all rows, with rows that do not count."""
+    rng = np.random.default_rng(12)
+    base = (rng.standard_normal((300, 12)) * np.linspace(0.4, 0.02, 12)).astype(np.float32)
+    rows_ = [(i, v.tolist()) for i, v in enumerate(base)] + [(0, base[0].tolist()), (None, base[1].tolist())]
+    bad = [(900, None), (901, [None, *base[0].tolist()[1:]]), (902, [float("nan"), *base[0].tolist()[1:]]), (903, [float("inf"), *base[0].tolist()[1:]]), (904, []), (905, [0.1, 0.2]), (906, [3e30, *base[0].tolist()[1:]])]
+    got = _whitened(spark, rows_ + bad).toPandas()
+    x = np.floor(1024 * np.array([v for _, v in rows_], np.float32).astype(float)).astype(np.int64) + 100_000
+    n, c = len(x), x - x.mean(axis=0)
+    e, q = np.linalg.eigh(c.T @ c / n)
+    e, q = e[::-1][:8], q[:, ::-1][:, :8]
+    assert len(got) == 8 * n and (got.n == n).all() and (got.identity_error < 1e-10).all()
+    assert np.allclose(got.groupby("component").explained.first(), e / np.trace(c.T @ c / n), rtol=1e-12)
+    want = c @ q / np.sqrt(e)
+    one = got[(got.vec_id == 7)].sort_values("component")
+    sign = np.array([np.sign(got[(got.vec_id == 5) & (got.component == j + 1)].whitened.iloc[0] * want[5, j]) for j in range(8)])
+    assert np.allclose(one.whitened, sign * want[7], atol=1e-9)
+    for j in range(8):
+        assert np.allclose(np.sort(got[got.component == j + 1].whitened), np.sort(sign[j] * want[:, j]), atol=1e-9)
+    assert sorted(got[got.component == 1].deviation) == sorted(((n * x - x.sum(axis=0)) ** 2).sum(axis=1).tolist())
+
+
+def test_whitening_of_odd_tables(spark):
+    assert _whitened(spark, [(1, [0.5])][:0]).count() == 0 and _whitened(spark, [(1, None), (2, [])]).count() == 0
+    same = _whitened(spark, [(1, [0.5, 0.25]), (1, [0.5, 0.25])]).collect()
+    assert [(r.vec_id, r.component, r.n, r.deviation, r.whitened, r.explained) for r in sorted(same, key=lambda r: r.component)] == [(1, c, 2, 0, None, 0.0) for c in (1, 1, 2, 2)]
+    line = _whitened(spark, [(i, [i / 1024, 2 * i / 1024, 0.0]) for i in range(9)]).collect()
+    assert len(line) == 27 and all((r.whitened is None) == (r.component > 1) for r in line) and all(r.identity_error < 1e-12 for r in line)
+    assert whiten.deviation(np.array([[2**40], [3]]), 10**7, np.array([5 * 10**6])) == [None, (3 * 10**7 - 5 * 10**6) ** 2]
+
+
+def test_eigensolver_on_ties_gaps_and_low_rank():
+    rng = np.random.default_rng(1)
+    for spectrum in ([1.0] * 20, [5.0] + [4.0] * 12 + [1.0], [1e6, 1e3, 1.0] + [1e-6] * 30, [3.0, 2.0] + [0.0] * 9, list(np.linspace(1, 2, 70)), [7.0], [2.0, 2.0], [0.0, 0.0]):
+        q, _ = np.linalg.qr(rng.standard_normal((len(spectrum), len(spectrum))))
+        v = (q * np.array(spectrum)) @ q.T
+        e, y = whiten.leading(v)
+        want = np.sort(spectrum)[::-1][:8]
+        assert np.abs(e - want).max() <= 1e-12 * max(spectrum + [1e-300]) and np.abs(y.T @ y - np.eye(len(e))).max() < 1e-12
+        assert np.abs(v @ y - y * e).max() <= 1e-11 * max(spectrum + [1e-300])
+    for n in (1, 2, 3, 7, 30):
+        a = rng.standard_normal((n, n))
+        a = a + a.T
+        for shift in (-3.0, -0.1, 0.0, 0.2, 4.0):
+            assert whiten.above(a, shift) == (np.linalg.eigvalsh(a) > shift).sum()
+
+
+def test_intervals_hold_what_inertia_counts():
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((200, 40))
+    v = a.T @ a / 200
+    e = np.linalg.eigvalsh(v)
+    parts = whiten.intervals(v, 8)
+    assert sum(n for *_, n in parts) == 8 and all(n <= whiten.EACH for *_, n in parts)
+    for low, high, n in parts:
+        assert ((e > low) & (e < high)).sum() == n == len(whiten.feast(v, low, high, n)[0])
+
+
+# 13
+
+
+def _plain_spans(text):
+    """The base patterns as they are stated, with Python's matcher."""
+    import re
+
+    stated = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    out = []
+    for k, p in enumerate(stated, 1):
+        for m in re.finditer(p, text):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            total = sum(c if i % 2 == 0 else sum(divmod(2 * c, 10)) for i, c in enumerate(reversed(d)))
+            if (k == 1) or (k == 2 and all(int(x) <= 255 for x in m[0].split("."))) or (k == 3 and 16 <= len(d) <= 19 and total % 10 == 0) or (k == 4 and 8 <= len(d) <= 15):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_are_those_of_the_stated_patterns(spark):
+    rng = random.Random(13)
+    parts = ["a@b.c", "@", ".", "x_y", "1", "22", "255", "256", "0255", "+", "-", " ", "(", ")", "4111111111111111", "4111 1111-1111 1111", "+1 (017) 555-7713", "é", "@mail.example.com", "%", "1.2.3.4", "0", "\u0663"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [t or "" for _, t in odd_texts()]
+    texts += [r.text or "" for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    n = 0
+    for t in texts:
+        base = pii.base_spans(t)
+        n += len(base)
+        assert base == _plain_spans(t)
+        found = pii.candidates(t, base)
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False))
+    assert n > 2000
+
+
+def test_pii_query_brute_force(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.op13_pii(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts) == 1000
+    for r in got:
+        want = _plain_spans(texts[r.doc_id])
+        said = ",".join(f"{pii.KINDS[k - 1]}:{a}:{b}" for k, a, b in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in (1, 2, 3, 4))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_field_adds_what_repeats_and_resembles(spark, documents):
+    weights = pii.fit(queries.table(spark, "/root/testdata/sf0.1", "documents"))
+    texts = [
+        "call +1 (017) 555-7713 now. " + "x " * 500 + "Later 017 555 7713, then (017) 555-7713; not 017 555 7714; version 4.0.", "write ann.lee@mail.example.com or ann.lee@localhost, not bob@localhost", "7713 555 017 and 4.0 and 0810992847249405", "",
+    ]
+    got = {r.doc_id: r for r in pii.find(documents(list(enumerate(texts)) + [(9, None)]), weights).collect()}
+    cut = lambda i: [(x.split(":")[0], texts[i][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in got[i].spans.split(",") if x]
+    assert cut(0) == [("phone", "+1 (017) 555-7713"), ("phone", "017 555 7713"), ("phone", "(017) 555-7713")] and got[0].n_phone == 1 and got[0].n_added == 2
+    assert cut(1) == [("email", "ann.lee@mail.example.com"), ("email", "ann.lee@localhost")]
+    assert cut(2) == [] and got[3].spans == got[9].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    masked = {r.doc_id: r.text for r in pii.redacted(documents(list(enumerate(texts)) + [(9, None)]), weights).collect()}
+    assert masked[1] == "write [EMAIL] or [EMAIL], not bob@localhost" and masked[9] is None and masked[2] == texts[2]
+    odd = documents(odd_texts())
+    assert pii.find(odd).count() == len(odd_texts()) and pii.find(odd.limit(0)).count() == 0
+
+
+def test_marginals_against_enumeration():
+    """Exact on trees; on loops the likeliest labels agree where they are clear."""
+    import itertools
+
+    rng = np.random.default_rng(13)
+    for edges, exact in (([(0, 1), (1, 2), (1, 3), (3, 4)], True), ([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 1)], False), ([], True)):
+        unary, pots = rng.normal(0, 1, (5, 3)), rng.normal(0, 1 if exact else 0.4, (2, 3, 3))
+        kind = rng.integers(0, 2, len(edges))
+        want = np.zeros((5, 3))
+        for y in itertools.product(range(3), repeat=5):
+            w = np.exp(sum(unary[i, y[i]] for i in range(5)) + sum(pots[k][y[i], y[j]] for (i, j), k in zip(edges, kind, strict=True)))
+            want[np.arange(5), y] += w
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.marginals(unary, np.array(edges, np.int64).reshape(-1, 2), kind, pots)
+        assert np.abs(got - want).max() < (1e-3 if exact else 0.1)
+
+
+def test_pii_is_linear_in_a_text():
+    import time
+
+    weights = pii.fitted([("pattern", "16l", 3, 0, 5), ("alike", "", 3, 3, 5)])
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 200_000, "+1 " * 100_000, "a@" * 100_000, "+1" + " " * 300_000, "@" * 100_000, "a." * 100_000 + "@", "1 " * 200_000):
+        began = time.perf_counter()
+        list(pii.tagged([t], weights))
+        assert time.perf_counter() - began < 20

@@ -17,6 +17,14 @@ def _entities(spark, path: str):
     return parsed, parse.long(parsed)
 
 
+def _rows(spark, path: str):
+    """A table with row_idx, which a CSV file without one gets in the order of its rows, and with model; all columns of a CSV file are its models' own."""
+    df = files.table(spark, path)
+    if path.endswith(".csv"):
+        df = df.na.fill("").withColumn("row_idx", F.col("row_idx").cast("long") if "row_idx" in df.columns else F.monotonically_increasing_id())
+    return df if "model" in df.columns else df.withColumn("model", F.lit("model"))
+
+
 def missing(spark, args: argparse.Namespace) -> list[str]:
     """Paths that a command reads and that are not there."""
     named = {"extract": ("input",), "tabulate": ("folder",), "evaluate": ("ground_truth", "tables"), "report": ("text_dir", "json_dir"), "link": ("spreadsheet", "database")}
@@ -42,10 +50,10 @@ def run(args: argparse.Namespace) -> None:
     elif args.command == "tabulate":
         parsed, long = _entities(spark, args.folder)
         names = [r[0] for r in long.select("label").distinct().orderBy("label").collect()]
-        sinks.write_table(tabulate.wide(long, names, parsed.filter("parse_status <> 'failed'")), f"{args.folder}/_tables")
+        sinks.write_table(tabulate.wide(long, names, parsed.filter("parse_status <> 'failed'"), own_labels=True), f"{args.folder}/_tables")
         tabulate.per_document(long).groupBy("model").agg(F.sum("n_entities").alias("n_entities")).show()
     elif args.command == "evaluate":
-        truth, predicted = files.table(spark, args.ground_truth), files.table(spark, args.tables)
+        truth, predicted = _rows(spark, args.ground_truth), _rows(spark, args.tables)
         names = [c for c in truth.columns if c not in ("row_idx", "Document", "model")]
         aligned = evaluate.align(truth, predicted, names, args.align)
         metrics = evaluate.by_label(aligned)

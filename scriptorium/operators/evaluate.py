@@ -13,20 +13,34 @@ def melt(table: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return table.unpivot(keys, names, "label", "value")
 
 
+def present(predicted: DataFrame, names: list[str]) -> DataFrame:
+    """model, label of the columns that a model has: those with a cell that is not null, blank or not."""
+    has = F.array_compact(F.array(*[F.when(F.count(F.col(f"`{n}`")) > 0, F.lit(n)) for n in names]))
+    return predicted.groupBy("model").agg(has.alias("_has")).select("model", F.explode("_has").alias("label"))
+
+
 def align(truth: DataFrame, predicted: DataFrame, names: list[str], align: str = "position") -> DataFrame:
     """model, label, row_idx, gt, pred. Labels that a model lacks are skipped; the longer side is cut.
 
-    align: "position" pairs rows by row_idx; "document" by Document and row number within it.
+    A model lacks a label if its column is missing or null throughout. Blank cells are null in the result, as they are
+    after a round through a spreadsheet. align: "position" pairs rows by row_idx; "document" by Document and row number
+    within it.
     """
     mine = [n for n in names if n in predicted.columns]
+    if not mine:
+        raise ValueError("no column of the predictions is a label of the ground truth")
+    known = present(predicted, mine)
+    blank = lambda df, *keys: df.select(*keys, *[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in mine])
+    both = ["Document"] if align == "document" else []
+    truth, predicted = blank(truth, "row_idx", *both), blank(predicted, "model", "row_idx", *both)
     if align == "document":
         numbered = lambda df, *by: df.filter("Document <> ''").withColumn("row_idx", F.row_number().over(Window.partitionBy(*by, "Document").orderBy("row_idx")).cast("long"))
         g = melt(numbered(truth), mine, ["Document", "row_idx"]).withColumnRenamed("value", "gt")
         p = melt(numbered(predicted, "model"), mine, ["model", "Document", "row_idx"]).withColumnRenamed("value", "pred")
-        return g.join(p, ["Document", "row_idx", "label"])
+        return g.join(p, ["Document", "row_idx", "label"]).join(known, ["model", "label"], "left_semi")
     g = melt(truth, mine, ["row_idx"]).withColumnRenamed("value", "gt")
     p = melt(predicted, mine, ["model", "row_idx"]).withColumnRenamed("value", "pred")
-    return g.join(p, ["row_idx", "label"])
+    return g.join(p, ["row_idx", "label"]).join(known, ["model", "label"], "left_semi")
 
 
 def ratio(a: Column, b: Column) -> Column:

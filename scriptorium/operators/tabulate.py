@@ -32,10 +32,11 @@ def running(sizes: DataFrame) -> DataFrame:
     return ranged.join(shift, ["model", "_part"]).select("model", "doc_name", "n", (F.col("_shift") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("start"))
 
 
-def wide(entities: DataFrame, names: list[str], documents: DataFrame | None = None) -> DataFrame:
+def wide(entities: DataFrame, names: list[str], documents: DataFrame | None = None, own_labels: bool = False) -> DataFrame:
     """model, row_idx, Document and a column for each name. `documents` (model, doc_name) adds those without entities.
 
-    Rows follow document names, which stand for the order of files.
+    Rows follow document names, which stand for the order of files. A cell without an entity is blank; with own_labels
+    it is null where the model has no entity of that label at all, so that a model's table has the labels of that model.
     """
     ranked = entities.filter(F.col("label").isin(names)).withColumn("i", F.row_number().over(Window.partitionBy("model", "doc_name", "label").orderBy("chunk_idx", "entity_idx")) - 1)
     body = cut(ranked.groupBy("model", "doc_name", "i").pivot("label", names).agg(F.first("text")))  # read twice; what made the entities may be dear
@@ -46,4 +47,9 @@ def wide(entities: DataFrame, names: list[str], documents: DataFrame | None = No
     rows = body.unionByName(ends).join(starts, ["model", "doc_name"])
     at = F.col("start") + F.when(F.col("i") == SEPARATOR, F.col("n") - 1).otherwise(F.col("i"))
     blank = F.col("i") == SEPARATOR
-    return rows.select("model", at.cast("long").alias("row_idx"), F.when(blank, "").otherwise(F.col("doc_name")).alias("Document"), *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    if own_labels:
+        own = labels(entities).groupBy("model").agg(F.collect_set("label").alias("_own"))  # a row for each model
+        rows = rows.join(own, "model", "left")
+    cell = lambda n: F.coalesce(F.col(f"`{n}`"), F.lit(""))
+    has = (lambda n: F.when(F.array_contains("_own", n), cell(n))) if own_labels else cell
+    return rows.select("model", at.cast("long").alias("row_idx"), F.when(blank, "").otherwise(F.col("doc_name")).alias("Document"), *[has(n).alias(n) for n in names])

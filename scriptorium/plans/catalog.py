@@ -281,9 +281,9 @@ _R = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("precision", "r
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
-    """Both models against the gold rules, from one extraction. Blank cells are nulls, as they are after a round through a spreadsheet."""
+    """Both models against the gold rules, from one extraction."""
     docs = documents(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ("alpha", "beta", "gold")))).alias("model"), "doc_name")
-    table = tabulate.wide(_models(spark, sf_dir), NAMES, docs).select("model", "row_idx", "Document", *[F.nullif(F.col(n), F.lit("")).alias(n) for n in NAMES])
+    table = tabulate.wide(_models(spark, sf_dir), NAMES, docs)
     return evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES)
 
 
@@ -314,6 +314,21 @@ def eval_examples(spark, sf_dir):
     return evaluate.examples(_aligned(spark, sf_dir))
 
 
+_OWN = "(SELECT DISTINCT 'alpha' AS model, label FROM a_l UNION SELECT DISTINCT 'beta', label FROM b_l WHERE label <> 'PLACE')"
+
+
+@query(f"""{_METRICS.replace("AS i FROM b_l)", "AS i FROM b_l WHERE label <> 'PLACE')")} SELECT entity_type, model, round(CAST(exact_match AS DOUBLE), 6) AS exact_match, {_R}, num_samples, true_positives, false_positives, false_negatives FROM m WHERE (model, entity_type) IN {_OWN}""")
+def eval_own_labels(spark, sf_dir):
+    """Models with different labels (beta has no places), tabulated into files, read back and evaluated: each on its own labels."""
+    docs = documents(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ("alpha", "beta", "gold")))).alias("model"), "doc_name")
+    found = _models(spark, sf_dir).filter("NOT (model = 'beta' AND label = 'PLACE')")
+    path = scratch(spark, "own-labels")
+    sinks.write_table(tabulate.wide(found, NAMES, docs, own_labels=True), path)
+    table = files.table(spark, path)
+    aligned = evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES)
+    return _rounded(evaluate.by_label(aligned), "exact_match", "precision", "recall", "f1_score")
+
+
 @query(r"""WITH t AS (SELECT doc_id, toxic = 1 AS gt, regexp_matches(text, '\b(idiot|moron|scum|loser|stupid)\b') AS p FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT count(*) AS num_samples, count(*) FILTER (WHERE gt AND p) AS true_positives, count(*) FILTER (WHERE p AND NOT gt) AS false_positives, count(*) FILTER (WHERE gt AND NOT p) AS false_negatives,
   count(*) FILTER (WHERE gt = p AND (gt OR p)) AS hits FROM t),

@@ -109,3 +109,39 @@ def test_report_as_pages(spark, tmp_path):
     cli.main(["report", str(tmp_path / "t"), str(tmp_path / "j"), str(tmp_path / "p"), "--pages"])
     (row,) = spark.read.parquet(str(tmp_path / "p")).collect()
     assert row.base == "b" and "b.txt</p>" in row.html and "<strong>Entities found:</strong> 1</p>" in row.html
+
+
+def _tabulated(spark, tmp_path, monkeypatch):
+    """Model A finds two persons and no place, B one of each; the truth has two persons and no place."""
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    made = {"A": [("Ann Lee", "PERSON"), ("Bob Roe", "PERSON")], "B": [("Ann Lee", "PERSON"), ("Kent", "PLACE")]}
+    for model, found in made.items():
+        (tmp_path / "j" / model).mkdir(parents=True)
+        (tmp_path / "j" / model / "d_entities.json").write_text(json.dumps({"entities": [{"text": t, "label": x} for t, x in found]}))
+    cli.main(["tabulate", str(tmp_path / "j")])
+    (tmp_path / "truth.csv").write_text("Document,PERSON,PLACE\nd,Ann Lee,\nd,Bob Roe,\n,,\n")
+    return str(tmp_path / "j" / "_tables"), str(tmp_path / "truth.csv")
+
+
+def test_evaluation_by_each_models_own_labels(spark, tmp_path, monkeypatch):
+    from scriptorium.operators import evaluate
+
+    tables, truth = _tabulated(spark, tmp_path, monkeypatch)
+    table = files.table(spark, tables)
+    assert [(r.PERSON, r.PLACE) for r in table.filter("model = 'A'").orderBy("row_idx").collect()] == [("Ann Lee", None), ("Bob Roe", None), ("", None)]
+    # Within documents, B's blank row after the document is no partner of the truth's second row.
+    for mode, b in (("position", (2, 0.5, 2 / 3)), ("document", (1, 1.0, 1.0))):
+        metrics = evaluate.by_label(evaluate.align(cli._rows(spark, truth), table, ["PERSON", "PLACE"], mode))
+        got = {(r.model, r.entity_type): (r.num_samples, r.exact_match, r.f1_score) for r in metrics.collect()}
+        assert got == {("A", "PERSON"): (2, 1.0, 1.0), ("B", "PERSON"): b, ("B", "PLACE"): (1, 0.0, 0.0)}
+        macro = {r.model: (r.exact_match, r.f1_score) for r in evaluate.macro(metrics).collect()}
+        assert macro == {"A": (1.0, 1.0), "B": (b[1] / 2, b[2] / 2)}
+
+
+def test_evaluate_command_prints_these_figures(spark, tmp_path, monkeypatch, capsys):
+    tables, truth = _tabulated(spark, tmp_path, monkeypatch)
+    capsys.readouterr()
+    cli.main(["evaluate", "--ground-truth", truth, "--tables", tables])
+    lines = [[c.strip() for c in x.strip("|").split("|")] for x in capsys.readouterr().out.splitlines() if x.startswith("|")]
+    first = {(x[0], x[1]): (x[2], x[6]) for x in lines if x[0] in ("PERSON", "PLACE")}
+    assert first == {("PERSON", "A"): ("1.0", "2"), ("PERSON", "B"): ("0.5", "2"), ("PLACE", "B"): ("0.0", "1")}

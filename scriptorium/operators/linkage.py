@@ -16,13 +16,13 @@ from ..functions.text import clean_name
 from ..session import cut
 
 THRESHOLD, K = 0.3, 5
-#: Bytes of names and descriptions of the smaller side in a block; their features take some times that.
+#: Bytes of all fields of the smaller side in a block, and of a database that is broadcast whole.
 BLOCK = 32 << 20
 
 
 def features(persons: DataFrame) -> DataFrame:
     """Cleaned name, its tokens, years, place set and description words of each person."""
-    cleaned = clean_name(F.col("name"))
+    cleaned = clean_name(F.coalesce("name", F.lit("")))
     return persons.withColumns({"cleaned": cleaned}).withColumns(
         {"low": F.lower("cleaned"), "tokens": sim.name_tokens(F.col("cleaned")), "years": sim.years(F.col("dates")), "places": sim.place_set(F.col("locations")), "words": sim.word_set(F.col("description")), "jobs": F.array_distinct(F.transform("occupations", F.lower))}
     )
@@ -57,26 +57,48 @@ def score(best: Column) -> Column:
     return sim.match_score(c("name_exact"), c("name_partial"), best, c("date_score"), c("location_score"), c("context_score"))
 
 
-def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, use_sequence: bool = True) -> DataFrame:
-    """Scored pairs of person_idx and db_idx that reach the threshold."""
-    a, b = _cols(features(left), "a"), _cols(features(right), "b")
-    known = F.greatest("name_exact", "name_partial", "name_levenshtein")
+def _known() -> Column:
+    return F.greatest("name_exact", "name_partial", "name_levenshtein")
+
+
+def _settled() -> Column:
+    return (F.col("name_exact") > 0) | (F.col("name_partial") > 0.5)
+
+
+def close(pairs: DataFrame, bar: Column, use_sequence: bool = True) -> DataFrame:
+    """Pairs of full features whose native scores let them reach the bar."""
     if not use_sequence:
-        return blocks(a, b, lambda x: computed(native_features(x), match_probability=score(known)).filter(F.col("match_probability") >= threshold))
-    settled = (F.col("name_exact") > 0) | (F.col("name_partial") > 0.5)
-    bound = F.greatest(known, sim.sequence_bound(F.col("a_low"), F.col("b_low")))
+        return computed(native_features(pairs), match_probability=score(_known())).filter(F.col("match_probability") >= bar)
+    bound = F.greatest(_known(), sim.sequence_bound(F.col("a_low"), F.col("b_low")))
     # The score grows with the name's while there is one, and without a name it is the mean of the rest.
-    most = F.when(settled, score(known)).otherwise(F.greatest(score(bound), score(F.lit(0.0))))
-    close = blocks(a, b, lambda x: computed(native_features(x), _most=most).filter(F.col("_most") >= threshold - 1e-12))
+    most = F.when(_settled(), score(_known())).otherwise(F.greatest(score(bound), score(F.lit(0.0))))
+    return computed(native_features(pairs), _most=most).filter(F.col("_most") >= bar - 1e-12)
+
+
+def with_sequence(pairs: DataFrame, bar: Column) -> DataFrame:
+    """Pairs of close() with their scores, those that reach the bar."""
     # One pass over the pairs; for settled ones the function gets nulls, which cost nothing.
-    ratio = sim.sequence(F.when(~settled, F.col("a_low")), F.when(~settled, F.col("b_low")))
-    scored = close.withColumn("_ratio", ratio).withColumn("_seq", F.when(settled, 0.0).otherwise(F.col("_ratio"))).withColumn("match_probability", score(F.greatest(known, F.col("_seq"))))
-    return scored.filter(F.col("match_probability") >= threshold).drop("_most", "_seq", "_ratio")
+    ratio = sim.sequence(F.when(~_settled(), F.col("a_low")), F.when(~_settled(), F.col("b_low")))
+    found = pairs.withColumn("_ratio", ratio).withColumn("_seq", F.when(_settled(), 0.0).otherwise(F.col("_ratio"))).withColumn("match_probability", score(F.greatest(_known(), F.col("_seq"))))
+    return found.filter(F.col("match_probability") >= bar).drop("_most", "_seq", "_ratio")
 
 
-def _bytes(persons: DataFrame, tag: str) -> int:
-    size = F.coalesce(F.octet_length(f"{tag}_name"), F.lit(0)) + F.coalesce(F.octet_length(f"{tag}_description"), F.lit(0)) + 100
-    return persons.agg(F.sum(size)).first()[0] or 0
+def scored(pairs: DataFrame, bar: Column, use_sequence: bool = True) -> DataFrame:
+    """Pairs of full features with their scores, those that reach the bar."""
+    found = close(pairs, bar, use_sequence)
+    return with_sequence(found, bar) if use_sequence else found
+
+
+def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, use_sequence: bool = True) -> DataFrame:
+    """Scored pairs of person_idx and db_idx that reach the threshold."""
+    bar = F.lit(threshold)
+    found = blocks(_cols(features(left), "a"), _cols(features(right), "b"), lambda x: close(x, bar, use_sequence))
+    return with_sequence(found, bar) if use_sequence else found
+
+
+def _bytes(side: DataFrame) -> int:
+    """Bytes of all fields, as text."""
+    return side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
 def blocks(a: DataFrame, b: DataFrame, then) -> DataFrame:
@@ -85,7 +107,7 @@ def blocks(a: DataFrame, b: DataFrame, then) -> DataFrame:
     The smaller side is broadcast up to BLOCK bytes. Beyond that both sides are dealt into blocks of that size, and
     each block meets each block of the other side in an equi-join on the two numbers; one plan, whatever their number.
     """
-    size_a, size_b = _bytes(a, "a"), _bytes(b, "b")
+    size_a, size_b = _bytes(a), _bytes(b)
     n, m = (max(1, -(-size // BLOCK)) for size in (size_a, size_b))
     if min(n, m) == 1:
         return then(F.broadcast(a).join(b, F.lit(True)) if size_a < size_b else a.join(F.broadcast(b), F.lit(True)))
@@ -115,8 +137,16 @@ def projected(matches: DataFrame) -> DataFrame:
 
 
 def find_matches(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """The match table of persons against the authority database."""
-    return projected(top(pairs(left, right, threshold), k))
+    """The match table of persons against the authority database.
+
+    A database of up to BLOCK bytes is broadcast and every pair scored in one pass; past that, bounds and inverted lists
+    (topk) leave most pairs alone. Both give the same rows.
+    """
+    from . import topk
+
+    if _bytes(features(right)) <= BLOCK:
+        return projected(top(pairs(left, right, threshold), k))
+    return projected(topk.matches(left, right, threshold, k))
 
 
 def bands(matches: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, tabulate
+from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, tabulate, topk
 from ..session import scratch, spread
 from ..sources import files, sinks
 from .extract import extract, prompts
@@ -515,6 +515,50 @@ def match_topk(spark, sf_dir):
     return _rounded(linkage.find_matches(left, right), "match_probability", "name_partial", "name_levenshtein", "name_sequence", "date_score", "location_score", "context_score")
 
 
+# Both sides grow: every supplier's "person" against every customer's record.
+
+_WORDS = "['almond', 'misty', 'forest', 'green', 'plum', 'rose', 'steel', 'linen', 'olive', 'amber', 'coral', 'ivory', 'khaki', 'lemon', 'maroon', 'navy', 'orchid', 'peach', 'salmon', 'tan', 'violet', 'wheat', 'azure']"
+
+
+def _grown(key: str, seed: int) -> str:
+    """A name of two words and a number made of a key; keys of both sides share words, and now and then the whole name."""
+    word = lambda k: f"element_at({{words}}, CAST(({key} * {k} + {seed}) % 23 + 1 AS INT))"
+    return f"concat({word(7)}, ' ', {word(11)}, ' ', {word(13)}, CAST({key} % 37 AS STRING))"
+
+
+_MANY_LEFT, _MANY_RIGHT = _grown("s_suppkey", 3), _grown("c_custkey", 5)
+
+
+def _many(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    words = "array(" + _WORDS[1:-1] + ")"
+    none = F.array().cast("array<string>")
+    left = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("person_idx"), F.expr(_MANY_LEFT.format(words=words)).alias("name"), F.lit("d").alias("document"), F.concat(F.lit("found in "), F.expr(f"element_at({words}, CAST(s_suppkey % 23 + 1 AS INT))")).alias("description"),
+        F.array((F.col("s_suppkey") % 97 + 1800).cast("string")).alias("dates"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("locations"), none.alias("occupations"),
+    )
+    right = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("db_idx"), F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("id"), F.expr(_MANY_RIGHT.format(words=words)).alias("name"), F.concat(F.lit("in "), F.lower("c_mktsegment")).alias("description"), none.alias("aliases"),
+        F.array((F.col("c_custkey") % 89 + 1800).cast("string"), (F.col("c_custkey") % 89 + F.col("c_custkey") % 5 + 1800).cast("string")).alias("dates"), F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("locations"), none.alias("occupations"),
+    )
+    return left, right
+
+
+_MANY_SQL = rf"""WITH l AS (SELECT s_suppkey AS person_idx, {_MANY_LEFT.format(words=_WORDS).replace("element_at", "list_extract").replace("AS STRING", "AS VARCHAR")} AS low, s_suppkey % 97 + 1800 AS y, s_nationkey AS pl, ['found', 'in', list_extract({_WORDS}, CAST(s_suppkey % 23 + 1 AS INT))] AS w FROM supplier),
+r AS (SELECT c_custkey AS db_idx, {_MANY_RIGHT.format(words=_WORDS).replace("element_at", "list_extract").replace("AS STRING", "AS VARCHAR")} AS low, c_custkey % 89 + 1800 AS y0, c_custkey % 89 + c_custkey % 5 + 1800 AS y1, c_nationkey AS pl, ['in', lower(c_mktsegment)] AS w FROM customer),
+f AS (SELECT person_idx, db_idx, CASE WHEN l.low = r.low THEN 1.0 ELSE 0 END AS ex, len(list_intersect(list_distinct(string_split(l.low, ' ')), string_split(r.low, ' '))) / greatest(len(list_distinct(string_split(l.low, ' '))), len(list_distinct(string_split(r.low, ' ')))) AS pa, 1 - levenshtein(l.low, r.low) / greatest(length(l.low), length(r.low)) AS le,
+  CASE WHEN y >= y0 AND y <= y1 THEN 1 / (y1 - y0 + 1) WHEN y < y0 AND y0 - y <= 10 THEN 1 - (y0 - y) / 20 WHEN y > y1 AND y - y1 <= 10 THEN 1 - (y - y1) / 20 ELSE 0 END AS da,
+  CASE WHEN l.pl = r.pl THEN 1.0 ELSE 0 END AS lo, len(list_intersect(l.w, r.w)) / len(list_distinct(list_concat(l.w, r.w))) AS co FROM l, r),
+""" + _SCORED[_SCORED.index("g AS (SELECT *, greatest") :]
+
+
+@query(f"""{_MANY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY person_idx ORDER BY match_probability DESC, db_idx) AS rank FROM s WHERE match_probability >= 0.3)
+SELECT person_idx, db_idx, match_probability, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
+def match_topk_bounded(spark, sf_dir):
+    """Every supplier against every customer, by bounds and inverted lists; both sides grow."""
+    found = topk.matches(*_many(spark, sf_dir), use_sequence=False)
+    return found.select(F.col("a_person_idx").alias("person_idx"), F.col("b_db_idx").alias("db_idx"), r6(F.col("match_probability")).alias("match_probability"), "rank")
+
+
 @query(f"{_SCORED} SELECT count(*) FILTER (WHERE match_probability >= 0.7) AS high, count(*) FILTER (WHERE match_probability >= 0.5 AND match_probability < 0.7) AS medium, count(*) FILTER (WHERE match_probability < 0.5) AS low FROM s WHERE match_probability >= 0.3")
 def match_bands(spark, sf_dir):
     return linkage.bands(_scored(spark, sf_dir))

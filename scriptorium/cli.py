@@ -55,7 +55,7 @@ def run(args: argparse.Namespace) -> None:
     elif args.command == "evaluate":
         truth, predicted = _rows(spark, args.ground_truth), _rows(spark, args.tables)
         names = [c for c in truth.columns if c not in ("row_idx", "Document", "model")]
-        aligned = evaluate.align(truth, predicted, names, args.align)
+        aligned = evaluate.align(truth, predicted, names, args.align, blank_is_null=True)
         metrics = evaluate.by_label(aligned)
         for df in (metrics.orderBy("entity_type", "model"), evaluate.macro(metrics), evaluate.micro(metrics)):
             df.show(100, truncate=False)

@@ -19,20 +19,20 @@ def present(predicted: DataFrame, names: list[str]) -> DataFrame:
     return predicted.groupBy("model").agg(has.alias("_has")).select("model", F.explode("_has").alias("label"))
 
 
-def align(truth: DataFrame, predicted: DataFrame, names: list[str], align: str = "position") -> DataFrame:
+def align(truth: DataFrame, predicted: DataFrame, names: list[str], align: str = "position", blank_is_null: bool = False) -> DataFrame:
     """model, label, row_idx, gt, pred. Labels that a model lacks are skipped; the longer side is cut.
 
-    A model lacks a label if its column is missing or null throughout. Blank cells are null in the result, as they are
-    after a round through a spreadsheet. align: "position" pairs rows by row_idx; "document" by Document and row number
-    within it.
+    A model lacks a label if its column is missing or null throughout. align: "position" pairs rows by row_idx;
+    "document" by Document and row number within it. blank_is_null: blank cells become null, as they do in a round
+    through a spreadsheet; else they are values.
     """
     mine = [n for n in names if n in predicted.columns]
     if not mine:
         raise ValueError("no column of the predictions is a label of the ground truth")
     known = present(predicted, mine)
-    blank = lambda df, *keys: df.select(*keys, *[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in mine])
-    both = ["Document"] if align == "document" else []
-    truth, predicted = blank(truth, "row_idx", *both), blank(predicted, "model", "row_idx", *both)
+    if blank_is_null:
+        blank = {n: F.nullif(F.col(f"`{n}`"), F.lit("")) for n in mine}
+        truth, predicted = truth.withColumns(blank), predicted.withColumns(blank)
     if align == "document":
         numbered = lambda df, *by: df.filter("Document <> ''").withColumn("row_idx", F.row_number().over(Window.partitionBy(*by, "Document").orderBy("row_idx")).cast("long"))
         g = melt(numbered(truth), mine, ["Document", "row_idx"]).withColumnRenamed("value", "gt")

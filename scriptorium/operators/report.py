@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions import marking
 from ..functions.text import html_escape
+from ..session import cut
 
 # Colours of labels.
 COLOURS = {
@@ -32,16 +38,34 @@ def colour(label: Column) -> Column:
     return F.coalesce(F.element_at(known, label), F.lit(OTHER))
 
 
+def successors(wanted: DataFrame, stems: DataFrame) -> DataFrame:
+    """base, stem: for each base of `wanted`, the least of `stems` that is not before it in the order of code points.
+
+    An as-of join: both sides are dealt out by ranges of their sort order together, each range is scanned from its end for
+    the nearest stem, and what a range does not hold comes from the first stem of the ranges after it.
+    """
+    # Stems sort after the equal base, so that looking ahead from a base finds an equal stem too.
+    both = wanted.select(F.col("base").alias("key"), F.lit(0).alias("is_stem")).unionByName(stems.select(F.col("stem").alias("key"), F.lit(1).alias("is_stem"))).distinct()
+    ranged = cut(both.repartitionByRange("key", "is_stem").withColumn("_part", F.spark_partition_id()))  # the cut fixes the ranges
+    stem = F.when(F.col("is_stem") == 1, F.col("key"))
+    ahead = Window.partitionBy("_part").orderBy("key", "is_stem").rowsBetween(0, Window.unboundedFollowing)
+    near = ranged.withColumn("_here", F.first(stem, ignorenulls=True).over(ahead)).filter("is_stem = 0")
+    firsts = ranged.groupBy("_part").agg(F.min(stem).alias("_first"))  # a row for each range
+    later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    after = firsts.select("_part", F.min("_first").over(later).alias("_after"))
+    return near.join(after, "_part").select(F.col("key").alias("base"), F.coalesce("_here", "_after").alias("stem"))
+
+
 def pair(reports: DataFrame, texts: DataFrame) -> DataFrame:
     """reports (base) with texts (stem): the text of the same stem, else the first whose stem starts with the base.
 
-    The fallback joins on equality too: each stem is listed under its beginnings, of which the least stem counts.
+    The least stem that starts with a base is the base's successor among the stems, if any stem starts with it: so the
+    fallback is one sort of both sides, and not a row for each beginning of each stem.
     """
     exact = reports.join(texts, F.col("base") == F.col("stem"))
     rest = reports.join(texts.select("stem"), F.col("base") == F.col("stem"), "left_anti")
-    starts = texts.select("stem", F.explode(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.substring("stem", F.lit(1), n))).alias("_b"))
-    near = rest.join(starts.groupBy("_b").agg(F.min("stem").alias("_s")), F.col("base") == F.col("_b")).drop("_b")
-    return exact.unionByName(near.join(texts, F.col("_s") == F.col("stem")).drop("_s"))
+    near = successors(rest.select("base").distinct(), texts.select("stem")).filter(F.startswith("stem", F.col("base"))).withColumnRenamed("stem", "_s")
+    return exact.unionByName(rest.join(near, "base").join(texts, F.col("_s") == F.col("stem")).drop("_s"))
 
 
 def longest_first(entities: Column) -> Column:
@@ -50,22 +74,21 @@ def longest_first(entities: Column) -> Column:
     return F.array_sort(ranked)
 
 
+@F.pandas_udf(StringType())
+def _marked(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, entities, tags in parts:
+        yield pd.Series([marking.marked(t, list(e), list(g)) if len(e) else t for t, e, g in zip(texts, entities, tags, strict=True)], dtype="object")
+
+
 def highlight(text: Column, entities: Column) -> Column:
     """The escaped text with a span around each whole-word occurrence of each entity, longest entities first.
 
     Entity texts are taken as they are, so one with a character that HTML escapes is not found; short entities
-    are found inside the spans of longer ones.
+    are found inside the spans of longer ones. One pass over the text, however many entities there are.
     """
-
-    def mark(acc: Column, e: Column) -> Column:
-        literal = F.concat(F.lit(r"\Q"), F.replace(e["text"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
-        # The literal comes first, as patterns that begin with one skip ahead in the text; what stands before it is looked at after.
-        quoted = F.concat(F.lit("(?U)"), literal, F.lit(r"(?<!\w"), literal, F.lit(r")(?!\w)"))
-        safe = F.replace(F.replace(e["label"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        span = F.concat(F.lit('<span class="entity" style="background-color: '), colour(e["label"]), F.lit('" title="'), safe, F.lit('">$0</span>'))
-        return F.when(F.length(e["text"]) > 0, F.regexp_replace(acc, quoted, span)).otherwise(acc)
-
-    return F.aggregate(longest_first(entities), html_escape(F.coalesce(text, F.lit(""))), mark)
+    ranked = longest_first(entities)
+    tag = lambda e: F.concat(F.lit('<span class="entity" style="background-color: '), colour(e["label"]), F.lit('" title="'), F.coalesce(e["label"], F.lit("")), F.lit('">'))
+    return _marked(html_escape(F.coalesce(text, F.lit(""))), F.transform(ranked, lambda e: F.coalesce(e["text"], F.lit(""))), F.transform(ranked, tag))
 
 
 def summary(entities: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ def _aligned(spark, sf_dir) -> DataFrame:
     """Both models against the gold rules, from one extraction."""
     docs = documents(spark, sf_dir).select(F.explode(F.array(*map(F.lit, ("alpha", "beta", "gold")))).alias("model"), "doc_name")
     table = tabulate.wide(_models(spark, sf_dir), NAMES, docs)
-    return evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES)
+    return evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES, blank_is_null=True)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -325,7 +325,7 @@ def eval_own_labels(spark, sf_dir):
     path = scratch(spark, "own-labels")
     sinks.write_table(tabulate.wide(found, NAMES, docs, own_labels=True), path)
     table = files.table(spark, path)
-    aligned = evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES)
+    aligned = evaluate.align(table.filter("model = 'gold'").drop("model"), table.filter("model <> 'gold'"), NAMES, blank_is_null=True)
     return _rounded(evaluate.by_label(aligned), "exact_match", "precision", "recall", "f1_score")
 
 
@@ -726,11 +726,34 @@ def match_csv(spark, sf_dir):
     return files.table(spark, path).withColumn("match_probability", F.col("match_probability").cast("double"))
 
 
-@query("SELECT p_partkey - 1 AS db_idx, 'Q' || p_partkey AS id, p_name AS name FROM part")
+def _authority_json(spark, sf_dir) -> DataFrame:
+    """p_partkey and an item whose texts hold what an array's borders are made of."""
+    odd = F.concat(F.lit('a "quote", [a] {b} \\\\'), "p_type", F.lit("\\n"))
+    item = F.struct(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), odd.alias("said"), F.array("p_brand", F.lit("]")).alias("more"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(item).alias("value"))
+
+
+def _authority_read(df: DataFrame) -> DataFrame:
+    return df.select("db_idx", *[F.try_variant_get("item", f"$.{c}", "string").alias(c) for c in ("id", "name")])
+
+
+_AUTHORITY = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS db_idx, 'Q' || p_partkey AS id, p_name AS name FROM part"
+
+
+@query(_AUTHORITY)
 def authority_lines(spark, sf_dir):
-    """The authority database as JSON lines, in the order of the file."""
+    """The authority database as JSON lines in several files, by ranges of 16 KB, numbered by the reader in the order of the files."""
     path = scratch(spark, "authority") + ".jsonl"
-    item = F.struct(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"))
-    table(spark, sf_dir, "part").select("p_partkey", F.to_json(item).alias("value")).orderBy("p_partkey").select("value").write.text(path)
-    read = files.authority_items(spark, path).select(F.try_variant_get("item", "$.id", "string").alias("id"), F.try_variant_get("item", "$.name", "string").alias("name"))
-    return read.select((F.substring("id", 2, 20).cast("long") - 1).alias("db_idx"), "id", "name")
+    _authority_json(spark, sf_dir).orderBy("p_partkey").select("value").write.text(path)
+    return _authority_read(files.authority_items(spark, path, 1 << 14))
+
+
+@query(_AUTHORITY)
+def authority_array(spark, sf_dir):
+    """The authority database as one JSON array in one file, by ranges of 16 KB, numbered by the reader."""
+    path = scratch(spark, "authority") + ".json"
+    items = _authority_json(spark, sf_dir)
+    items = items.withColumn("value", F.concat(F.when(F.col("p_partkey") == items.agg(F.min("p_partkey")).first()[0], "[").otherwise(","), "value"))
+    last = spark.range(1).select(F.lit(2**62).alias("p_partkey"), F.lit(" ]").alias("value"))
+    items.unionByName(last).orderBy("p_partkey").coalesce(1).select("value").write.text(path)
+    return _authority_read(files.authority_items(spark, path, 1 << 14))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import newlines, stem
+from . import ranges
 
 
 def file_name(path: Column) -> Column:
@@ -18,8 +19,12 @@ def decoded(uri: Column) -> Column:
     return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
 
 
-def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def _binary(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
+    """path, content of files. Spark passes over names that begin with _ or a dot; those are listed apart and read as well."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    df = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path).select("path", "content")
+    more = ranges.hidden(spark, path, pattern, *(["*/" + pattern] if recursive else []))
+    return df.unionByName(ranges.whole(spark, more)) if more else df
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", keep_bad: bool = False) -> DataFrame:
@@ -35,7 +40,7 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", keep_bad:
 
 def entity_files(spark: SparkSession, path: str, pattern: str = "*_entities.json") -> DataFrame:
     """model (the folder), doc_name, raw_response of entity JSON files, one folder for each model."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    df = _binary(spark, path, pattern, recursive=True)
     name = file_name(F.col("path"))
     return df.select(F.element_at(F.split("path", "/"), -2).alias("model"), F.replace(name, F.lit("_entities.json"), F.lit("")).alias("doc_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw_response"))
 
@@ -46,16 +51,22 @@ def report_files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.replace(stem(file_name(F.col("path"))), F.lit("_entities"), F.lit("")).alias("base"), F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("raw_response"))
 
 
-def authority_items(spark: SparkSession, path: str) -> DataFrame:
-    """db_idx, item (variant) of a JSON array, or of JSON lines where the path ends with .jsonl or is a folder of them.
+def authority_items(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """db_idx, item (variant) of a JSON array, or of JSON lines where the path ends with .jsonl; a file, or a folder of them.
 
-    An array is one JSON value and so one task's work; large databases come as lines.
+    Both are read by ranges of `size` bytes, one array by many tasks. db_idx is the place in the file, and files of a
+    folder follow each other by name. What is no JSON goes. In a store that only Spark reads, an array is one task's work,
+    and lines are numbered in order but not densely.
     """
-    if path.rstrip("/").endswith(".jsonl"):
-        lines = spark.read.text(path).filter(F.length("value") > 0)
-        return lines.select(F.monotonically_increasing_id().alias("db_idx"), F.try_parse_json("value").alias("item")).filter("item IS NOT NULL")
-    whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("items"))
-    return whole.select(F.posexplode("items").alias("db_idx", "item")).withColumn("db_idx", F.col("db_idx").cast("long"))
+    lines = path.rstrip("/").endswith(".jsonl")
+    if ranges.reachable(spark, path):
+        found = ranges.read(spark, path, "lines" if lines else "array", size)
+    elif lines:
+        found = spark.read.text(path).filter(F.length("value") > 0).select(F.monotonically_increasing_id().alias("db_idx"), "value")
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("items"))
+        return whole.select(F.posexplode("items").alias("db_idx", "item")).withColumn("db_idx", F.col("db_idx").cast("long"))
+    return found.select("db_idx", F.try_parse_json("value").alias("item")).filter("item IS NOT NULL")
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,76 @@ def test_missing_inputs_end_with_a_message(spark, tmp_path):
         cli.main(["tabulate", str(tmp_path / "nothing")])
 
 
+def test_hidden_names_are_read(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for name in ("a.txt", "_b.txt", ".c.txt", "_d.md"):
+        (tmp_path / "t" / name).write_text(name)
+    assert sorted(r.text for r in files.text_files(spark, str(tmp_path / "t")).collect()) == [".c.txt", "_b.txt", "a.txt"]
+    for name in ("m/x_entities.json", "m/_y_entities.json", "_n/z_entities.json", "m/.w_entities.json"):
+        (tmp_path / "j" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "j" / name).write_text('{"entities": []}')
+    got = {(r.model, r.doc_name, r.raw_response) for r in files.entity_files(spark, str(tmp_path / "j")).collect()}
+    assert got == {(m, d, '{"entities": []}') for m, d in (("m", "x"), ("m", "_y"), ("_n", "z"), ("m", ".w"))}
+    assert sorted(r.base for r in files.report_files(spark, str(tmp_path / "j" / "m")).collect()) == [".w", "_y", "x"]
+
+
+def _value(rng, depth=0):
+    """A JSON value full of what borders are made of."""
+    kind = rng.randint(0, 6 if depth < 3 else 3)
+    if kind == 0:
+        return rng.choice([1, None, True, -2.5])
+    if kind <= 3:
+        return "".join(rng.choice(["a", '"', "\\", "\\\\", "[", "]", "{", "}", ",", "\n", "é", "語", ":"]) for _ in range(rng.randint(0, 8)))
+    if kind == 4:
+        return [_value(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return {f'k{i}"[': _value(rng, depth + 1) for i in range(rng.randint(0, 4))}
+
+
+def _read_here(path, kind, size):
+    """The two passes over ranges, without Spark."""
+    from scriptorium.sources import ranges
+
+    total, out, inside, depth, at = path.stat().st_size, [], False, 0, 0
+    for start in range(0, total, size):
+        where = (f"file://{path}", start, min(start + size, total), total)
+        said = {x[0]: x for x in ranges._scan(*where[:3], kind)}[inside]
+        out += ranges._items(*where, inside, depth, at) if kind == "array" else ranges._lines(*where, at)
+        at += dict(zip(said[3], said[4], strict=True)).get(1 - depth if kind == "array" else 0, 0)
+        inside, depth = said[1], depth + said[2]
+    return out
+
+
+def test_ranges_of_any_size_give_the_items_of_an_array_and_the_lines(tmp_path):
+    import random
+
+    rng = random.Random(1)
+    for _ in range(120):
+        items = [_value(rng) for _ in range(rng.randint(0, 12))]
+        (tmp_path / "x").write_text(rng.choice(["", " \n"]) + json.dumps(items, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) + rng.choice(["", "\n"]))
+        lines = [rng.choice(["", '{"a":1}', "x" * rng.randint(1, 9), "é"]) for _ in range(rng.randint(1, 9))]
+        (tmp_path / "y").write_text("\n".join(lines))
+        for size in (1, 2, 3, 7, 50, 10**6):
+            assert [(i, json.loads(x)) for i, x in _read_here(tmp_path / "x", "array", size)] == list(enumerate(items))
+            assert _read_here(tmp_path / "y", "lines", size) == [(i, x) for i, x in enumerate(lines) if x]
+
+
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    items = [{"id": f"Q{i}", "said": 'a "b", [' * (i % 50)} for i in range(3000)]
+    (tmp_path / "db.json").write_text(json.dumps(items))
+    df = files.authority_items(spark, str(tmp_path / "db.json"), 1 << 15).select("db_idx", F.try_variant_get("item", "$.id", "string").alias("id"), F.spark_partition_id().alias("task"))
+    rows = df.collect()
+    assert sorted((r.db_idx, r.id) for r in rows) == [(i, f"Q{i}") for i in range(3000)] and len({r.task for r in rows}) > 5
+    (tmp_path / "cut.json").write_text(json.dumps(items)[:-5])
+    (tmp_path / "map.json").write_text('{"a": [1], "b": [2]}')
+    assert files.authority_items(spark, str(tmp_path / "cut.json")).count() == files.authority_items(spark, str(tmp_path / "map.json")).count() == 0
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.json").write_text("[1, 2]\n")
+    (tmp_path / "two" / "b.json").write_text("[3, oops, 5]")
+    assert sorted((r.db_idx, str(r.item.toPython())) for r in files.authority_items(spark, str(tmp_path / "two")).collect()) == [(0, "1"), (1, "2"), (2, "3"), (4, "5")]
+
+
 def test_report_as_pages(spark, tmp_path):
     _texts(tmp_path / "t")
     (tmp_path / "j").mkdir()
@@ -131,7 +201,7 @@ def test_evaluation_by_each_models_own_labels(spark, tmp_path, monkeypatch):
     assert [(r.PERSON, r.PLACE) for r in table.filter("model = 'A'").orderBy("row_idx").collect()] == [("Ann Lee", None), ("Bob Roe", None), ("", None)]
     # Within documents, B's blank row after the document is no partner of the truth's second row.
     for mode, b in (("position", (2, 0.5, 2 / 3)), ("document", (1, 1.0, 1.0))):
-        metrics = evaluate.by_label(evaluate.align(cli._rows(spark, truth), table, ["PERSON", "PLACE"], mode))
+        metrics = evaluate.by_label(evaluate.align(cli._rows(spark, truth), table, ["PERSON", "PLACE"], mode, blank_is_null=True))
         got = {(r.model, r.entity_type): (r.num_samples, r.exact_match, r.f1_score) for r in metrics.collect()}
         assert got == {("A", "PERSON"): (2, 1.0, 1.0), ("B", "PERSON"): b, ("B", "PLACE"): (1, 0.0, 0.0)}
         macro = {r.model: (r.exact_match, r.f1_score) for r in evaluate.macro(metrics).collect()}

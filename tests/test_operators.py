@@ -235,3 +235,50 @@ def test_http_annotator(spark):
     assert got == {0: ("ok", 1), 1: ("ok", 2), 2: ("error", 1)}
     assert {r.text for r in extract(df, model).collect()} == {"Ann", "lon"}
     server.shutdown()
+
+
+def test_marking_is_replacement_one_by_one():
+    """One automaton pass against the fold, with entities that are found in tags, repeat, touch and overlap."""
+    import random
+
+    from scriptorium.functions import marking
+
+    rng = random.Random(1)
+    words = ["Ann", "Lee", "Ann Lee", "Lee Roe", "-x", "x", "Lee-x", "span", "entity", "class", "title", "PERSON", "color", "amp", "a", "a a", "span class", "é", "FFD700", "/", "style", "_", "b_", "==", "#", "", 'Lee"', "<b"]
+    for _ in range(4000):
+        text = "".join(rng.choice([*words, " ", " ", " ", "&amp;", "-", "; "]) for _ in range(rng.randint(0, 25)))
+        entities = sorted((rng.choice(words) for _ in range(rng.randint(0, 7))), key=lambda x: -len(x))
+        if sum(e in ("span", "class", "entity", "title", "style", "/") for e in entities) > 4:
+            continue  # the fold itself grows without bound
+        tags = [f'<span class="entity" style="color: #{rng.choice(["FFD700", "aa"])}" title="{rng.choice(["PERSON", "DATE x"])}">' for _ in entities]
+        assert marking.marked(text, entities, tags) == marking.one_by_one(text, entities, tags), (text, entities)
+
+
+def test_marking_does_not_depend_on_the_number_of_entities():
+    import time
+
+    from scriptorium.functions import marking
+
+    text = " ".join(f"w{i % 5000}" for i in range(100_000))
+    entities = [f"w{i}" for i in range(4999, 999, -1)]
+    began = time.perf_counter()
+    assert marking.marked(text, entities, ["<b>"] * 4000).count("<b>") == 80_000 and time.perf_counter() - began < 20
+
+
+def test_pairing_takes_the_least_stem_that_starts_so(spark):
+    import random
+
+    from scriptorium.operators import report
+
+    rng = random.Random(2)
+    made = lambda: "".join(rng.choice("ab_é") for _ in range(rng.randint(1, 5)))
+    stems, bases = {made() for _ in range(120)}, [made() for _ in range(150)] + ["zz", "zz", "\U00010400"]
+    want = []
+    for b in bases:
+        found = [b] if b in stems else sorted(s for s in stems if s.startswith(b))[:1]
+        want += [(b, s) for s in found]
+    reports = spark.createDataFrame([(b,) for b in bases], "base string")
+    texts = spark.createDataFrame([(s, "x") for s in stems], "stem string, text string")
+    got = [(r.base, r.stem) for r in report.pair(reports, texts).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
+    assert report.pair(reports.limit(0), texts).count() == report.pair(reports, texts.limit(0)).count() == 0

@@ -26,6 +26,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +89,9 @@ def _plain_bytes() -> dict[str, int]:
 
 @cache
 def _tables(kind: type, path: str):
-    """The worker's tokenizer, loaded once, with the length of each id's bytes and its decimal text."""
+    """The worker's tokenizer, loaded once, with the length of each id's bytes and its decimal text behind each separator."""
     tok = kind(path)
-    return tok, np.array([len(b) for b in tok.bytes], np.int64), np.array([str(i) for i in range(len(tok.bytes))], object)
+    return tok, np.array([len(b) for b in tok.bytes], np.int64), np.array([mark + str(i) for i in range(len(tok.bytes)) for mark in ("", ";", "|", ",")], object)
 
 
 def coalesce(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +162,13 @@ def links(doc_of: np.ndarray, ga: np.ndarray, a: np.ndarray, gb: np.ndarray, b:
 def aligned(texts: list[str], first: str, second: str, block: int = BLOCK) -> tuple[list, list, list, list, np.ndarray, np.ndarray, np.ndarray]:
     """n_a, n_b, n_groups and the groups' text of each text, and doc, pair, number of all links. None: texts without tokens."""
     (ta, la, sa), (tb, lb, sb) = _tables(ByteLevel, first), _tables(Pieces, second)
+    say = sa if len(sa) >= len(sb) else sb
     ids = []
     for x, y, t in zip(ta.encode(texts), tb.encode(texts), texts, strict=True):
         raw = (" " + t).encode()
-        same = t != "" and b"".join([ta.bytes[i] for i in x]) == raw and b"".join([tb.bytes[i] for i in y]) == raw
+        same = t != "" and b"".join(map(ta.bytes.__getitem__, x)) == raw and b"".join(map(tb.bytes.__getitem__, y)) == raw
         ids.append((x, y) if same else ([], []))
-    a, b = (np.fromiter((i for pair in ids for i in pair[s]), np.int64, sum(len(pair[s]) for pair in ids)) for s in (0, 1))
+    a, b = (np.fromiter(chain.from_iterable(pair[s] for pair in ids), np.int64, sum(len(pair[s]) for pair in ids)) for s in (0, 1))
     na, nb = ([len(pair[s]) for pair in ids] for s in (0, 1))
     ea, eb = np.cumsum(la[a]), np.cumsum(lb[b])  # texts that have tokens are one after the other on one line of bytes
     size_a, size_b = la[a], lb[b]
@@ -180,11 +182,10 @@ def aligned(texts: list[str], first: str, second: str, block: int = BLOCK) -> tu
     side, token, doc, group = side[by], token[by], doc[by], group[by]
     new_doc, new_group, new_side = (np.concatenate([[True], x[1:] != x[:-1]])[: len(x)] for x in (doc, group, side))
     code = np.where(new_doc, 0, np.where(new_group, 1, np.where(new_side, 2, 3)))
-    parts = np.empty(2 * len(token), object)
-    parts[::2] = np.array(["", ";", "|", ","], object)[code]
-    parts[1::2] = np.where(side == 0, sa[np.where(side == 0, token, 0)], sb[np.where(side == 1, token, 0)])
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    said = ["".join(parts[2 * i : 2 * j].tolist()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    # Decimal texts with what stands before them, four for each id; both sides write an id alike.
+    parts = say[4 * token + code].tolist()
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    said = ["".join(parts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     heads = np.flatnonzero(new_group)
     doc_of = doc[heads]
     n_groups = np.bincount(doc_of, minlength=len(texts)).tolist()

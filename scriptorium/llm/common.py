@@ -66,6 +66,20 @@ def discard(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._scratch)
 
 
+def in_turn(parts: list, make: Callable, name: str) -> DataFrame:
+    """Rows of make(part) for all parts. Several parts run as one job each, appended to one table: so a plan holds one
+    part's broadcast at a time, and what reads the table does not know how many there were."""
+    if len(parts) == 1:
+        return make(parts[0])
+    path, first = None, None
+    for part in parts:
+        df = make(part)
+        first = first if first is not None else df
+        path = path or new_path(df.sparkSession, name)
+        df.write.mode("append").parquet(path)
+    return first.sparkSession.read.schema(first.schema).parquet(path)
+
+
 def broadcast_if(df: DataFrame, fits: bool) -> DataFrame:
     """Broadcast a side whose size has been measured; past the bound, leave it to a shuffled join."""
     return F.broadcast(df) if fits else df

@@ -10,7 +10,8 @@ keeps all its shingles. Documents are not sketched, since a short item would be
 is looked up among the signatures. The pairs found are verified by exact containment of shingle texts.
 
 Signatures, and the shingles to verify, are broadcast in blocks of some ITEM_BYTES, dealt by shingle and item so that
-no item is too large for a block; each block is a pass over the documents, and counts add up over blocks.
+no item is too large for a block. Each block is a pass over the documents and a job of its own that appends its hits to
+one table, so one block is broadcast at a time and no plan grows with the items; counts add up over blocks.
 
 Cases: items of fewer than five words have no shingle and match nothing; null texts are empty and contain nothing;
 repeated items of one id are one item (the union of their shingles); repeated documents give one row; a null
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialise, row_key, text_of
+from .common import broadcast_if, in_turn, materialise, row_key, text_of
 
 WIDTH, SHARE = 5, 0.8
 #: Size classes: most shingles of an item, and the share of the hash range that signs it; larger items have LARGE.
@@ -84,8 +85,8 @@ def dealt(known: DataFrame, size: Column) -> list[DataFrame]:
 def candidates(docs: DataFrame, signatures: list[DataFrame]) -> DataFrame:
     """doc_id, key, item_id: pairs that share as many signature shingles as the item needs."""
     places = exploded(docs.select("doc_id", "text", row_key().alias("key")), "doc_id", "key").select("doc_id", "key", shingle_hash().alias("_h"))
-    hits = [places.join(F.broadcast(s.select(F.col("h").alias("_h"), "item_id", "need")), "_h") for s in signatures]
-    shared = reduce(DataFrame.union, hits).groupBy("doc_id", "key", "item_id", "need").agg(F.countDistinct("_h").alias("n"))
+    hits = in_turn(signatures, lambda s: places.join(F.broadcast(s.select(F.col("h").alias("_h"), "item_id", "need")), "_h"), "decontam-hits")
+    shared = hits.groupBy("doc_id", "key", "item_id", "need").agg(F.countDistinct("_h").alias("n"))
     return shared.filter(F.col("n") >= F.col("need")).select("doc_id", "key", "item_id")
 
 
@@ -98,11 +99,13 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     held = docs.select("doc_id", "text", row_key().alias("key"))
     held = held.join(some, held.doc_id.eqNullSafe(some._d) & (held.key == some._k), "left_semi")
     places = exploded(held, "doc_id", "key").withColumn("_h", shingle_hash())
-    hits = []
-    for p in dealt(known, F.octet_length("shingle") + 48):
-        p = F.broadcast(p.select("item_id", "n", F.col("h").alias("_h"), "shingle"))
-        hits.append(places.join(p, "_h").filter(shingle() == F.col("shingle")).select("doc_id", "key", "item_id", "n", "shingle"))
-    shared = reduce(DataFrame.union, hits).groupBy("doc_id", "key", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
+
+    def met(part: DataFrame) -> DataFrame:
+        part = F.broadcast(part.select("item_id", "n", F.col("h").alias("_h"), "shingle"))
+        return places.join(part, "_h").filter(shingle() == F.col("shingle")).select("doc_id", "key", "item_id", "n", "shingle")
+
+    hits = in_turn(dealt(known, F.octet_length("shingle") + 48), met, "decontam-held")
+    shared = hits.groupBy("doc_id", "key", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
     a, b = shared.alias("a"), broadcast_if(pairs, few).alias("b")
     same = F.expr("a.key = b.key AND a.doc_id <=> b.doc_id AND a.item_id <=> b.item_id")
     return a.join(b, same, "left_semi").filter(F.col("n_shared") >= SHARE * F.col("n") - 1e-9).select(

@@ -6,8 +6,8 @@ straight through. The others meet on the SHA-256 of their normalised text. DataF
 
 The filter has a block of 64 bits for every ROWS_PER_BLOCK rows at any size, so under 1 % of the rows with a text of
 their own are taken for repeated. It is broadcast in pages of 64 blocks. Filters of more than SLICE blocks are dealt
-in slices: the rows are written once, by slice, and each slice is probed with its own part of the filter, so what is
-broadcast has a bound.
+in slices: the rows are written once, by slice, and one job for each slice probes it with its own part of the filter and
+appends the result to one table, so what is broadcast at a time has a bound and no plan grows with the number of slices.
 
 Cases: null and blank texts are all equal to the empty text; ties of length go to the smallest doc_id (null first),
 then to the least hash of the original text; of rows that repeat both id and text one is kept; an empty table gives
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, text_of
+from .common import in_turn, materialise, new_path, text_of
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Bits that a row sets, one in each lane of 16 bits; rows for a block; blocks of a page; blocks that are broadcast at once (128 MB).
@@ -64,26 +64,25 @@ def repeated_bits(probed: DataFrame) -> DataFrame:
     return pages.select("_slice", "_page", F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long"))).alias("_seen"))
 
 
-def split(probed: DataFrame, bloom: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pass two over one slice: rows that may be repeated, and rows that are surely unique. The filter has at most SLICE blocks."""
+def flagged(probed: DataFrame, bloom: DataFrame) -> DataFrame:
+    """Pass two over one slice: the rows and _maybe, whether they may be repeated. The filter has at most SLICE blocks."""
     mask = reduce(Column.bitwiseOR, [_bit(F.get("_bits", F.lit(i))) for i in range(PROBES)])
     flag = F.coalesce(F.get("_seen", F.col("_at")).bitwiseAND(mask) == mask, F.lit(False))
-    flagged = probed.join(F.broadcast(bloom.drop("_slice")), "_page", "left").withColumn("_maybe", flag).drop("_slice", "_page", "_at", "_bits", "_seen")
-    return flagged.filter("_maybe").drop("_maybe"), flagged.filter("NOT _maybe").drop("_maybe")
+    return probed.join(F.broadcast(bloom.drop("_slice")), "_page", "left").withColumn("_maybe", flag).drop("_slice", "_page", "_at", "_bits", "_seen")
 
 
 def sieve(probed: DataFrame, digests: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Both passes: rows that may be repeated, and unique rows. `digests` holds the probes of all rows for the first pass."""
     bloom = materialise(repeated_bits(digests), "exact-bloom")
     slices = -(-blocks // SLICE)
-    if slices == 1:
-        return split(probed, bloom)
-    path = new_path(probed.sparkSession, "exact-slices")
-    probed.write.partitionBy("_slice").parquet(path)  # no shuffle: each task writes its rows by slice
-    dealt = probed.sparkSession.read.schema(probed.schema).parquet(path).select(probed.columns)
-    parts = [split(dealt.filter(F.col("_slice") == s), bloom.filter(F.col("_slice") == s)) for s in range(slices)]
-    maybe, unique = zip(*parts, strict=True)
-    return reduce(DataFrame.union, maybe), reduce(DataFrame.union, unique)
+    dealt = probed
+    if slices > 1:
+        path = new_path(probed.sparkSession, "exact-slices")
+        probed.write.partitionBy("_slice").parquet(path)  # no shuffle: each task writes its rows by slice
+        dealt = probed.sparkSession.read.schema(probed.schema).parquet(path).select(probed.columns)
+    one = (lambda s: flagged(dealt.filter(F.col("_slice") == s), bloom.filter(F.col("_slice") == s))) if slices > 1 else (lambda _: flagged(dealt, bloom))
+    rows = in_turn(list(range(slices)), one, "exact-flagged")
+    return rows.filter("_maybe").drop("_maybe"), rows.filter("NOT _maybe").drop("_maybe")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, tabulate, topk
+from ..operators import annotate, authority, chunk, dedup, evaluate, linkage, parse, report, similar, tabulate, topk
 from ..session import scratch, spread
 from ..sources import files, sinks
 from .extract import extract, prompts
@@ -410,6 +410,43 @@ def date_similarity(spark, sf_dir):
     return both.select("o_custkey", "l_suppkey", r6(sim.date_similarity(F.col("a"), F.col("b"))).alias("date_score"))
 
 
+_SHIFT = {"o": "(o_custkey * 7 % 40) * 12 - 400", "l": "(l_suppkey * 5 % 37) * 13 - 400"}
+
+
+@query(f"""WITH a AS (SELECT o_custkey, min(year(o_orderdate)) + {_SHIFT["o"]} AS a0, max(year(o_orderdate)) + {_SHIFT["o"]} AS a1 FROM orders GROUP BY o_custkey),
+b AS (SELECT l_suppkey, min(year(l_shipdate)) + {_SHIFT["l"]} AS b0, max(year(l_shipdate)) + {_SHIFT["l"]} AS b1 FROM lineitem GROUP BY l_suppkey),
+t AS (SELECT o_custkey, l_suppkey, greatest(a0, b0) AS lo, least(a1, b1) AS hi, greatest(a1, b1) - least(a0, b0) + 1 AS span FROM a, b)
+SELECT o_custkey, l_suppkey, round(CAST(CASE WHEN lo <= hi THEN (hi - lo + 1) / span ELSE 1 - (lo - hi) / 20 END AS DOUBLE), 6) AS date_score FROM t WHERE lo - hi <= 10""")
+def date_pairs(spark, sf_dir):
+    """Customers and suppliers whose years, spread over centuries, come near each other; no other key."""
+    spread_years = lambda df, key, date, shift: df.groupBy(key).agg(F.collect_set((F.year(date) + F.expr(shift)).cast("string")).alias("d")).select(key, sim.years(F.col("d")).alias("y"))
+    a = spread_years(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", _SHIFT["o"]).withColumnRenamed("y", "x")
+    b = spread_years(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", _SHIFT["l"])
+    return similar.near_in_time(a, b).withColumn("date_score", r6(F.col("date_score")))
+
+
+_SET_SQL = r"""s AS (SELECT min(k) AS k, w FROM (SELECT k, list_sort(list_distinct(regexp_extract_all(t, '[a-z0-9_]+'))) AS w FROM src) WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT k, len(w) AS n, unnest(w) AS x FROM s), o AS (SELECT p.k AS a, q.k AS b, p.n AS na, q.n AS nb, count(*) AS c FROM e p JOIN e q ON p.x = q.x AND p.k < q.k GROUP BY ALL)"""
+
+
+def _similar_pairs(df: DataFrame, threshold: float) -> DataFrame:
+    sets = df.select(F.col("k").alias("a"), F.regexp_extract_all("t", F.lit("[a-z0-9_]+"), 0).alias("x"))
+    found = similar.similar_sets(sets, sets.toDF("b", "y"), threshold).filter("a < b")
+    return found.withColumn("score", r6(F.col("score")))
+
+
+@query(f"WITH src AS (SELECT doc_id AS k, lower(text) AS t FROM documents), {_SET_SQL} SELECT a, b, round(CAST(c / (na + nb - c) AS DOUBLE), 6) AS score FROM o WHERE c / (na + nb - c) >= 0.6 - 1e-12")
+def description_pairs(spark, sf_dir):
+    """Documents whose words are alike by 0.6 or more; texts of equal words are one, under the least id."""
+    return _similar_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.lower("text").alias("t")), 0.6)
+
+
+@query(f"WITH src AS (SELECT page_id AS k, lower(replace(url, '/', ' ')) AS t FROM pages), {_SET_SQL} SELECT a, b, round(CAST(c / (na + nb - c) AS DOUBLE), 6) AS score FROM o WHERE c / (na + nb - c) >= 0.8 - 1e-12")
+def place_pairs(spark, sf_dir):
+    """Pages whose places on the web are alike: parts of their addresses as sets, alike by 0.8 or more."""
+    return _similar_pairs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.lower(F.replace("url", F.lit("/"), F.lit(" "))).alias("t")), 0.8)
+
+
 @query("""WITH p AS (SELECT n_nationkey AS k, [lower(n_name), lower(r_name)] AS s FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT p.k AS a, q.k AS b, round(CAST(len(list_intersect(p.s, q.s)) / len(list_distinct(list_concat(p.s, q.s))) AS DOUBLE), 6) AS location_score FROM p, p q""")
 def place_jaccard(spark, sf_dir):

@@ -282,3 +282,36 @@ def test_pairing_takes_the_least_stem_that_starts_so(spark):
     got = [(r.base, r.stem) for r in report.pair(reports, texts).collect()]
     assert sorted(got) == sorted(want) and len(want) > 60
     assert report.pair(reports.limit(0), texts).count() == report.pair(reports, texts.limit(0)).count() == 0
+
+
+def test_dates_that_come_near_are_all_pairs_above_zero(spark):
+    import random
+
+    from scriptorium.operators import similar
+
+    rng = random.Random(5)
+    made = lambda: [rng.randint(1500, 2099) for _ in range(rng.choice([0, 1, 1, 2]))] + rng.choice([[], [1800]])
+    a, b = [(i, made()) for i in range(60)], [(i, made()) for i in range(70)]
+    left, right = spark.createDataFrame(a, "a int, x array<int>"), spark.createDataFrame(b, "b int, y array<int>")
+    every = left.join(right, F.lit(True)).select("a", "b", sim.date_similarity(F.col("x"), F.col("y")).alias("date_score")).filter("date_score > 0")
+    want = sorted(map(tuple, every.collect()))
+    assert sorted(map(tuple, similar.near_in_time(left, right).select("a", "b", "date_score").collect())) == want and len(want) > 500
+    assert similar.near_in_time(left.limit(0), right).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+def test_similar_sets_are_all_pairs_above_the_threshold(spark, threshold):
+    import random
+
+    from scriptorium.operators import similar
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    left = [(i, x) for i, x in enumerate(base)] + [(100, None), (101, []), (102, base[3][::-1])]
+    right = [(i, [w for w in x if rng.random() > 0.15] + rng.choice([[], ["new"], [None]])) for i, x in enumerate(base)] + [(200, base[5]), (201, base[5])]
+    one = lambda rows: {frozenset(w for w in x if w is not None): min(k for k, y in rows if y and {*y} - {None} == {*x} - {None}) for _, x in rows if x and {*x} - {None}}
+    p, q = one(left), one(right)
+    want = sorted((p[x], q[y], len(x & y) / len(x | y)) for x in p for y in q if len(x & y) / len(x | y) >= threshold)
+    a, b = spark.createDataFrame(left, "a int, x array<string>"), spark.createDataFrame(right, "b int, y array<string>")
+    assert sorted(map(tuple, similar.similar_sets(a, b, threshold).collect())) == want and (want or threshold == 1.0)
+    assert similar.similar_sets(a.limit(0), b, threshold).count() == 0

@@ -6,12 +6,14 @@ repeat and are gone after one count. The regions of the others, each kind once w
 reference: every repeated window is settled by a suffix automaton of a shard of it, through which regions stream; a
 window repeats if its matching statistics say that 35 words match and stand at two places or more.
 
-An anchor with at most SHARD words of regions belongs to one shard with others: the shard's automaton counts places,
-and its own regions stream through it. It is handed to a task by its anchors, as automata of a whole corpus have no
-size bound and not every document can meet every shard. An anchor with more is hot: its most frequent region is its
-reference, broadcast (REFERENCE rows at most, else joined), and all its regions stream past that wherever they are,
-so no task gathers a hot anchor. Windows that match it repeat; the few that do not are counted under their own hashes,
-over all tasks, as is the reference itself.
+The automata of the most frequent anchors are broadcast: as many anchors, by their number of places, as have BROADCAST
+words of regions together. Regions stream past them where they are, without a shuffle, and an anchor's automaton counts
+the places of all its regions. The rest, rarer and without a bound in number, cannot be broadcast, and not every document
+can meet every shard: such anchors share shards of SHARD words, whose automata are built in tasks that get their regions
+by shuffle. An anchor with more than SHARD words of its own is hot: its most frequent region is its reference, broadcast
+(REFERENCE rows at most, else joined), and all its regions stream past that wherever they are, so no task gathers a hot
+anchor. Windows that match it repeat; the few that do not are counted under their own hashes, over all tasks, as is the
+reference itself.
 
 Cases: null and short texts lose nothing; windows may overlap themselves; repeated rows are two places, so all
 their windows repeat; a null doc_id is an id; an empty table gives no rows; further columns are ignored.
@@ -32,6 +34,8 @@ from .common import broadcast_if, discard, materialise, row_key, text_of
 WINDOW, GRAM = 35, 8
 #: Words of a shard, and of an anchor's regions that are no more one shard's; references that are broadcast (some 25 MB); automata and entries that a task remembers.
 SHARD, REFERENCE, AUTOMATA, MEMO = 8_000, 50_000, 500, 500_000
+#: Words of regions whose automata are broadcast (8 bytes each; a task builds those that it meets); documents with ranges whose keys are broadcast.
+BROADCAST, KEYS = 400_000, 500_000
 _BASE = 0x9E3779B97F4A7C15
 _KEY = "doc_id long, key long"
 
@@ -205,18 +209,30 @@ def _filed(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text")).mapInArrow(run, f"anchor long, region long, {_KEY}, at int, many int")
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, key, text, ranges: joined by row content. Ranges grow with the corpus, so this is a shuffled join at any size."""
+def _with_ranges(docs: DataFrame, ranges: DataFrame, others: bool) -> DataFrame:
+    """doc_id, key, text, ranges: joined by row content, by shuffle. `others`: also documents without ranges.
+
+    Texts without ranges stay where they are while the keys of the others are few; with more of them, most texts have ranges.
+    """
     side = ranges.withColumnsRenamed({"doc_id": "_d", "key": "_k"}).hint("merge")
     d = docs.select("doc_id", row_key().alias("key"), text_of().cast("binary").alias("text"))
-    return d.join(side, d.doc_id.eqNullSafe(side._d) & (d.key == side._k), "left").select("doc_id", "key", "text", "ranges")
+    same = lambda d, r: d.doc_id.eqNullSafe(r._d) & (d.key == r._k)
+    if ranges.count() > KEYS:
+        return d.join(side, same(d, side), "left" if others else "inner").select("doc_id", "key", "text", "ranges")
+    keys = F.broadcast(ranges.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")))
+    some = d.join(keys, same(d, keys), "left_semi")
+    met = some.join(side, same(some, side)).select("doc_id", "key", "text", "ranges")
+    if not others:
+        return met
+    rest = d.join(keys, same(d, keys), "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    return met.unionByName(rest)
 
 
 def _contents(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """anchor, region, n, lead, hot, words (as bytes) of each kind of region, read where it first stands. A kind can come more than once where rows repeat."""
-    one = F.struct("anchor", "region", "n", "lead", "hot", "first.at", "first.many")
-    ranges = kinds.groupBy("first.doc_id", "first.key").agg(F.collect_list(one).alias("ranges"))
-    schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("hot", pa.bool_()), ("words", pa.binary())])
+    """anchor, region, n, lead, way, words (as bytes) of each kind of region, read where it first stands. A kind can come more than once where rows repeat."""
+    one = F.struct("anchor", "region", "n", "lead", "way", "first.at", "first.many")
+    ranges = materialise(kinds.groupBy("first.doc_id", "first.key").agg(F.collect_list(one).alias("ranges")), "substring-firsts")
+    schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("way", pa.string()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -229,18 +245,49 @@ def _contents(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
                         if (r["anchor"], r["region"]) not in seen:
                             seen.add((r["anchor"], r["region"]))
                             words = word_hashes((text or b"").split()) if words is None else words
-                            rows.append((r["anchor"], r["region"], r["n"], r["lead"], r["hot"], words[r["at"] : r["at"] + r["many"] + window - 1].tobytes()))
+                            rows.append((r["anchor"], r["region"], r["n"], r["lead"], r["way"], words[r["at"] : r["at"] + r["many"] + window - 1].tobytes()))
                 if len(seen) > MEMO:
                     seen.clear()
                 if rows:
                     yield _batch(list(zip(*rows, strict=True)), schema)
 
-    return _with_ranges(docs, ranges).filter("ranges IS NOT NULL").mapInArrow(run, "anchor long, region long, n long, lead boolean, hot boolean, words binary")
+    return _with_ranges(docs, ranges, others=False).mapInArrow(run, "anchor long, region long, n long, lead boolean, way string, words binary")
 
 
 _JUDGED = "anchor long, region long, first int, last int"
 
 
+def _past_automata(contents: DataFrame, window: int) -> DataFrame:
+    """_JUDGED: the repeated windows of frequent anchors, whose regions stream past broadcast automata."""
+    spark = contents.sparkSession
+    once = contents.groupBy("anchor", "region").agg(F.min("n").alias("n"), F.min("words").alias("words"))  # BROADCAST words at most
+    shards: dict[int, list[tuple[int, bytes]]] = {}
+    for r in once.collect():
+        shards.setdefault(r.anchor, []).append((r.n, bytes(r.words)))
+    sent = spark.sparkContext.broadcast(shards)
+    schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata: dict[int, Automaton] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for anchor, region, data in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                auto = automata.get(anchor)
+                if auto is None:
+                    if len(automata) >= AUTOMATA:
+                        automata.clear()
+                    auto = automata[anchor] = Automaton()
+                    for n, words in sent.value[anchor]:
+                        auto.add(np.frombuffer(words, np.uint64).tolist(), n)
+                    auto.close()
+                flags = np.array([k == window and n >= 2 for k, n in auto.matches(np.frombuffer(data, np.uint64).tolist(), window)][window - 1 :])
+                rows += [(anchor, region, i, j) for i, j in zip(*(x.tolist() for x in runs(flags)), strict=True)]
+            if rows:
+                yield _batch(list(zip(*rows, strict=True)), schema)
+
+    return contents.select("anchor", "region", "words").mapInArrow(run, _JUDGED)
+
+
 def _in_shards(contents: DataFrame, window: int) -> DataFrame:
     """_JUDGED: the repeated windows of anchors of at most SHARD words, by automata of shards of such anchors."""
     schema = pa.schema([("anchor", pa.int64()), ("region", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
@@ -321,6 +368,17 @@ def _past_references(contents: DataFrame, window: int) -> DataFrame:
     return met.filter("h IS NULL").select("anchor", "region", "first", "last").union(rest.select("anchor", "region", "first", "last"))
 
 
+def frequent(sizes: DataFrame) -> int:
+    """How many places an anchor needs to be broadcast: the least power of two such that those anchors have BROADCAST words at most."""
+    words = {r.k: r.w for r in sizes.groupBy(F.floor(F.log2("places")).cast("int").alias("k")).agg(F.sum("words").alias("w")).collect()}  # at most 63 rows
+    total = 0
+    for k in range(max(words, default=0), -1, -1):
+        total += words.get(k, 0)
+        if total > BROADCAST:
+            return 1 << (k + 1)
+    return 1
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, ranges (array of first and last repeated window) of documents that have any."""
     filed = materialise(_filed(docs, window), "substring-regions")
@@ -329,14 +387,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = materialise(filed.join(anchors, "anchor"), "substring-met")
     discard(filed, anchors)
     known = materialise(met.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at", "many")).alias("first")), "substring-kinds")
-    size = known.groupBy("anchor").agg(F.sum(F.col("first.many") + window - 1).alias("words"), F.max(F.struct("n", "region"))["region"].alias("lead")).filter(F.col("words") > SHARD)
-    size = materialise(size, "substring-hot-anchors")
-    kinds = known.join(size.withColumnRenamed("lead", "_lead"), "anchor", "left").select("anchor", "region", "n", "first", F.coalesce(F.col("region") == F.col("_lead"), F.lit(False)).alias("lead"), F.col("words").isNotNull().alias("hot"))
+    size = known.groupBy("anchor").agg(F.sum(F.col("first.many") + window - 1).alias("words"), F.sum("n").alias("places"), F.max(F.struct("n", "region"))["region"].alias("lead"))
+    size = materialise(size, "substring-sizes")
+    way = F.when(F.col("words") > SHARD, "hot").when(F.col("places") >= frequent(size.filter(F.col("words") <= SHARD)), "broadcast")
+    chosen = materialise(size.select("anchor", way.alias("way"), F.col("lead").alias("_lead")).filter("way IS NOT NULL"), "substring-chosen")
+    kinds = known.join(chosen, "anchor", "left").select("anchor", "region", "n", "first", F.coalesce(F.col("region") == F.col("_lead"), F.lit(False)).alias("lead"), F.coalesce("way", F.lit("shard")).alias("way"))
     contents = materialise(_contents(docs, kinds, window), "substring-contents")
     discard(known)
-    judged = _in_shards(contents.filter("NOT hot"), window)
-    if size.head(1):
-        judged = judged.union(_past_references(contents.filter("hot"), window))
+    judged = _past_automata(contents.filter("way = 'broadcast'"), window).union(_in_shards(contents.filter("way = 'shard'"), window))
+    if chosen.filter("way = 'hot'").head(1):
+        judged = judged.union(_past_references(contents.filter("way = 'hot'"), window))
     judged = materialise(judged.groupBy("anchor", "region").agg(F.collect_list(F.struct("first", "last")).alias("r")), "substring-judged")
     discard(contents)
     ranges = F.transform("r", lambda x: F.struct((F.col("at") + x["first"]).alias("first"), (F.col("at") + x["last"]).alias("last")))
@@ -368,4 +428,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield _batch(list(zip(*rows, strict=True)), schema)
 
-    return _with_ranges(docs, repeats(docs, window)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start int, length int>>")
+    return _with_ranges(docs, repeats(docs, window), others=True).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start int, length int>>")

@@ -232,10 +232,12 @@ def _without_repeats(docs, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "shard", "reference"), [(35, 8_000, 50_000), (12, 8_000, 50_000), (12, 60, 50_000), (12, 0, 50_000), (12, 60, 0), (3, 20, 50_000)])
-def test_substring_brute_force(spark, documents, monkeypatch, window, shard, reference):
-    """Also with anchors that are hot from a few words on, or all of them."""
+@pytest.mark.parametrize(("window", "shard", "reference", "sent", "keys"), [(35, 8_000, 50_000, 400_000, 500_000), (12, 8_000, 50_000, 0, 0), (12, 8_000, 50_000, 2_000, 500_000), (12, 60, 50_000, 300, 0), (12, 0, 50_000, 0, 500_000), (12, 60, 0, 0, 0), (3, 20, 50_000, 100, 500_000)])
+def test_substring_brute_force(spark, documents, monkeypatch, window, shard, reference, sent, keys):
+    """Also with anchors that are hot from a few words on, or all of them, and with all, some or no automata broadcast."""
     monkeypatch.setattr(substring, "SHARD", shard)
+    monkeypatch.setattr(substring, "BROADCAST", sent)
+    monkeypatch.setattr(substring, "KEYS", keys)
     monkeypatch.setattr(substring, "REFERENCE", reference)
     rng = random.Random(4)
     passage = [" ".join(f"p{rng.randint(0, 999)}" for _ in range(n)) for n in (20, 50, 80, 9)]
@@ -247,6 +249,12 @@ def test_substring_brute_force(spark, documents, monkeypatch, window, shard, ref
     assert got == _without_repeats(docs, window)
 
 
+def test_frequent_anchors_fit_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST", 100)
+    sizes = spark.createDataFrame([(i, 10, p) for i, p in enumerate([2] * 20 + [5] * 5 + [900])], "anchor long, words long, places long")
+    assert substring.frequent(sizes) == 4 and substring.frequent(sizes.limit(0)) == 1 and substring.frequent(sizes.filter("places > 2")) == 1
+
+
 def test_automaton_counts_like_a_scan():
     rng = random.Random(5)
     seqs = [[rng.randint(0, 3) for _ in range(rng.randint(5, 60))] for _ in range(12)]

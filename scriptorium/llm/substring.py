@@ -35,7 +35,7 @@ WINDOW, GRAM = 35, 8
 #: Words of a shard, and of an anchor's regions that are no more one shard's; references that are broadcast (some 25 MB); automata and entries that a task remembers.
 SHARD, REFERENCE, AUTOMATA, MEMO = 8_000, 50_000, 500, 500_000
 #: Words of regions whose automata are broadcast (8 bytes each; a task builds those that it meets); documents with ranges whose keys are broadcast.
-BROADCAST, KEYS = 400_000, 500_000
+BROADCAST, KEYS = 2_000_000, 500_000
 _BASE = 0x9E3779B97F4A7C15
 _KEY = "doc_id long, key long"
 

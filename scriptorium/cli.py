@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from .operators import annotate, authority, evaluate, linkage, parse, report, tabulate
+from .operators import annotate, authority, evaluate, ledger, linkage, parse, report, tabulate
 from .plans.extract import extract
 from .session import session
 from .sources import files, sinks
@@ -43,7 +43,7 @@ def run(args: argparse.Namespace) -> None:
         raise SystemExit("not found: " + ", ".join(lost))
     if args.command == "extract":
         docs = files.text_files(spark, args.input).withColumns({"doc_id": F.xxhash64("file_name"), "doc_name": F.col("stem")})
-        models = [annotate.RuleAnnotator(m.removeprefix("rules:")) if m.startswith("rules:") else annotate.HttpAnnotator(m, args.url) for m in args.model.split(",")]
+        models = [annotate.RuleAnnotator(m.removeprefix("rules:")) if m.startswith("rules:") else ledger.LedgerAnnotator(annotate.HttpAnnotator(m, args.url), f"{args.output}/_ledger", args.parallel, args.in_flight) for m in args.model.split(",")]
         found = extract(docs.repartition(args.parallel), models, bronze=f"{args.output}/_bronze", whole_document=args.whole_document)
         sinks.write_entities(found, f"{args.output}/entities")
         print(sinks.export_entity_files(sinks.entity_documents(found), f"{args.output}/json"), "files with entities")
@@ -88,7 +88,8 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument(a)
     c.add_argument("--url", default="http://127.0.0.1:1234/v1/chat/completions")
     c.add_argument("--whole-document", action="store_true", help="no chunks; texts are trimmed to 100,000 characters")
-    c.add_argument("--parallel", type=int, default=1, help="requests at a time")
+    c.add_argument("--parallel", type=int, default=1, help="tasks that ask at a time")
+    c.add_argument("--in-flight", type=int, default=1, help="requests of a task at a time")
     sub.add_parser("tabulate").add_argument("folder")
     c = sub.add_parser("evaluate")
     c.add_argument("--ground-truth", required=True)

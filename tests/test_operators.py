@@ -315,3 +315,61 @@ def test_similar_sets_are_all_pairs_above_the_threshold(spark, threshold):
     a, b = spark.createDataFrame(left, "a int, x array<string>"), spark.createDataFrame(right, "b int, y array<string>")
     assert sorted(map(tuple, similar.similar_sets(a, b, threshold).collect())) == want and (want or threshold == 1.0)
     assert similar.similar_sets(a.limit(0), b, threshold).count() == 0
+
+
+def test_ledger_asks_no_answered_prompt_twice(spark, tmp_path):
+    """A job that dies in the middle, then others: the server sees each prompt once, but for the one that failed and errors."""
+    import json
+    import threading
+    import time
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from scriptorium.operators.ledger import LedgerAnnotator
+
+    asked, now, most, lock, broken = Counter(), [0], [0], threading.Lock(), {"dies"}
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            with lock:
+                asked[text] += 1
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.05)
+            with lock:
+                now[0] -= 1
+            self.send_response(500 if text == "down" else 200)
+            self.end_headers()
+            self.wfile.write(b"gone" if text == "down" else json.dumps({"choices": [{"message": {"content": "re: " + text}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    class Fragile(annotate.HttpAnnotator):
+        """Ends its task at a certain prompt."""
+
+        def answer(self, prompt):
+            if prompt in doomed:
+                raise RuntimeError("the executor is lost")
+            return super().answer(prompt)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1/chat/completions"
+    rows = [(i, f"p{i % 20}") for i in range(60)] + [(60, "down"), (61, "dies"), (62, None)]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string")
+    ask = lambda kind, model="m": LedgerAnnotator(kind(model, url), str(tmp_path / "ledger"), 2, 4, 3).annotate(df)
+    doomed = broken
+    with pytest.raises(Exception, match="executor is lost"):
+        ask(Fragile)
+    before = dict(asked)
+    assert before and max(before.values()) == 1
+    got = {r.doc_id: (r.prompt, r.raw_response, r.status) for r in ask(annotate.HttpAnnotator).collect()}
+    assert got == {i: (p, None, "error") if p == "down" else (p, "re: " + (p or ""), "ok") for i, p in rows}
+    assert {p: n for p, n in asked.items() if n > 1 and p != "down"} == {} and 1 < most[0] <= 8
+    ask(annotate.HttpAnnotator).collect()
+    assert {p: n for p, n in asked.items() if n > 1 and p != "down"} == {} and asked["down"] >= 2
+    ask(annotate.HttpAnnotator, "other").collect()
+    assert asked["p1"] == 2
+    server.shutdown()

@@ -69,7 +69,7 @@ def run(args: argparse.Namespace) -> None:
         if args.pages:
             report.pages(parts).write.mode("overwrite").parquet(args.output)
         else:
-            sinks.write_html(report.page(parts, parsed.select("base")), args.output)
+            sinks.write_pieces(report.pieces(parts, parsed.select("base")), args.output)
     else:
         left = authority.spreadsheet_persons(files.table(spark, args.spreadsheet))
         matches = linkage.find_matches(left, authority.persons(files.authority_items(spark, args.database)), args.threshold, args.max_matches)

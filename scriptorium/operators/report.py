@@ -131,10 +131,26 @@ def pages(parts: DataFrame) -> DataFrame:
 def page(parts: DataFrame, bases: DataFrame) -> DataFrame:
     """html: the whole report as one row. The sidebar lists all bases, also those without a section.
 
-    A report is one document by nature; report on a bounded set, and keep pages() for more.
+    In one row, so for a bounded set; pieces() makes the same page as a file of any size, and pages() a page for each document.
     """
     ordered = lambda df, c: df.agg(F.array_sort(F.collect_list(F.struct("base", c.alias("x")))).alias("a")).select(F.array_join(F.transform("a", lambda e: e["x"]), "\n").alias("x"))
     base = html_escape(F.col("base"))
     side = ordered(bases.select("base").distinct(), F.concat(F.lit('<a href="#'), base, F.lit('">'), base, F.lit("</a>"))).withColumnRenamed("x", "side")
     body = F.concat(F.lit(_head() + "<nav>"), "side", F.lit("</nav><main>"), "x", F.lit("</main></body></html>"))
     return ordered(parts, F.col("html")).join(side, F.lit(True)).select(body.alias("html"))
+
+
+def pieces(parts: DataFrame, bases: DataFrame) -> DataFrame:
+    """place, base, piece: what page() consists of, in order; sources.sinks.write_pieces() makes one file of them. The file ends with a line feed."""
+    base = html_escape(F.col("base"))
+    spark = parts.sparkSession
+    fixed = spark.createDataFrame([(0, "", _head() + "<nav>"), (2, "", "</nav><main>"), (4, "", "</main></body></html>\n")], "place int, base string, piece string")
+
+    def listed(df: DataFrame, place: int, text: Column) -> DataFrame:
+        """Texts by base, each but the first behind a line feed."""
+        first = df.agg(F.min("base").alias("_least"))  # one row
+        numbered = df.join(F.broadcast(first), F.lit(True))
+        return numbered.select(F.lit(place).alias("place"), "base", F.concat(F.when(F.col("base") == F.col("_least"), "").otherwise("\n"), text).alias("piece"))
+
+    side = listed(bases.select("base").distinct(), 1, F.concat(F.lit('<a href="#'), base, F.lit('">'), base, F.lit("</a>")))
+    return fixed.unionByName(side).unionByName(listed(parts, 3, F.col("html")))

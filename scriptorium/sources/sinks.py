@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import uri_of
+
 
 def entity_documents(entities: DataFrame, keys: tuple[str, ...] = ("model", "doc_name")) -> DataFrame:
     """keys, json: {"entities": [...]} of each document, in order."""
@@ -23,10 +26,7 @@ def write_entities(entities: DataFrame, path: str) -> None:
 
 def _export(files: DataFrame, path: str) -> int:
     """Writes (name, data) rows as files below a path, through any file system that pyarrow knows. Returns their number."""
-    spark = files.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()  # without a scheme: the default file system
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    uri = uri_of(files.sparkSession, path)  # without a scheme: the default file system
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
@@ -64,5 +64,72 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_html(page: DataFrame, path: str) -> None:
-    """A one-row report."""
+    """A one-row report; write_pieces() is for reports of any size."""
     page.select("html").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+#: Bytes that are copied at a time where parts are joined.
+COPY = 8 << 20
+
+
+def write_pieces(pieces: DataFrame, path: str) -> str:
+    """One file path/part-00000.html of the texts of (place, base, piece), in that order and without separators. Returns its name.
+
+    Pieces are dealt out by ranges of their order; each task writes its range as a part, piece by piece. The parts are then
+    joined by the file system where it can (HDFS does so without moving bytes), else by a task that copies them through a
+    buffer. So no task and no driver holds the whole. A part gets its name when it is whole, so a task that is tried again
+    does no harm.
+    """
+    spark = pieces.sparkSession
+    uri = uri_of(spark, path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(p(path), True)
+    fs.mkdirs(p(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        store, root = pafs.FileSystem.from_uri(uri)
+        context = TaskContext.get()
+        name, size = f"{root}/_{context.partitionId():08d}", 0
+        with store.open_output_stream(f"{name}-{context.taskAttemptId()}", compression=None) as out:
+            for batch in batches:
+                for piece in batch.column(0).to_pylist():
+                    data = piece.encode()
+                    out.write(data)
+                    size += len(data)
+        store.move(f"{name}-{context.taskAttemptId()}", f"{name}.part")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.part"]), pa.array([size], pa.int64())], ["name", "size"])
+
+    ordered = pieces.repartitionByRange("place", "base").sortWithinPartitions("place", "base").select("piece")
+    parts = sorted((r.name, r.size) for r in ordered.mapInArrow(run, "name string, size long").collect())  # a row for each part
+    whole = f"{path.rstrip('/')}/part-00000.html"
+    names = [f"{path.rstrip('/')}/{n.rpartition('/')[2]}" for n, size in parts if size]
+    if fs.getScheme() == "hdfs" and len(names) > 1:
+        sources = spark.sparkContext._gateway.new_array(p, len(names) - 1)
+        for i, n in enumerate(names[1:]):
+            sources[i] = p(n)
+        fs.concat(p(names[0]), sources)
+        fs.rename(p(names[0]), p(whole))
+    else:
+        sources = [n for n, size in parts if size]
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow.fs as pafs
+
+            for batch in batches:
+                store, root = pafs.FileSystem.from_uri(uri)
+                at = f"{root}/_whole-{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(at, compression=None) as out:
+                    for n in sources:
+                        with store.open_input_stream(n) as part:
+                            while data := part.read(COPY):
+                                out.write(data)
+                store.move(at, f"{root}/part-00000.html")
+                yield batch
+
+        spark.range(1).coalesce(1).mapInArrow(join, "id long").collect()
+    for n, _ in parts:
+        fs.delete(p(f"{path.rstrip('/')}/{n.rpartition('/')[2]}"), False)
+    return whole

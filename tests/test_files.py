@@ -215,3 +215,15 @@ def test_evaluate_command_prints_these_figures(spark, tmp_path, monkeypatch, cap
     lines = [[c.strip() for c in x.strip("|").split("|")] for x in capsys.readouterr().out.splitlines() if x.startswith("|")]
     first = {(x[0], x[1]): (x[2], x[6]) for x in lines if x[0] in ("PERSON", "PLACE")}
     assert first == {("PERSON", "A"): ("1.0", "2"), ("PERSON", "B"): ("0.5", "2"), ("PLACE", "B"): ("0.0", "1")}
+
+
+def test_one_page_of_many_parts_is_the_page(spark, tmp_path):
+    from scriptorium.operators import report
+
+    rows = [(f"d{i:03d}", f"<section>{'é<' * (i % 7)}\n{i}</section>") for i in range(200)]
+    parts, bases = spark.createDataFrame(rows, "base string, html string").repartition(7), spark.createDataFrame([(f"d{i:03d}",) for i in range(0, 260)], "base string")
+    want = report.page(parts, bases).first().html + "\n"
+    for _ in range(2):
+        assert sinks.write_pieces(report.pieces(parts, bases), str(tmp_path / "p")).endswith("part-00000.html")
+        assert (tmp_path / "p" / "part-00000.html").read_text() == want and [x.name for x in (tmp_path / "p").iterdir() if not x.name.startswith(".")] == ["part-00000.html"]
+    assert "<main></main>" in report.pieces(parts.limit(0), bases).selectExpr("concat_ws('', transform(array_sort(collect_list(struct(place, base, piece))), x -> x.piece)) AS p").first().p

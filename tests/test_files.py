@@ -227,3 +227,27 @@ def test_one_page_of_many_parts_is_the_page(spark, tmp_path):
         assert sinks.write_pieces(report.pieces(parts, bases), str(tmp_path / "p")).endswith("part-00000.html")
         assert (tmp_path / "p" / "part-00000.html").read_text() == want and [x.name for x in (tmp_path / "p").iterdir() if not x.name.startswith(".")] == ["part-00000.html"]
     assert "<main></main>" in report.pieces(parts.limit(0), bases).selectExpr("concat_ws('', transform(array_sort(collect_list(struct(place, base, piece))), x -> x.piece)) AS p").first().p
+
+
+def test_stream_dedup_over_batches_is_batch_dedup(spark, tmp_path):
+    """Chunks of the same documents in three batches, in order."""
+    from scriptorium.operators import dedup
+    from scriptorium.streaming.dedup import dedup_stream
+
+    schema = "model string, doc_id long, chunk_idx int, n_chunks int, entity_idx int, text string, label string"
+    rows = []
+    for chunk in range(3):
+        for doc in (1, 2, 3):
+            for i, (text, label) in enumerate([("Ann Lee", "PERSON"), (" ann lee ", "PERSON"), (f"Kent {chunk // 2}", "PLACE"), ("ANN LEE", "ORG"), ("", "PERSON"), (None, "PLACE")]):
+                if doc < 3 or chunk == 0:
+                    rows.append(("m", doc, chunk, 1 if doc == 3 else 3, i, text, label))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for chunk in range(3):
+        spark.createDataFrame([r for r in rows if r[2] == chunk], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = dedup_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120) and query.exception() is None
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select("doc_id", "chunk_idx", "entity_idx", "text", "label").collect()))
+    want = sorted(map(str, dedup.dedup(spark.createDataFrame(rows, schema)).select("doc_id", "chunk_idx", "entity_idx", "text", "label").collect()))
+    assert got == want and len(got) == 4 + 4 + 6

@@ -34,8 +34,8 @@ from .common import broadcast_if, discard, materialise, row_key, text_of
 WINDOW, GRAM = 35, 8
 #: Words of a shard, and of an anchor's regions that are no more one shard's; references that are broadcast (some 25 MB); automata and entries that a task remembers.
 SHARD, REFERENCE, AUTOMATA, MEMO = 8_000, 50_000, 500, 500_000
-#: Words of regions whose automata are broadcast (8 bytes each; a task builds those that it meets); documents with ranges whose keys are broadcast.
-BROADCAST, KEYS = 2_000_000, 500_000
+#: Words of regions whose automata are broadcast (8 bytes each; a task builds those that it meets), and that a task keeps built (some 600 bytes each); documents with ranges whose keys are broadcast.
+BROADCAST, HELD, KEYS = 2_000_000, 60_000, 500_000
 _BASE = 0x9E3779B97F4A7C15
 _KEY = "doc_id long, key long"
 
@@ -269,15 +269,18 @@ def _past_automata(contents: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata: dict[int, Automaton] = {}
+        held = 0
         for batch in batches:
             rows: list[tuple] = []
             for anchor, region, data in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 auto = automata.get(anchor)
                 if auto is None:
-                    if len(automata) >= AUTOMATA:
+                    if held > HELD:
                         automata.clear()
+                        held = 0
                     auto = automata[anchor] = Automaton()
                     for n, words in sent.value[anchor]:
+                        held += len(words) // 8
                         auto.add(np.frombuffer(words, np.uint64).tolist(), n)
                     auto.close()
                 flags = np.array([k == window and n >= 2 for k, n in auto.matches(np.frombuffer(data, np.uint64).tolist(), window)][window - 1 :])

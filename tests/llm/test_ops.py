@@ -525,6 +525,22 @@ def test_exact_dedup_in_slices(spark, documents, monkeypatch):
     assert sorted(exact.groups(df).collect(), key=str) == want and sorted(exact.drop_copies(df).collect(), key=str) == left
 
 
+def test_plans_do_not_grow_with_slices_and_blocks(spark, documents, monkeypatch):
+    """Nodes and broadcasts of the last plan, for few and many slices of the filter and blocks of items."""
+    import re
+
+    nodes = lambda df: len(re.findall(r"(?m)^[ :+*-]*(?:\(\d+\) )?\w", df._jdf.queryExecution().sparkPlan().toString()))
+    df = documents(odd_texts())
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "item_id long, text string")
+    monkeypatch.setattr(exact, "SLICE", 64)
+    sizes = []
+    for many in (2, 7):
+        monkeypatch.setattr(exact, "n_blocks", lambda rows, many=many: 64 * many)
+        monkeypatch.setattr(decontam, "ITEM_BYTES", 60_000 // many)
+        sizes.append((nodes(exact.groups(df)), nodes(exact.drop_copies(df)), nodes(decontam.contained(df, items))))
+    assert sizes[0] == sizes[1] and min(sizes[0]) > 3
+
+
 def test_exact_ties_do_not_depend_on_order(documents):
     rows = [(1, "a b  c"), (1, "a  b c"), (1, " abc  "), (None, "d e"), (None, "de ")]
     seen = {tuple(sorted((r.doc_id is None, r.text) for r in exact.drop_copies(documents(x)).collect())) for x in (rows, rows[::-1], rows[2:] + rows[:2])}

@@ -42,16 +42,17 @@ def successors(wanted: DataFrame, stems: DataFrame) -> DataFrame:
     """base, stem: for each base of `wanted`, the least of `stems` that is not before it in the order of code points.
 
     An as-of join: both sides are dealt out by ranges of their sort order together, each range is scanned from its end for
-    the nearest stem, and what a range does not hold comes from the first stem of the ranges after it.
+    the nearest stem, and what a range does not hold comes from the first stem of the ranges after it. Scans run down the
+    order with frames that only grow: a frame that ends with the partition would be read anew for each row.
     """
     # Stems sort after the equal base, so that looking ahead from a base finds an equal stem too.
     both = wanted.select(F.col("base").alias("key"), F.lit(0).alias("is_stem")).unionByName(stems.select(F.col("stem").alias("key"), F.lit(1).alias("is_stem"))).distinct()
     ranged = cut(both.repartitionByRange("key", "is_stem").withColumn("_part", F.spark_partition_id()))  # the cut fixes the ranges
     stem = F.when(F.col("is_stem") == 1, F.col("key"))
-    ahead = Window.partitionBy("_part").orderBy("key", "is_stem").rowsBetween(0, Window.unboundedFollowing)
-    near = ranged.withColumn("_here", F.first(stem, ignorenulls=True).over(ahead)).filter("is_stem = 0")
+    ahead = Window.partitionBy("_part").orderBy(F.desc("key"), F.desc("is_stem")).rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.withColumn("_here", F.last(stem, ignorenulls=True).over(ahead)).filter("is_stem = 0")
     firsts = ranged.groupBy("_part").agg(F.min(stem).alias("_first"))  # a row for each range
-    later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     after = firsts.select("_part", F.min("_first").over(later).alias("_after"))
     return near.join(after, "_part").select(F.col("key").alias("base"), F.coalesce("_here", "_after").alias("stem"))
 

@@ -282,6 +282,8 @@ def test_pairing_takes_the_least_stem_that_starts_so(spark):
     got = [(r.base, r.stem) for r in report.pair(reports, texts).collect()]
     assert sorted(got) == sorted(want) and len(want) > 60
     assert report.pair(reports.limit(0), texts).count() == report.pair(reports, texts.limit(0)).count() == 0
+    plan = report.pair(reports, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # frames only grow, so a scan is linear
 
 
 def test_dates_that_come_near_are_all_pairs_above_zero(spark):

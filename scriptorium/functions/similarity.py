@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .sequences import ratios
 from .text import normal_place, tokens
 
 # Weights of the factors of a match.
@@ -44,20 +44,17 @@ def sequence_bound(a: Column, b: Column) -> Column:
 def sequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio; not symmetric, so the order of the names matters. No native function gives it.
 
-    Names recur, so each task remembers a bounded number of pairs.
+    Names recur, so each task remembers a bounded number of pairs; the new ones of a batch are judged together.
     """
     memo: dict[tuple[str, str], float] = {}
     for left, right in pairs:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            pair = (a or "", b or "")
-            ratio = memo.get(pair)
-            if ratio is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ratio = memo[pair] = SequenceMatcher(None, *pair).ratio()
-            out.append(ratio)
-        yield pd.Series(out, dtype="float64")
+        rows = [(a or "", b or "") for a, b in zip(left, right, strict=True)]
+        new = list(dict.fromkeys(p for p in rows if p not in memo))
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(dict.fromkeys(rows))
+        memo.update(zip(new, ratios(new).tolist(), strict=True))
+        yield pd.Series([memo[p] for p in rows], dtype="float64")
 
 
 def years(dates: Column) -> Column:

@@ -102,6 +102,20 @@ def test_name_similarity(spark):
     assert [(r.clean, *(round(x, 6) for x in (r.e, r.p, r.l, r.s, r.m))) for r in df.collect()] == [n[2:] for n in NAMES]
 
 
+@pytest.mark.parametrize(("letters", "most", "n"), [("ab", 12, 3000), ("abcd\u00e9\U00010400 ", 30, 1500), ("abcdefghij klmnop", 260, 100)])
+def test_ratios_are_the_librarys(letters, most, n):
+    """Empty texts, ties between blocks, and texts from which the library passes over frequent characters."""
+    from difflib import SequenceMatcher
+
+    from scriptorium.functions.sequences import ratios
+
+    rng = random.Random(most)
+    made = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    pairs = [("", ""), ("", "a"), ("tide", "diet"), ("diet", "tide"), *((made(), made()) for _ in range(n))]
+    assert ratios(pairs).tolist() == [SequenceMatcher(None, *p).ratio() for p in pairs]
+    assert ratios([]).tolist() == []
+
+
 def test_sequence_is_not_symmetric(spark):
     r = spark.range(1).select(sim.sequence(F.lit("tide"), F.lit("diet")).alias("a"), sim.sequence(F.lit("diet"), F.lit("tide")).alias("b")).first()
     assert (r.a, r.b) == (0.25, 0.5)

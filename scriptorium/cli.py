@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import annotate, authority, evaluate, ledger, linkage, parse, report, tabulate
@@ -36,8 +37,14 @@ def missing(spark, args: argparse.Namespace) -> list[str]:
     return found
 
 
+def silent(raw: DataFrame) -> list[str]:
+    """Models of which no request was answered; a row for each model reaches the driver."""
+    answered = raw.groupBy("model").agg(F.max(F.col("status") == "ok").alias("ok"))
+    return [r.model for r in answered.filter("NOT ok").orderBy("model").collect()]
+
+
 def run(args: argparse.Namespace) -> None:
-    """One command. Ends with code 1 and a message if an input is missing."""
+    """One command. Ends with code 1 and a message if an input is missing, or if a model gave no answer; what others gave is written then."""
     spark = session(f"scriptorium {args.command}")
     if lost := missing(spark, args):
         raise SystemExit("not found: " + ", ".join(lost))
@@ -47,6 +54,8 @@ def run(args: argparse.Namespace) -> None:
         found = extract(docs.repartition(args.parallel), models, bronze=f"{args.output}/_bronze", whole_document=args.whole_document)
         sinks.write_entities(found, f"{args.output}/entities")
         print(sinks.export_entity_files(sinks.entity_documents(found), f"{args.output}/json"), "files with entities")
+        if mute := silent(spark.read.parquet(f"{args.output}/_bronze")):
+            raise SystemExit("no answer from: " + ", ".join(mute))
     elif args.command == "tabulate":
         parsed, long = _entities(spark, args.folder)
         names = [r[0] for r in long.select("label").distinct().orderBy("label").collect()]

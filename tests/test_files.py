@@ -102,6 +102,15 @@ def test_missing_inputs_end_with_a_message(spark, tmp_path):
         cli.main(["tabulate", str(tmp_path / "nothing")])
 
 
+def test_a_model_without_any_answer_ends_with_a_message(spark, tmp_path):
+    import pytest
+
+    _texts(tmp_path / "t")
+    with pytest.raises(SystemExit, match="no answer from: nobody$"):
+        cli.main(["extract", "rules:alpha,nobody", str(tmp_path / "t"), str(tmp_path / "out"), "--url", "http://127.0.0.1:9/v1"])
+    assert (tmp_path / "out" / "json" / "alpha" / "b_entities.json").exists()
+
+
 def test_hidden_names_are_read(spark, tmp_path):
     (tmp_path / "t").mkdir()
     for name in ("a.txt", "_b.txt", ".c.txt", "_d.md"):

@@ -389,3 +389,18 @@ def test_ledger_asks_no_answered_prompt_twice(spark, tmp_path):
     ask(annotate.HttpAnnotator, "other").collect()
     assert asked["p1"] == 2
     server.shutdown()
+
+
+def test_dates_are_scored_once_for_each_pair_of_spans(spark):
+    """Rows of equal spans are not scored again, and another key narrows the pairs; scores of zero stay if asked for."""
+    from scriptorium.operators import similar
+
+    a = spark.createDataFrame([(i, i % 3, [1800, 1800 + i % 2]) for i in range(200)], "a int, k int, x array<int>")
+    b = spark.createDataFrame([(i, i % 3, [[1801, 1805], [1990]][i % 2]) for i in range(300)] + [(300, 0, [])], "b int, k int, y array<int>")
+    assert similar.span_scores(similar.spans(a, "x", "a"), similar.spans(b, "y", "b")).count() == 2
+    assert similar.span_scores(similar.spans(a, "x", "a"), similar.spans(b, "y", "b"), near_only=False).count() == 4
+    every = a.join(b.filter("size(y) > 0"), "k").select("a", "b", "k", F.round(sim.date_similarity(F.col("x"), F.col("y")), 6).alias("date_score"))
+    got = lambda df: sorted(map(tuple, df.select("a", "b", "k", "date_score").collect()))
+    assert got(similar.in_time(a, b, ("k",), 6, near_only=False)) == got(every)
+    assert got(similar.in_time(a, b, ("k",), 6)) == got(every.filter("date_score > 0"))
+    assert similar.near_in_time(a, b).count() == 200 * 150

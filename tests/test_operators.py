@@ -404,3 +404,33 @@ def test_dates_are_scored_once_for_each_pair_of_spans(spark):
     assert got(similar.in_time(a, b, ("k",), 6, near_only=False)) == got(every)
     assert got(similar.in_time(a, b, ("k",), 6)) == got(every.filter("date_score > 0"))
     assert similar.near_in_time(a, b).count() == 200 * 150
+
+
+def test_similar_sets_write_only_what_bits_leave(spark):
+    """Sets that share the same few rare words: their lists would give all pairs; and large, small and unlike sizes in blocks and slices."""
+    import random
+
+    from scriptorium.operators import similar
+
+    rng = random.Random(8)
+    rows = [(i, [f"rare{i % 3}"] + [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([3, 60, 60, 60, 150, 700]))]) for i in range(300)]
+    rows += [(1000 + i, [w for w in x if rng.random() > 0.1]) for i, x in rows[:40]] + [(2000, rows[5][1][::-1]), (2001, None), (2002, [])]
+    df = spark.createDataFrame(rows, "a int, x array<string>")
+    sets = {}
+    for k, x in rows:
+        if x:
+            sets.setdefault(frozenset(x), k)
+    pairs = [(*sorted((p, q)), len(x & y) / len(x | y)) for x, p in sets.items() for y, q in sets.items() if p < q]
+    want = sorted(t for t in pairs if t[2] >= 0.6)
+    assert sorted(map(tuple, similar.similar_sets(df, None, 0.6).collect())) == want and len(want) > 30
+    ids = similar.members(df, "a", "x").dropDuplicates(["set"]).withColumn("id", F.col("key").cast("long"))
+    assert similar.candidates(ids, ids, 0.6, True).count() < 2 * len(want)  # of 57,000 pairs
+    small = {"ROWS": 64, "WIDE": 2000, "SLICE": 9000}
+    before = {k: getattr(similar, k) for k in small}
+    try:
+        for k, v in small.items():
+            setattr(similar, k, v)
+        assert sorted(map(tuple, similar.similar_sets(df, None, 0.6).collect())) == want
+    finally:
+        for k, v in before.items():
+            setattr(similar, k, v)

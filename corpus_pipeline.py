@@ -20,7 +20,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies: texts with a Jaccard similarity of 0.8 or more of their words of five."""
+    """One of each group of near copies: texts that SimHash or MinHash brings together, with a Jaccard similarity of 0.8 or more of their words of five."""
     return near.drop_near_copies(docs)
 
 

@@ -1,11 +1,12 @@
-"""Near-dedup of texts by Jaccard similarity: MinHash bands, pivot distance tables, exact verification.
+"""Near-dedup of texts: SimHash classes and MinHash bands, pivot distance tables, exact verification by Jaccard similarity.
 
 Texts are near copies if the sets of their lower-case words of five have a Jaccard similarity of at least 0.8, and
-groups are what such pairs reach. SimHash keys cannot find them: such texts differ in up to 11 bits and more, and
-pigeonhole keys for that radius have some ten bits, so that their groups grow with the square of the input.
+groups are what such pairs reach. Texts meet in two ways. SimHash: a class of fingerprints linked at two bits or fewer
+(simhash.classes, the method of op5) is a bucket. Many near copies differ in more bits, up to 11 and more, and keys for
+that radius have some ten bits, so that their groups grow with the square of the input; so texts also meet by MinHash.
 
 Texts that agree on a band of five minima meet in a bucket: with 20 bands, a pair at 0.8 meets with probability
-0.9996, closer ones surely for all practical purposes. Buckets of the same members count once. In a bucket, a table
+0.9996, closer ones surely for all practical purposes. Buckets of bands of the same members count once. In a bucket, a table
 of Jaccard distances to a few pivots discards pairs of which any coordinate differs by more than 0.2 (the triangle
 inequality), and the others are verified on their whole sets, unless links already join them. Only a spanning forest
 of links leaves a bucket. A bucket of more than CROWD members is dealt out by hash into parts, each with the same
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, discard, materialise, row_key, small_batches, text_of, without_rows
-from .simhash import DROPS, SEED, Forest, components
+from .simhash import DROPS, SEED, Forest, classes, components
 
 SHINGLE, SHARE = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -119,6 +120,14 @@ def links(sets: list[np.ndarray], groups: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def by_simhash(docs: DataFrame) -> DataFrame:
+    """bucket, n, rid: the members of each class of fingerprints that has two or more."""
+    known = materialise(classes(docs).select("key", "root").distinct(), "near-simhash")
+    many = materialise(known.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "near-classes")
+    met = known.join(broadcast_if(many, many.count() <= DROPS), "root")
+    return met.select(F.xxhash64(F.lit("simhash"), "root").alias("bucket"), "n", F.col("key").alias("rid"))
+
+
 def buckets(docs: DataFrame) -> DataFrame:
     """bucket, n (about its members), rid: members that meet, without buckets of one and those whose members meet elsewhere."""
 
@@ -135,7 +144,8 @@ def buckets(docs: DataFrame) -> DataFrame:
     met = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi")
     met = materialise(met.groupBy("n", "mark", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "near-buckets")
     met = broadcast_if(met, met.count() <= DROPS)
-    members = materialise(filed.join(met, "bucket").select("bucket", "n", "rid").distinct(), "near-members")
+    members = filed.join(met, "bucket").select("bucket", "n", "rid").distinct()
+    members = materialise(members.union(by_simhash(docs)), "near-members")
     discard(filed)
     return members
 

@@ -138,3 +138,21 @@ def test_toxic_copies_all_go(documents, spark):
     left = corpus_pipeline.toxicity.drop_toxic(documents(rows + rows[:10] + [(None, "filth filth"), (None, None)]), labels)
     got = sorted((r.doc_id for r in left.collect() if r.doc_id is not None))
     assert got == sorted([i for i in range(0, 100, 2)] + [0, 2, 4, 6, 8])
+
+
+def test_near_dedup_takes_its_classes_from_simhash(spark, documents):
+    """Every class of linked fingerprints is a bucket of the stage, and an exact check decides on its members."""
+    from scriptorium.llm import near, simhash
+
+    base = [f"x{i}" for i in range(400)]
+    docs = [(0, " ".join(base)), (1, " ".join(base[:200] + ["y"] + base[201:])), (2, "a b"), (3, None), (4, " "), (5, "a b")]
+    df = documents(docs)
+    classes = {}
+    for r in simhash.classes(df).select("root", "key").distinct().collect():
+        classes.setdefault(r.root, set()).add(r.key)
+    want = {frozenset(x) for x in classes.values() if len(x) > 1}
+    got = lambda rows: {frozenset(r.rid for r in rows if r.bucket == b) for b in {r.bucket for r in rows}}
+    assert len(want) >= 2 and got(near.by_simhash(df).collect()) == want
+    assert want <= got(near.buckets(df).collect())
+    assert {r.doc_id for r in near.drop_near_copies(df).collect()} == {0, 2, 3}
+    assert near.by_simhash(df.limit(0)).count() == 0

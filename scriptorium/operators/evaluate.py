@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +85,33 @@ def micro(metrics: DataFrame) -> DataFrame:
     return total.select("model", *_scores(F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")), "true_positives", "false_positives", "false_negatives")
 
 
+def _first(k: int):
+    """For mapInArrow: of all batches, the k least row_idx of each model and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            rows = new if kept is None else pa.concat_tables([kept, new])
+            order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("model", "label", "row_idx")], null_placement="at_start").to_numpy()
+            m, la = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()[order] for c in ("model", "label"))
+            new_group = np.r_[True, (m[1:] != m[:-1]) | (la[1:] != la[:-1])][: len(order)]
+            at = np.arange(len(order))
+            rank = at - np.maximum.accumulate(np.where(new_group, at, 0))
+            kept = rows.take(pa.array(order[rank < k])).combine_chunks()
+        if kept is not None:
+            yield from kept.to_batches()
+
+    return run
+
+
 def examples(aligned: DataFrame, k: int = 5) -> DataFrame:
-    """The first k pairs of each model and label of which a side is not blank, and whether they agree."""
+    """The first k pairs of each model and label of which a side is not blank, and whether they agree.
+
+    Each task keeps its own first k as its rows pass, so that none sorts or holds them; the window sees only those.
+    """
     g, p = eval_key(F.col("gt")), eval_key(F.col("pred"))
-    some = aligned.filter((g != "") | (p != ""))
+    some = aligned.filter((g != "") | (p != "")).select("model", "label", F.col("row_idx").cast("long").alias("row_idx"), "gt", "pred")
+    first = some.mapInArrow(_first(k), some.schema)
     w = Window.partitionBy("model", "label").orderBy("row_idx")
-    return some.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("model", "label", "n", "row_idx", "gt", "pred", (g == p).alias("agrees"))
+    return first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("model", "label", "n", "row_idx", "gt", "pred", (g == p).alias("agrees"))

@@ -71,15 +71,26 @@ def is_small(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     return token_estimate(text) <= max_tokens
 
 
+def whole(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """The small texts of chunks(), each one chunk: native, and one for each document."""
+    rest = [c for c in docs.columns if c != "text"]
+    small = docs.filter(is_small(F.col("text"), max_tokens) & (F.length("text") > 0))
+    return small.select(*rest, F.lit(0).alias("chunk_idx"), F.lit(1).alias("n_chunks"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("chunk"))
+
+
+def parts(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, native: bool = False) -> DataFrame:
+    """The chunks of the large texts of chunks(); only those cross to Python."""
+    rest = [c for c in docs.columns if c != "text"]
+    large = docs.filter(~is_small(F.col("text"), max_tokens))
+    cut = bounds_native(F.col("text"), max_tokens, overlap_tokens) if native else bounds(F.col("text"), max_tokens, overlap_tokens)
+    both = large.withColumn("_cuts", cut).withColumn("n_chunks", F.size("_cuts"))
+    each = both.select(*rest, "text", "n_chunks", F.inline_outer("_cuts")).filter("chunk_idx IS NOT NULL")  # a plain inline would cut twice
+    return each.select(*rest, "chunk_idx", "n_chunks", "start", "end", F.expr("substring(text, start + 1, end - start)").alias("chunk"))
+
+
 def chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, native: bool = False) -> DataFrame:
     """One row for each chunk: the columns of docs but text, and chunk_idx, n_chunks, start, end, chunk. Small texts are one chunk.
 
     Only large texts cross to Python; the native fold does without it, several times slower.
     """
-    none, small = F.expr(f"CAST(array() AS {BOUNDS})"), is_small(F.col("text"), max_tokens)
-    whole = F.when(F.length("text") > 0, F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(0).alias("start"), F.length("text").alias("end")))).otherwise(none).cast(BOUNDS)
-    large = bounds_native(F.col("text"), max_tokens, overlap_tokens) if native else bounds(F.when(~small, F.col("text")), max_tokens, overlap_tokens)
-    rest = [c for c in docs.columns if c != "text"]
-    both = docs.withColumn("_cuts", F.when(small, whole).otherwise(large)).withColumn("n_chunks", F.size("_cuts"))
-    cut = both.select(*rest, "text", "n_chunks", F.inline_outer("_cuts")).filter("chunk_idx IS NOT NULL")  # a plain inline would cut twice
-    return cut.select(*rest, "chunk_idx", "n_chunks", "start", "end", F.expr("substring(text, start + 1, end - start)").alias("chunk"))
+    return whole(docs, max_tokens).unionByName(parts(docs, max_tokens, overlap_tokens, native))

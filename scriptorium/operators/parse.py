@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip_at_hand
 
+PLAIN = "entities array<struct<text:string,label:string>>"
 ENTITIES = "array<struct<entity_idx:int,text:string,label:string>>"
 # The shapes that repair and salvage look for.
 OBJECT = r'(\{[\s\S]*"entities"[\s\S]*\})'
@@ -41,15 +42,26 @@ def _kind(v: Column, path: str) -> Column:
 
 
 def _native(df: DataFrame, content: Column, i: str) -> DataFrame:
-    """Adds whether it parses, its entities, and how many items are malformed. In steps, so that each is evaluated once."""
-    s = strip(content)
+    """Adds whether it parses, its entities, and how many items are malformed. In steps, so that each is evaluated once.
+
+    A text that a typed reading and writing gives back as it was is what to_json makes of whole entities: it parses, and
+    nothing in it is malformed. Only others are taken apart as variants, item by item.
+    """
     v, items, good = f"_v{i}", f"_i{i}", f"_g{i}"
+    df = df.withColumn(f"_s{i}", strip_at_hand(content))
+    s, typed, plain = F.col(f"_s{i}"), F.col(f"_t{i}"), F.col(f"_p{i}")
+    # The mode is the default; without an option Spark takes writing after reading for nothing to do.
+    df = df.withColumn(f"_t{i}", F.from_json(s, PLAIN, {"mode": "PERMISSIVE"}))
+    whole = ~F.exists(typed["entities"], lambda x: x["text"].isNull() | x["label"].isNull())
+    df = df.withColumn(f"_p{i}", F.coalesce((F.to_json(typed) == s) & whole, F.lit(False)))
     ok = lambda x: (_kind(x, "$.text") == "STRING") & (_kind(x, "$.label") == "STRING")
-    df = df.withColumn(v, F.try_parse_json(F.when(s.rlike(r'^[\{\["0-9tfn-][\s\S]*[\}\]"0-9el]$'), s)))
+    df = df.withColumn(v, F.try_parse_json(F.when(~plain & s.rlike(r'^[\{\["0-9tfn-][\s\S]*[\}\]"0-9el]$'), s)))
     df = df.withColumn(items, F.try_variant_get(v, "$.entities", "array<variant>"))
     made = F.transform(items, lambda x, k: F.when(ok(x), F.struct(k.cast("int").alias("entity_idx"), F.try_variant_get(x, "$.text", "string").alias("text"), F.try_variant_get(x, "$.label", "string").alias("label"))))
     df = df.withColumn(good, F.array_compact(made).cast(ENTITIES))
-    return df.withColumns({f"_o{i}": F.col(v).isNotNull(), f"_e{i}": F.coalesce(good, F.expr(f"CAST(array() AS {ENTITIES})")), f"_m{i}": F.coalesce(F.size(items) - F.size(good), F.lit(0))})
+    listed = F.transform(typed["entities"], lambda x, k: F.struct(k.cast("int").alias("entity_idx"), x["text"].alias("text"), x["label"].alias("label"))).cast(ENTITIES)
+    found = F.when(plain, listed).otherwise(F.coalesce(good, F.expr(f"CAST(array() AS {ENTITIES})")))
+    return df.withColumns({f"_o{i}": plain | F.col(v).isNotNull(), f"_e{i}": found, f"_m{i}": F.when(plain, 0).otherwise(F.coalesce(F.size(items) - F.size(good), F.lit(0)))})
 
 
 def _one(text: str | None) -> tuple:
@@ -92,13 +104,15 @@ def parse(responses: DataFrame, exact: bool = False, strict: bool = False) -> Da
             df = _native(df, content, i)
         tried[i] = [F.col(f"_{k}{i}") for k in "oem"]
     one, two = tried["1"], tried["2"]
-    status = F.when(one[0], "strict").when(two[0], "repaired").when((F.col("_r") != "") & (F.size(salvaged(F.col("_c"))) > 0), "salvaged").otherwise("failed")
+    df = df.withColumn("_w", F.when(~one[0] & ~two[0] & (F.col("_r") != ""), salvaged(F.col("_c"))))
+    status = F.when(one[0], "strict").when(two[0], "repaired").when(F.size("_w") > 0, "salvaged").otherwise("failed")
     df = df.withColumn("parse_status", status)
     pick = lambda i, other: F.when(F.col("parse_status") == "strict", one[i]).when(F.col("parse_status") == "repaired", two[i]).otherwise(other)
-    df = df.withColumn("entities", pick(1, F.when(F.col("parse_status") == "salvaged", salvaged(F.col("_c"))).otherwise(F.expr(f"CAST(array() AS {ENTITIES})")))).withColumn("n_malformed", pick(2, F.lit(0)))
+    df = df.withColumn("entities", pick(1, F.when(F.col("parse_status") == "salvaged", F.col("_w")).otherwise(F.expr(f"CAST(array() AS {ENTITIES})")))).withColumn("n_malformed", pick(2, F.lit(0)))
     if strict:
         df = df.withColumn("entities", F.when(F.col("n_malformed") == 0, F.col("entities")).otherwise(F.expr(f"CAST(array() AS {ENTITIES})")))
-    return df.select(*responses.columns, "parse_status", "entities", "n_malformed")
+    # As a generator's output: a filter on one of them would else go down to the text and parse it once more.
+    return df.select(*responses.columns, F.inline(F.array(F.struct("parse_status", "entities", "n_malformed"))))
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:

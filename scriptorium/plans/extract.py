@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,11 @@ def prompts(docs: DataFrame, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens:
         text = trim_long(F.col("text"))
         rest = [c for c in docs.columns if c != "text"]
         return cleaned(docs).filter(F.length("text") > 0).select(*rest, F.lit(0).alias("chunk_idx"), F.lit(1).alias("n_chunks"), F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("chunk"), text.alias("prompt"))
-    cut = chunk.chunks(cleaned(docs), max_tokens, overlap_tokens)
+    return _headed(docs, chunk.chunks(cleaned(docs), max_tokens, overlap_tokens))
+
+
+def _headed(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Chunks of docs with their prompts."""
     name = F.col("file_name") if "file_name" in docs.columns else F.col("doc_name")
     header = prompt(F.col("chunk"), F.col("chunk_idx") + 1, F.col("n_chunks"), name)
     return cut.withColumn("prompt", F.when(F.col("n_chunks") == 1, F.col("chunk")).otherwise(header))
@@ -34,12 +40,19 @@ def prompts(docs: DataFrame, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens:
 def extract(docs: DataFrame, annotator, max_tokens: int = chunk.MAX_TOKENS, overlap_tokens: int = chunk.OVERLAP_TOKENS, bronze: str | None = None, whole_document: bool = False, **parser: bool) -> DataFrame:
     """Entities of documents (doc_id, doc_name, text). bronze: where raw responses are written first, as a model server's must be.
 
-    annotator: one, or a list of them for several models.
+    annotator: one, or a list of them for several models. Documents of one chunk keep all their entities, so those take
+    a way of their own, without the shuffle and sort of dedup.
     """
-    asked = prompts(docs, max_tokens, overlap_tokens, whole_document)
-    raw = fan_out(asked, annotator) if isinstance(annotator, list) else annotator.annotate(asked)
+    ask = lambda asked: fan_out(asked, annotator) if isinstance(annotator, list) else annotator.annotate(asked)
+    long = lambda raw: parse.long(parse.parse(raw, **parser)).select("model", "doc_id", "doc_name", "chunk_idx", "n_chunks", "entity_idx", "text", "label")
+    if whole_document:
+        raw = [ask(prompts(docs, whole_document=True))]
+    else:
+        clean = cleaned(docs)
+        raw = [ask(_headed(docs, chunk.whole(clean, max_tokens))), ask(_headed(docs, chunk.parts(clean, max_tokens, overlap_tokens)))]
     if bronze:
-        raw.write.mode("overwrite").parquet(bronze)
-        raw = docs.sparkSession.read.parquet(bronze)
-    found = parse.long(parse.parse(raw, **parser))
-    return dedup.dedup(found.select("model", "doc_id", "doc_name", "chunk_idx", "n_chunks", "entity_idx", "text", "label"))
+        reduce(DataFrame.unionByName, raw).write.mode("overwrite").parquet(bronze)
+        written = docs.sparkSession.read.parquet(bronze)
+        raw = [written.filter("n_chunks = 1"), written.filter("n_chunks > 1")]
+    single, *several = map(long, raw)
+    return reduce(DataFrame.unionByName, [single, *map(dedup.dedup, several)])

@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.text import eval_key
 
 
-def melt(table: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """keys, label, value: one row for each cell. Null cells stay."""
-    return table.unpivot(keys, names, "label", "value")
-
-
 def present(predicted: DataFrame, names: list[str]) -> DataFrame:
     """model, label of the columns that a model has: those with a cell that is not null, blank or not."""
     has = F.array_compact(F.array(*[F.when(F.count(F.col(f"`{n}`")) > 0, F.lit(n)) for n in names]))
@@ -38,14 +33,17 @@ def align(truth: DataFrame, predicted: DataFrame, names: list[str], align: str =
     if blank_is_null:
         blank = {n: F.nullif(F.col(f"`{n}`"), F.lit("")) for n in mine}
         truth, predicted = truth.withColumns(blank), predicted.withColumns(blank)
+    keys = ["row_idx"]
     if align == "document":
+        keys = ["Document", "row_idx"]
         numbered = lambda df, *by: df.filter("Document <> ''").withColumn("row_idx", F.row_number().over(Window.partitionBy(*by, "Document").orderBy("row_idx")).cast("long"))
-        g = melt(numbered(truth), mine, ["Document", "row_idx"]).withColumnRenamed("value", "gt")
-        p = melt(numbered(predicted, "model"), mine, ["model", "Document", "row_idx"]).withColumnRenamed("value", "pred")
-        return g.join(p, ["Document", "row_idx", "label"]).join(known, ["model", "label"], "left_semi")
-    g = melt(truth, mine, ["row_idx"]).withColumnRenamed("value", "gt")
-    p = melt(predicted, mine, ["model", "row_idx"]).withColumnRenamed("value", "pred")
-    return g.join(p, ["row_idx", "label"]).join(known, ["model", "label"], "left_semi")
+        truth, predicted = numbered(truth), numbered(predicted, "model")
+    # Rows are joined whole, and become cells after that: a third of the rows to shuffle and sort, with three labels.
+    g = truth.select(*keys, F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(mine)]).alias("_g"))
+    p = predicted.select("model", *keys, F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(mine)]).alias("_p"))
+    cells = F.array(*[F.struct(F.lit(n).alias("label"), F.col("_g")[f"c{k}"].alias("gt"), F.col("_p")[f"c{k}"].alias("pred")) for k, n in enumerate(mine)])
+    both = p.join(g, keys).select("model", *keys, F.inline(cells))
+    return both.join(F.broadcast(known), ["model", "label"], "left_semi").select("model", "label", *keys, "gt", "pred")  # a row for each model and label
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-SEPARATOR = 2**31 - 1
+from ..session import cut, stored
 
 
 def labels(entities: DataFrame) -> DataFrame:
@@ -38,18 +36,21 @@ def wide(entities: DataFrame, names: list[str], documents: DataFrame | None = No
     Rows follow document names, which stand for the order of files. A cell without an entity is blank; with own_labels
     it is null where the model has no entity of that label at all, so that a model's table has the labels of that model.
     """
-    ranked = entities.filter(F.col("label").isin(names)).withColumn("i", F.row_number().over(Window.partitionBy("model", "doc_name", "label").orderBy("chunk_idx", "entity_idx")) - 1)
-    body = cut(ranked.groupBy("model", "doc_name", "i").pivot("label", names).agg(F.first("text")))  # read twice; what made the entities may be dear
+    # A row for each document until its cells are in place: rows of cells are not shuffled.
+    of = lambda n: F.array_sort(F.collect_list(F.when(F.col("label") == n, F.struct("chunk_idx", "entity_idx", "text"))))
+    cells = [f"_c{k}" for k in range(len(names))]
+    body = entities.filter(F.col("label").isin(names)).groupBy("model", "doc_name").agg(*[of(n).alias(c) for c, n in zip(cells, names, strict=True)])
+    body = body.select("model", "doc_name", F.greatest(*map(F.size, cells), F.lit(0)).cast("long").alias("_n"), *[F.transform(c, lambda e: e["text"]).alias(c) for c in cells])
+    body = stored(body, "cells")  # read twice; what made the entities may be dear
     known = (documents if documents is not None else entities).select("model", "doc_name").distinct()
-    ends = known.select("model", "doc_name", F.lit(SEPARATOR).alias("i"), *[F.lit("").alias(n) for n in names])
-    sizes = known.join(body.groupBy("model", "doc_name").agg(F.count("*").alias("n")), ["model", "doc_name"], "left").select("model", "doc_name", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
-    starts = running(sizes)
-    rows = body.unionByName(ends).join(starts, ["model", "doc_name"])
-    at = F.col("start") + F.when(F.col("i") == SEPARATOR, F.col("n") - 1).otherwise(F.col("i"))
-    blank = F.col("i") == SEPARATOR
+    sizes = known.join(body.select("model", "doc_name", "_n"), ["model", "doc_name"], "left").select("model", "doc_name", (F.coalesce("_n", F.lit(0)) + 1).alias("n"))
+    placed = running(sizes).join(body, ["model", "doc_name"], "left")
+    # The last row of a document, past its cells, is blank.
+    rows = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i"))
+    rows = rows.select("model", "doc_name", (F.col("start") + F.col("_i")).alias("at"), (F.col("_i") == F.col("n") - 1).alias("_blank"), *[F.get(c, F.col("_i").cast("int")).alias(n) for c, n in zip(cells, names, strict=True)])
     if own_labels:
-        own = labels(entities).groupBy("model").agg(F.collect_set("label").alias("_own"))  # a row for each model
-        rows = rows.join(own, "model", "left")
+        own = F.array_compact(F.array(*[F.when(F.max(F.size(c)) > 0, F.lit(n)) for c, n in zip(cells, names, strict=True)]))
+        rows = rows.join(F.broadcast(body.groupBy("model").agg(own.alias("_own"))), "model", "left")  # a row for each model
     cell = lambda n: F.coalesce(F.col(f"`{n}`"), F.lit(""))
     has = (lambda n: F.when(F.array_contains("_own", n), cell(n))) if own_labels else cell
-    return rows.select("model", at.cast("long").alias("row_idx"), F.when(blank, "").otherwise(F.col("doc_name")).alias("Document"), *[has(n).alias(n) for n in names])
+    return rows.select("model", F.col("at").cast("long").alias("row_idx"), F.when(F.col("_blank"), "").otherwise(F.col("doc_name")).alias("Document"), *[has(n).alias(n) for n in names])

@@ -61,7 +61,10 @@ def persons(items: DataFrame, strict: bool = False) -> DataFrame:
     Texts of claims are dates, else places, else jobs; time values are dates; qualifiers give places. Empty maps
     written as [] count as empty; with strict, such items go.
     """
-    base = items.withColumn("name", _text(F.col("item"), "$.labels.en.value")).filter(is_person_name(F.col("name")))
+    # As a generator's output: the filter would else go down to the items' source and parse each of them once more, and
+    # below a repartition by which they were dealt out.
+    name = F.inline(F.array(F.struct(_text(F.col("item"), "$.labels.en.value").alias("name"))))
+    base = items.select(*items.columns, name).filter(is_person_name(F.col("name")))
     if strict:
         maps = [F.schema_of_variant(_get(F.col("item"), f"$.{k}", "variant")) for k in ("descriptions", "aliases", "claims")]
         bad = [F.coalesce(m.startswith("ARRAY"), F.lit(False)) for m in maps]
@@ -85,7 +88,7 @@ def persons(items: DataFrame, strict: bool = False) -> DataFrame:
         return F.when(F.length(own) == 0, F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.concat(first, more))
 
     found = F.coalesce(F.flatten(F.transform(F.transform(flat, fields), values)), F.array().cast("array<struct<kind:string,value:string>>"))
-    base = base.withColumn("_found", found)
+    base = base.select("*", F.inline(F.array(F.struct(found.alias("_found")))))  # read three times, made once
     of = lambda k: F.transform(F.filter("_found", lambda x: (x["kind"] == k) & x["value"].isNotNull()), lambda x: x["value"])
     empty = F.array().cast("array<string>")
     return base.select(

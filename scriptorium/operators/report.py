@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -75,10 +77,44 @@ def longest_first(entities: Column) -> Column:
     return F.array_sort(ranked)
 
 
-@F.pandas_udf(StringType())
-def _marked(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, entities, tags in parts:
-        yield pd.Series([marking.marked(t, list(e), list(g)) if len(e) else t for t, e, g in zip(texts, entities, tags, strict=True)], dtype="object")
+#: Bytes of texts that are Python objects at a time.
+SLICE = 1 << 20
+
+
+def _opening(label: str | None) -> str:
+    """The tag that opens an entity's span."""
+    return f'<span class="entity" style="background-color: {COLOURS.get(label, OTHER)}" title="{label or ""}">'
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows with about `size` bytes of text each, one row at least."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield at, stop - at
+        at = stop
+
+
+def _lists(column: pa.ListArray) -> list[list]:
+    """The lists of a column, from all its elements at once; null is empty."""
+    values = column.flatten().to_pylist()
+    ends = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905  one start more
+
+
+@F.arrow_udf(StringType())
+def _marked(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    # A batch has as many rows as the session says, of any length; as Python objects they would take many times their size.
+    for columns in parts:
+        if not len(columns[0]):
+            yield pa.array([], pa.string())
+        for at, n in slices(columns[0], SLICE):
+            texts, entities, labels = (c.slice(at, n) for c in columns)
+            tags = {x: _opening(x) for x in labels.flatten().unique().to_pylist()}
+            rows = zip(texts.to_pylist(), _lists(entities), _lists(labels), strict=True)
+            yield pa.array([marking.marked(t, e, [tags[x] for x in own]) if e else t for t, e, own in rows], pa.string())
 
 
 def highlight(text: Column, entities: Column) -> Column:
@@ -88,8 +124,7 @@ def highlight(text: Column, entities: Column) -> Column:
     are found inside the spans of longer ones. One pass over the text, however many entities there are.
     """
     ranked = longest_first(entities)
-    tag = lambda e: F.concat(F.lit('<span class="entity" style="background-color: '), colour(e["label"]), F.lit('" title="'), F.coalesce(e["label"], F.lit("")), F.lit('">'))
-    return _marked(html_escape(F.coalesce(text, F.lit(""))), F.transform(ranked, lambda e: F.coalesce(e["text"], F.lit(""))), F.transform(ranked, tag))
+    return _marked(html_escape(F.coalesce(text, F.lit(""))), F.transform(ranked, lambda e: F.coalesce(e["text"], F.lit(""))), F.transform(ranked, lambda e: e["label"]))
 
 
 def summary(entities: DataFrame) -> DataFrame:

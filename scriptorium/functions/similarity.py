@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,12 +110,16 @@ def name_factor(is_exact: Column, part: Column, best: Column) -> tuple[Column, C
     return score, weight
 
 
-def match_score(is_exact: Column, part: Column, best: Column, date: Column, place: Column, ctx: Column) -> Column:
-    """Weighted mean of the factors above zero, 0 without any; summed in the order name, date, place, context."""
+def factors(is_exact: Column, part: Column, best: Column, date: Column, place: Column, ctx: Column) -> dict[str, tuple[Column, Column]]:
+    """Score and weight of each factor, in the order in which they are summed."""
     w = WEIGHTS
-    name, name_weight = name_factor(is_exact, part, best)
     date_weight = F.when(date <= 0, 0.0).when(date > 0.7, w["date_overlap"]).otherwise(w["date_near"])
     place_weight, ctx_weight = F.when(place > 0, w["place"]).otherwise(0.0), F.when(ctx > 0, w["context"]).otherwise(0.0)
-    total = name * name_weight + date * date_weight + place * place_weight + ctx * ctx_weight
-    weight = name_weight + date_weight + place_weight + ctx_weight
+    return {"name": name_factor(is_exact, part, best), "date": (date, date_weight), "place": (place, place_weight), "context": (ctx, ctx_weight)}
+
+
+def match_score(is_exact: Column, part: Column, best: Column, date: Column, place: Column, ctx: Column) -> Column:
+    """Weighted mean of the factors above zero, 0 without any; summed in the order name, date, place, context."""
+    scores = factors(is_exact, part, best, date, place, ctx).values()
+    total, weight = reduce(add, [s * w for s, w in scores]), reduce(add, [w for _, w in scores])
     return F.when(weight > 0, total / weight).otherwise(0.0)

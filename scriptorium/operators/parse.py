@@ -1,8 +1,8 @@
 r"""Parsing of model responses: strict, repaired, salvaged, failed.
 
 Native by default, with the variant type. ``exact=True`` judges strictness as Python's json module does, in an Arrow
-function; the native parser also takes some text after the value, which a look at the last character rules out in
-all but odd cases (and then repair gives the same entities).
+function. The native parser stops after the first value, so a text is read as the first item of a list whose second is
+the text's own hash: what stands after a value is an error there.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ def _native(df: DataFrame, content: Column, i: str) -> DataFrame:
     whole = ~F.exists(typed["entities"], lambda x: x["text"].isNull() | x["label"].isNull())
     df = df.withColumn(f"_p{i}", F.coalesce((F.to_json(typed) == s) & whole, F.lit(False)))
     ok = lambda x: (_kind(x, "$.text") == "STRING") & (_kind(x, "$.label") == "STRING")
-    df = df.withColumn(v, F.try_parse_json(F.when(~plain & s.rlike(r'^[\{\["0-9tfn-][\s\S]*[\}\]"0-9el]$'), s)))
-    df = df.withColumn(items, F.try_variant_get(v, "$.entities", "array<variant>"))
+    listing = F.concat(F.lit("["), s, F.lit(","), F.xxhash64(s).cast("string"), F.lit("]"))
+    df = df.withColumn(v, F.try_parse_json(F.when(~plain & s.rlike(r'^(?:[0-9]|[\{\["0-9tfn-][\s\S]*[\}\]"0-9el])$'), listing)))
+    df = df.withColumn(v, F.when(F.try_variant_get(v, "$[1]", "long") == F.xxhash64(s), F.col(v)))
+    df = df.withColumn(items, F.try_variant_get(v, "$[0].entities", "array<variant>"))
     made = F.transform(items, lambda x, k: F.when(ok(x), F.struct(k.cast("int").alias("entity_idx"), F.try_variant_get(x, "$.text", "string").alias("text"), F.try_variant_get(x, "$.label", "string").alias("label"))))
     df = df.withColumn(good, F.array_compact(made).cast(ENTITIES))
     listed = F.transform(typed["entities"], lambda x, k: F.struct(k.cast("int").alias("entity_idx"), x["text"].alias("text"), x["label"].alias("label"))).cast(ENTITIES)
